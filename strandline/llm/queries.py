@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import exact_dedup, mixing, sharding, url_filter
+from strandline.llm import bpe, exact_dedup, html_text, mixing, sharding, url_filter
 from strandline.llm.common import WORD, sql_lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,22 @@ from c left join x on c.source is not distinct from x.source
 """
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def vocabulary_path() -> str:
+    """The public byte-level BPE vocabulary; executors have the same package at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
+    return encoded.withColumnRenamed("id", "doc_id")
+
+
 def op7_shard_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), n_shards=40)
     return rows.select(
@@ -118,6 +134,8 @@ from d window w as (partition by text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op1_mix_to_target_weights": op1_mix_to_target_weights,
+    "op5_html_main_text": op5_html_main_text,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_shard_minimax": op7_shard_minimax,
     "op8_url_filter": op8_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
