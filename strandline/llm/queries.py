@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exact_dedup, html_text, mixing, sharding, url_filter
+from strandline.llm import bpe, exact_dedup, html_text, mixing, pii, sharding, url_filter
 from strandline.llm.common import WORD, sql_lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,14 @@ from p
 """
 
 
+def op9_sanitise_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -138,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_shard_minimax": op7_shard_minimax,
     "op8_url_filter": op8_url_filter,
+    "op9_sanitise_pii": op9_sanitise_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op1_mix_to_target_weights": OP1_SQL, "op8_url_filter": _op8_sql(), "op10_exact_dedup": OP10_SQL}
