@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exact_dedup, html_text, mixing, pii, sharding, url_filter
+from strandline.llm import bpe, exact_dedup, html_text, mixing, pii, sharding, toxicity, url_filter
 from strandline.llm.common import WORD, sql_lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,22 @@ from c left join x on c.source is not distinct from x.source
 """
 
 
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.train(docs, labels.where(~held_out()))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -142,6 +158,7 @@ from d window w as (partition by text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op1_mix_to_target_weights": op1_mix_to_target_weights,
+    "op4_toxicity": op4_toxicity,
     "op5_html_main_text": op5_html_main_text,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_shard_minimax": op7_shard_minimax,
