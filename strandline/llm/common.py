@@ -36,3 +36,12 @@ def lower_ascii(text: Column) -> Column:
 
 def sql_lower_ascii(text: str) -> str:
     return f"translate({text}, '{ascii_uppercase}', '{ascii_lowercase}')"
+
+
+#: Rows up to which a narrow table is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a narrow, materialized table for broadcast if it has at most ``rows`` rows; else leaves it to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
