@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exact_dedup, html_text, mixing, ngram_join, pii, sharding, toxicity, url_filter
+from strandline.llm import bpe, embedding_dedup, exact_dedup, html_text, mixing, ngram_join, pii, sharding, toxicity, url_filter
 from strandline.llm.common import WORD, sql_lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ from c left join x on c.source is not distinct from x.source
 """
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = ngram_join.near_classes(table(spark, sf_dir, "documents"))
     return classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep.id").alias("component_id"))
@@ -163,6 +168,7 @@ from d window w as (partition by text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op1_mix_to_target_weights": op1_mix_to_target_weights,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_html_main_text": op5_html_main_text,
