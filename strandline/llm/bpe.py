@@ -162,7 +162,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     one: no ids. Texts of any length are encoded whole. Repeated rows give repeated rows, an empty table an empty one.
     The digests are of the ids as little-endian unsigned 32-bit integers, and of the text that ``ids`` decode to.
     """
-    fields = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    fields = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     "decoded_sha256": [sha(tok.decode(x.tolist()).encode()) for x in ids],
                 }
                 if with_ids:
-                    out["ids"] = [x.astype("int64") for x in ids]
+                    out["ids"] = [x.astype("int32") for x in ids]
                 yield pd.DataFrame(out)
 
     return source.mapInPandas(run, fields)

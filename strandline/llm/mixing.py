@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import broadcast_if_small, materialize
 
 #: The driver holds one row for each membership pattern and each source; more than this is an error, not a cut.
 MAX_PATTERNS = 200_000
@@ -184,3 +184,31 @@ def mix(
         "uid", "id", "size", "sources", F.when(F.col("size") > 0, repeats).otherwise(0).alias("repeats")
     )
     return chosen, by_source, wanted
+
+
+def mix_documents(
+    docs: DataFrame,
+    targets: Callable[[dict], dict],
+    size: Column,
+    sources: Column,
+    id_col: str = "doc_id",
+    seed: str = "mix",
+    max_repeats: int = MAX_REPEATS,
+) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with its columns, each as often as it is repeated. Rules as in ``mix``."""
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k_id"), F.coalesce(size, F.lit(0)).cast("long").alias("k_size"), sources.alias("k_sources"))
+    marked = marked.withColumn("k_sources", F.array_sort(F.array_distinct(F.coalesce("k_sources", F.array().cast("array<string>")))))
+    chosen, _, _ = mix(marked, targets, "k_id", "k_size", "k_sources", seed, max_repeats)
+    # rows that share id, size and sources share their repeats evenly; what is over goes to the first of them
+    plan = materialize(
+        chosen.groupBy("id", "size", "sources").agg(F.count(F.lit(1)).alias("n"), F.sum("repeats").alias("times")).where("times > 0")
+    )
+    same = F.col("k_id").eqNullSafe(F.col("id")) & (F.col("k_size") == F.col("size")) & F.col("k_sources").eqNullSafe(F.col("sources"))
+    even = marked.join(broadcast_if_small(plan.where("times % n = 0")), same).withColumn("each", F.expr("times div n"))
+    uneven = plan.where("times % n > 0")
+    taken = even.select("row", "each")
+    if uneven.limit(1).count():
+        nth = F.row_number().over(W.partitionBy("id", "size", "sources").orderBy(F.xxhash64("row")))
+        odd = marked.join(broadcast_if_small(uneven), same).withColumn("each", F.expr("times div n") + (nth <= F.expr("times % n")).cast("long"))
+        taken = taken.unionByName(odd.select("row", "each"))
+    return taken.where("each > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))).select("row.*")
