@@ -299,7 +299,7 @@ _COUNTS = "select user_id as job_id, count(distinct case when event_type = 'view
 
 def stage_messages(events: DataFrame) -> DataFrame:
     stage = F.create_map(*(F.lit(x) for kv in _STAGES.items() for x in kv))[F.col("event_type")]
-    return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("file_path"), stage.alias("stage"), (F.col("event_id") % 40 + 1).alias("total"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("file_path"), stage.alias("stage"), (F.col("event_id") % 40 + 1).alias("total"), "ts")
 
 
 @register(

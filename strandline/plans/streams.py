@@ -53,7 +53,7 @@ def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[STR-8] The same counters from keyed state with a time to live; the last row of each job counts."""
     out = _folder(spark)
-    m = queries.stage_messages(event_stream(spark, sf_dir)).select(F.col("job_id").cast("string").alias("job_id"), "stage")
+    m = queries.stage_messages(event_stream(spark, sf_dir)).select(F.col("job_id").cast("string").alias("job_id"), "stage", "ts")
 
     def flush(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/state")

@@ -110,25 +110,27 @@ def flush_progress(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     return shown.select(*(F.col(c[:-6]).alias(c) if c[:-6] in stages else F.col(c) for c in jobs.columns))
 
 
-def live_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL) -> DataFrame:
-    """[STR-8, AGG-2] A stream (job_id, fetched, processed, stored) from a stream (job_id, stage); the counters of a job are kept
-    in the state store and forgotten when nothing is heard of it for ``ttl_seconds``."""
+def live_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL, delay: str = "1 hour") -> DataFrame:
+    """[STR-8, AGG-2] A stream (job_id, fetched, processed, stored) from a stream (job_id, stage, ts); the counters of a job are
+    kept in the state store and forgotten when the watermark is ``ttl_seconds`` past its last message."""
     stages = ("fetched", "processed", "stored")
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = list(state.get) if state.exists else [0, 0, 0]
+        *seen, last = state.get if state.exists else (0, 0, 0, 0)
         for frame in frames:
             for i, s in enumerate(stages):
                 seen[i] += int((frame["stage"] == s).sum())
-        state.update(tuple(seen))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+            last = max(last, int(frame["ts"].max().timestamp() * 1000))
+        state.update((*seen, last))
+        state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *seen)], columns=["job_id", *stages])
 
     fields = "fetched long, processed long, stored long"
-    return events.groupBy("job_id").applyInPandasWithState(count, f"job_id string, {fields}", fields, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    grouped = events.select("job_id", "stage", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).groupBy("job_id")
+    return grouped.applyInPandasWithState(count, f"job_id string, {fields}", f"{fields}, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_status(jobs: DataFrame, repos: DataFrame, job_id: str) -> DataFrame:
