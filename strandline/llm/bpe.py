@@ -58,6 +58,8 @@ class Tokenizer:
 
     def merge_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
         symbols: list[int] = []
         starts: list[int] = []
         for w in words:
