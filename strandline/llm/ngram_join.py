@@ -1,22 +1,21 @@
 """Near duplicates by an exact Jaccard join over word n-grams, with prefix filters under several global orders.
 
 A document is the set of 64-bit hashes of its shingles. Documents of one set share a key and are compared once. If
-two sets have J >= 3/4, at most p - 1 = |x| - ceil(3|x|/4) shingles of x are missing in y. So under any global order
-of the shingles the first p of x and the first p of y have one in common (the prefix filter). It stays true inside a
-sub-universe of shingles, as long as one of the two has p shingles there:
-
-* universe A holds the shingles whose hash is under ``PART`` of its range; it is for sets of more than ``SMALL``;
-* universe B holds all, for sets up to 4/3 ``SMALL`` and for the few that have under p shingles in A.
-
-The orders start with the exact document frequency, the rarest first. Shingles of one document only come first of all
-and match nothing, so a document with p of them is out at once: most are, and common passages come last. What remains
-is ordered by frequency and then by a different hash in each order; a candidate pair has to share a prefix shingle
-under all of them before the two sets are compared.
-
-A group of thousands of near copies is not expanded into pairs. In each of ``ROUNDS`` rounds, the members of a posting
-list are paired with one centre of the list only; links join documents to components; lists inside one component
-are done. In the end the pairs across components that are left in any list are all tried, so no link between components
-is lost.
+two sets have J >= 3/4, at most p - 1 = |x| - ceil(3|x|/4) shingles of x are missing in y. So a set with p shingles
+that no other set has is out, and under any global order of the shingles the first p of x and the first p of y have one
+in common (the prefix filter). Both stay true inside a part of all shingles, as long as x has p shingles there.
+
+1. Part A holds the shingles whose hash is under ``PART`` of its range; it is for sets of more than ``SMALL``. Part B holds
+   all, for sets up to 4/3 ``SMALL`` and for the few that have under p shingles in A. Posting lists of these parts
+   show which shingles are shared, and most documents are out.
+2. Of the others all shingles are counted. The orders start with this document frequency, the rarest first, so
+   common passages come last; shingles of one document match nothing, and a document with p of them is out. Among
+   equal frequencies each order goes by a hash of its own. A candidate pair has to share a prefix shingle under all
+   orders, and its sizes and the positions of the shared shingle have to leave room for the overlap.
+3. A group of thousands of near copies is not expanded into pairs. In each round, the members of a posting list are
+   paired with a few centres of the list only (``CENTRES``); links join documents to components; lists inside one
+   component are done. In the end the pairs across components that are left in any list are all tried, so no link between
+   components is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,12 +37,12 @@ from strandline.llm.components import connected_components
 WORDS = 5
 #: Universe A: this share of all hashes; sets up to SMALL are in universe B.
 PART, SMALL = 1 / 3, 128
-#: Rounds of star joins before all remaining pairs are tried.
-ROUNDS = 2
+#: Centres of a list in each round, before all pairs across components that are left are tried.
+CENTRES = (1, 4, 16)
 #: Members of one centre that are compared in one task.
 BLOCK = 64
 #: Texts hashed together, words kept with their hashes in a Python worker, keys that a worker remembers.
-BATCH, CACHED_WORDS, CACHED_KEYS = 256, 1_000_000, 200_000
+BATCH, CACHED_WORDS, CACHED_KEYS = 256, 200_000, 200_000
 _M1, _M2, _P, _B = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _S = np.uint64(33)
 
@@ -167,36 +166,31 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of entries of one token and different components whose sizes may fit; rows come sorted by (token, c)."""
+    """Pairs of sets of one token and different components that ``fits`` leaves; rows come sorted by (token, c)."""
     seen: set[tuple[int, int]] = set()
     held: list[np.ndarray] = []
 
-    def pairs(t: np.ndarray, c: np.ndarray, e: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    def pairs(t: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray, room: np.ndarray) -> Iterator[pd.DataFrame]:
         cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
-        a: list[int] = []
-        b: list[int] = []
+        out: list[tuple[int, int]] = []
         for s, z in zip(cuts[:-1], cuts[1:], strict=True):
             starts = s + np.flatnonzero(np.concatenate(([True], c[s + 1 : z] != c[s : z - 1])))
             for i in range(starts[1] if len(starts) > 1 else z, z):
-                before = starts[np.searchsorted(starts, i, side="right") - 1]
-                other = slice(s, before)
-                fits = np.flatnonzero((4 * n[other] >= 3 * n[i]) & (4 * n[i] >= 3 * n[other])) + s
-                for j in fits.tolist():
-                    x, y = int(e[i]) & ~1, int(e[j]) & ~1
-                    pair = (x, y) if x < y else (y, x)
+                other = slice(s, starts[np.searchsorted(starts, i, side="right") - 1])
+                for k in key[other][7 * np.minimum(room[other], room[i]) >= 3 * (n[other] + n[i])].tolist():
+                    pair = (int(key[i]), k) if key[i] < k else (k, int(key[i]))
                     if pair not in seen:
-                        if len(seen) < 2_000_000:
+                        if len(seen) < 500_000:
                             seen.add(pair)
-                        a.append(pair[0])
-                        b.append(pair[1])
-                if len(a) > 50_000:
-                    yield pd.DataFrame({"a": a, "b": b})
-                    a, b = [], []
-        if a:
-            yield pd.DataFrame({"a": a, "b": b})
+                        out.append(pair)
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["a", "b"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
 
     for frame in batches:
-        now = [frame[x].to_numpy() for x in ("token", "c", "ent", "n")]
+        now = [frame[x].to_numpy() for x in ("token", "c", "key", "n", "room")]
         if held:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         last = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if (now[0] != now[0][-1]).any() else 0
@@ -231,8 +225,13 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": part["key"], "tokens": [s.tobytes() for s in shingle_sets(list(part["text"]))]})
 
 
-def _key(ent: str) -> Column:
-    return F.col(ent).bitwiseAND(F.lit(-2))
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each token of a set."""
+    for frame in batches:
+        for i in range(0, len(frame), BATCH):
+            part = frame.iloc[i : i + BATCH]
+            sets = [np.frombuffer(x, dtype=np.int64) for x in part["tokens"]]
+            yield pd.DataFrame({"token": np.concatenate(sets), "ent": np.repeat(part["key"].to_numpy(), [len(x) for x in sets])})
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,6 +247,35 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(rows.mapInPandas(_compare, "a long, b long"))
 
 
+def _lists(postings: DataFrame) -> DataFrame:
+    """The distinct rows (token, ent) of tokens with at least two entries."""
+    return postings.repartition("token").sortWithinPartitions("token", "ent").mapInPandas(_shared, "token long, ent long")
+
+
+def _prefixes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((token, key, n, room, in1), (key, f2, f3)) of the sets that are not out.
+
+    ``in1`` marks the prefix of the first order and ``room`` is what is left of the set from that token on: an upper bound of
+    the overlap with a set that shares this token first. f2 and f3 are the prefixes of the other orders, as 15-bit hashes.
+    """
+    shared = materialize(_lists(sets.select("key", "tokens").mapInPandas(_unpacked, "token long, ent long")).withColumnRenamed("ent", "key"))
+    n = (F.octet_length("tokens") / 8).cast("long")
+    sized = sets.select("key", n.alias("n")).withColumn("p", F.expr("n - cast((3 * n + 3) div 4 as bigint) + 1"))
+    alive = materialize(sized.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("common")), "key").where("common > n - p").drop("common"))
+    lists = materialize(shared.join(broadcast_if_small(alive), "key"))
+    df = materialize(lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    own = W.partitionBy("key")
+    # shingles of one set come first in every order
+    ranked = lists.join(df, "token").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+    for i, order in enumerate((F.col("token"), F.xxhash64("token", F.lit(2)), F.xxhash64("token", F.lit(3))), 1):
+        ranked = ranked.withColumn(f"at{i}", F.col("alone") + F.row_number().over(own.orderBy("df", order)) - 1)
+    kept = ranked.where("at1 < p or at2 < p or at3 < p")
+    prefixes = materialize(kept.select("token", "key", "n", (F.col("n") - F.col("at1")).alias("room"), *(F.expr(f"at{i} < p as in{i}") for i in (1, 2, 3))))
+    short = F.pmod(F.xxhash64("token"), F.lit(32768)).cast("short")
+    filters = prefixes.groupBy("key").agg(*(F.collect_set(F.when(F.col(f"in{i}"), short)).alias(f"f{i}") for i in (2, 3)))
+    return prefixes, materialize(filters)
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, n, rep): one row per row of ``docs``; n is the size of its set, rep = (no id, id, th) of the first row of its
     class: the smallest id (null last), then the smallest hash th of the text.
@@ -269,52 +297,44 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = rows.select(F.explode("a").alias("token"), F.col("key").alias("ent")).union(
         rows.select(F.explode("b"), F.col("key").bitwiseOR(F.lit(1)))
     )
-    # tokens of at least two sets, and the sets that have too few others to be out
-    shared = materialize(postings.repartition("token").sortWithinPartitions("token", "ent").mapInPandas(_shared, "token long, ent long"))
+    shared = materialize(_lists(postings))
     common = shared.groupBy("ent").agg(F.count(F.lit(1)).alias("common"))
-    alive = materialize(ents.join(common, "ent").where("common > m - p").drop("common"))
-    lists = materialize(shared.join(broadcast_if_small(alive), "ent"))
-    df = materialize(lists.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    own = W.partitionBy("ent")
-    orders = [F.col("token"), *(F.xxhash64("token", F.lit(i)) for i in (2, 3))]
-    ranked = lists.join(df, "token").withColumn("take", F.col("p") - F.col("m") + F.count(F.lit(1)).over(own))
-    for i, order in enumerate(orders, 1):
-        ranked = ranked.withColumn(f"in{i}", F.row_number().over(own.orderBy("df", order)) <= F.col("take"))
-    prefixes = materialize(ranked.where("in1 or in2 or in3").select("token", "ent", "n", "in1", "in2", "in3"))
-    short = F.pmod(F.xxhash64("token"), F.lit(32768)).cast("short")
-    filters = materialize(
-        prefixes.groupBy("ent").agg(F.first("n").alias("n"), *(F.collect_set(F.when(F.col(f"in{i}"), short)).alias(f"f{i}") for i in (2, 3)))
-    )
-    # the sets of the documents that are still in
-    wanted = broadcast_if_small(
-        materialize(filters.select(_key("ent").alias("key")).distinct().join(reps, "key").select("key", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")))
-    )
-    found = texts.join(wanted, (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid"))).select("key", "text")
-    sets = materialize(found.mapInPandas(_tokens, "key long, tokens binary").dropDuplicates(["key"]))
+    alive = ents.join(common, "ent").where("common > m - p").select(F.col("ent").bitwiseAND(F.lit(-2)).alias("key")).distinct()
+    wanted = materialize(alive.join(reps, "key").select("key", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")))
+    found = texts.join(broadcast_if_small(wanted), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid")))
+    sets = materialize(found.select("key", "text").mapInPandas(_tokens, "key long, tokens binary").dropDuplicates(["key"]))
+    prefixes, filters = _prefixes(sets)
 
-    by_key = prefixes.where("in1").select("token", "ent", "n", _key("ent").alias("key"))
     labels = links = tried = None
-    for turn in range(ROUNDS + 1):
-        named = by_key.withColumn("c", F.col("key"))
-        if labels is not None:
-            named = by_key.join(broadcast_if_small(labels), by_key["key"] == labels["v"], "left").select("token", "ent", "n", "key", F.coalesce("c", "key").alias("c"))
+    for turn in range(len(CENTRES) + 1):
+        named = prefixes.where("in1").select("token", "key", "n", "room")
+        if labels is None:
+            named = named.withColumn("c", F.col("key"))
+        else:
+            named = named.join(broadcast_if_small(labels), named["key"] == labels["v"], "left").withColumn("c", F.coalesce("c", "key")).drop("v")
         named = materialize(named)
-        centre = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "ent", "c", "n")).alias("to")
-        open_lists = materialize(named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), centre).where("lo <> hi").select("token", "to"))
-        if turn < ROUNDS:
-            fits = (F.col("to.c") != F.col("c")) & (4 * F.least("n", "to.n") >= 3 * F.greatest("n", "to.n"))
-            pairs = named.join(open_lists, "token").where(fits).select(F.col("to.ent").alias("ea"), F.col("ent").alias("eb")).distinct()
-            pairs = pairs.join(filters.select(F.col("ent").alias("ea"), F.col("f2").alias("a2"), F.col("f3").alias("a3")), "ea").join(
-                filters.select(F.col("ent").alias("eb"), F.col("f2").alias("b2"), F.col("f3").alias("b3")), "eb"
-            )
-            pairs = pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select(_key("ea").alias("a"), _key("eb").alias("b")).distinct()
+        # the centres of a list: at first the same for all lists as far as possible, then any members
+        seeds = [F.xxhash64("key", "token", F.lit(turn), F.lit(i)) for i in range(CENTRES[turn])] if 0 < turn < len(CENTRES) else [F.xxhash64("key")]
+        centres = [F.min(F.struct(h.alias("h"), "key", "c", "n", "room")).alias(f"to{i}") for i, h in enumerate(seeds)]
+        several = F.array(*(f"to{i}" for i in range(len(seeds)))).alias("to")
+        still_open = materialize(
+            named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *centres).where("lo <> hi").select("token", several)
+        )
+        if turn < len(CENTRES):
+            fits = (F.col("to.c") != F.col("c")) & (7 * F.least("room", "to.room") >= 3 * (F.col("n") + F.col("to.n")))
+            near = named.join(still_open.withColumn("to", F.explode("to")), "token").where(fits)
+            # the centre stays on the left: its set is sent once for many others
+            pairs = near.select(F.col("to.key").alias("a"), F.col("key").alias("b")).distinct()
         else:
-            rest = named.join(open_lists.select("token"), "token").select("token", "c", "ent", "n")
+            rest = named.join(still_open.select("token"), "token").select("token", "c", "key", "n", "room")
             pairs = rest.repartition("token").sortWithinPartitions("token", "c").mapInPandas(_crossing, "a long, b long").distinct()
         if tried is not None:
-            done = tried.union(tried.select(F.col("b"), F.col("a")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+            done = tried.union(tried.select("b", "a"))
+            pairs = pairs.join(broadcast_if_small(done), ["a", "b"], "left_anti")
+        pairs = pairs.join(filters.select(F.col("key").alias("a"), F.col("f2").alias("a2"), F.col("f3").alias("a3")), "a").join(
+            filters.select(F.col("key").alias("b"), F.col("f2").alias("b2"), F.col("f3").alias("b3")), "b"
+        )
+        pairs = materialize(pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
         new = verify(pairs, sets)
         tried = pairs if tried is None else materialize(tried.union(pairs))
         links = new if links is None else materialize(links.union(new))
