@@ -1,6 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A sparse logistic regression over the words of a text and their beginnings. For every labelled training text that holds
+A sparse logistic regression over the words of a text and their beginnings, with weights of at least zero: no word makes a
+text less toxic, so a long clean text around an insult does not hide it. For every labelled training text that holds
 an identity term, the term is swapped for each other term of its group, and the squared change of the score is added to
 the loss, so that a group's name moves a score no more than any other group's: neutral mentions stay neutral. The
 model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``); every text is then scored whole.
@@ -24,8 +25,8 @@ TRAIN_ROWS = 8192
 SLOTS, KEPT = 1 << 20, 6000
 #: Beginnings of words that are features of their own.
 PREFIXES = (4, 5, 6)
-#: Weight of the counterfactual term, of the L1 term (over the square root of the rows) and the L2 term, and passes.
-FAIRNESS, L1, L2, PASSES = 1.0, 0.02, 1e-5, 400
+#: Weight of the counterfactual term, of the L1 term (over the square root of the rows; at first, later), the L2 term, and passes.
+FAIRNESS, L1, L1_LATER, L2, PASSES = 1.0, 0.05, 0.005, 1e-5, 400
 THRESHOLD = 0.7
 #: Identity terms by group; a swap stays inside its group.
 IDENTITIES = (
@@ -135,23 +136,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int],
     # columns are scaled to unit size, which makes the steps well conditioned
     scale = 1.0 / np.sqrt(np.maximum(degree, 1) / n)
     w = z = np.zeros(d)
-    # both labels weigh alike; the second half of the passes lets the features that are left grow without the L1 term
+    # both labels weigh alike; the second half of the passes lets the features that are left grow under a smaller L1 term
     share = np.where(labels > 0, 0.5 / positive, 0.5 / (n - positive))
     b = c = 0.0
-    momentum, step = 1.0, 4.0 / (1 + np.sqrt(np.bincount(row, minlength=n).max()))
-    for turn in range(PASSES):
-        shrink = L1 / np.sqrt(n) if 2 * turn < PASSES else 0.0
-        alive = 1.0 if shrink else (w != 0)
-        v = z * scale
-        p = 1 / (1 + np.exp(-np.clip(c + np.bincount(row, weights=v[col], minlength=n), -40, 40)))
-        error = (p - labels) * share
-        gradient = np.bincount(col, weights=error[row], minlength=d) * scale + L2 * z
+
+    # columns are centred, so that frequent words don't all pull together; the bias takes the means up in the end
+    mean = np.bincount(col, weights=share[row], minlength=d) * scale
+
+    def logits(v: np.ndarray, bias: float) -> np.ndarray:
+        return bias - mean @ v + np.bincount(row, weights=(v * scale)[col], minlength=n)
+
+    def back(error: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The gradient for errors of the rows, with the L2 and the counterfactual term."""
+        out = np.bincount(col, weights=error[row], minlength=d) * scale - mean * error.sum() + L2 * v
         if len(at):
-            change = np.bincount(at, weights=sign * v[of], minlength=len(swaps))
-            gradient += FAIRNESS * np.bincount(of, weights=sign * change[at], minlength=d) / m * scale
-        new = (z - step * gradient) * alive
-        new = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0.0)
-        new_b = c - step * error.sum()
+            change = np.bincount(at, weights=sign * (v * scale)[of], minlength=len(swaps))
+            out += FAIRNESS * np.bincount(of, weights=sign * change[at], minlength=d) / m * scale
+        return out
+
+    def loss(v: np.ndarray, bias: float) -> float:
+        out = logits(v, bias)
+        change = np.bincount(at, weights=sign * (v * scale)[of], minlength=len(swaps)) if len(at) else np.zeros(1)
+        return float(share @ (np.logaddexp(0, out) - labels * out) + 0.5 * L2 * v @ v + 0.5 * FAIRNESS * (change @ change) / m)
+
+    # steps grow a little each time and are halved as far as the loss asks for
+    momentum, step = 1.0, 8.0
+    for turn in range(PASSES):
+        first = 2 * turn < PASSES
+        shrink = (L1 if first else L1_LATER) / np.sqrt(n)
+        alive = 1.0 if first else (w != 0)
+        error = (1 / (1 + np.exp(-np.clip(logits(z, c), -40, 40))) - labels) * share
+        gradient, slope, here = back(error, z), float(error.sum()), loss(z, c)
+        step *= 1.5
+        while True:
+            new = (z - step * gradient) * alive
+            new = np.maximum(new - step * shrink, 0.0)
+            new_b = c - step * slope
+            dv, db = new - z, new_b - c
+            if loss(new, new_b) <= here + gradient @ dv + slope * db + (dv @ dv + db * db) / (2 * step) + 1e-12 or step < 1e-9:
+                break
+            step /= 2
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         if (new - w) @ (z - new) > 0:
             grown, momentum = 1.0, 1.0  # restart where the momentum points uphill
@@ -159,7 +183,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int],
         z, c = new + k * (new - w), new_b + k * (new_b - b)
         w, b, momentum = new, new_b, grown
     final = w * scale
-    return Model(b, {int(s): float(x) for s, x in zip(kept, final, strict=True) if x})
+    return Model(float(b - mean @ w), {int(s): float(x) for s, x in zip(kept, final, strict=True) if x})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:

@@ -56,7 +56,7 @@ def test_any_text(spark, texts):
 
 def test_terms_that_disclose_are_found(spark):
     rows = [(i, f"Report {i}: the zanzibar clerk wrote to joe@x.org about case number {'abcdefgh'[i]}lpha today") for i in range(6)]
-    rows += [(10 + i, f"The clerk wrote about the case today and number {i}") for i in range(99)] + [(160, "zanzibar and Zanzibars")]
+    rows += [(10 + i, f"Report {i}: the clerk wrote about the case number today") for i in range(99)] + [(160, "zanzibar and Zanzibars")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.id: r for r in pii.find_personal_data(docs).collect()}
     assert [(s.kind, s.value) for s in found[0].spans] == [("term", "zanzibar"), ("email", "joe@x.org")]
