@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from strandline.operators.relational import job_progress, route_failures
+from strandline.functions import text
+from strandline.operators.relational import route_failures
 from strandline.schemas import schema
 
 CORRUPT = "_corrupt"
@@ -103,11 +104,12 @@ def fan_out(repo_messages: DataFrame, files: DataFrame) -> DataFrame:
 
 def flush_progress(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     """[STR-9, STR-10, Q13] Jobs with the counters and progress of (job_id, fetched, processed, stored); others as they were."""
-    c = counts.select(F.col("job_id").alias("id"), *(F.col(s).alias(f"{s}_new") for s in ("fetched", "processed", "stored")))
-    both = jobs.join(c, "id", "left")
-    stages = {s: F.coalesce(f"{s}_new", f"{s}_files").cast("int") for s in ("fetched", "processed", "stored")}
-    shown = job_progress(both.withColumns(stages))
-    return shown.select(*(F.col(c[:-6]).alias(c) if c[:-6] in stages else F.col(c) for c in jobs.columns))
+    stages = ("fetched", "processed", "stored")
+    new = counts.select(F.col("job_id").alias("id"), *(F.col(s).alias(f"{s}_new") for s in stages))
+    both = jobs.join(new, "id", "left")
+    shown = text.progress(*(F.col(f"{s}_new") for s in stages), F.col("total_files"))
+    values = {f"{s}_files": F.coalesce(F.col(f"{s}_new").cast("int"), F.col(f"{s}_files")) for s in stages}
+    return both.withColumns(values | {"progress": F.coalesce(shown, F.col("progress"))}).select(*jobs.columns)
 
 
 def live_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL, delay: str = "1 hour") -> DataFrame:

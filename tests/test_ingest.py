@@ -98,3 +98,27 @@ def test_retry_and_order(spark):
     assert embedding.with_retry(flaky, wait=(0, 0)) == [1] and len(calls) == 3
     got = spark.createDataFrame([(0, "a b"), (1, None), (2, "")], "i int, t string").select("i", embedding.embed(F.col("t")).alias("v")).orderBy("i").collect()
     assert got[1].v is None and not any(got[2].v) and abs(sum(x * x for x in got[0].v) - 1) < 1e-5
+
+
+def test_flush_and_fan_out(spark):
+    jobs = spark.createDataFrame([("j", "queued", 4, 0, 0, 0, 0), ("k", "failed", 2, 1, 1, 0, 50)], "id string, status string, total_files int, fetched_files int, processed_files int, stored_files int, progress int")
+    counts = spark.createDataFrame([("j", 4, 2, 1)], "job_id string, fetched long, processed long, stored long")
+    got = sorted(tuple(r) for r in messages.flush_progress(jobs, counts).collect())
+    assert got == [("j", "queued", 4, 4, 2, 1, 58), ("k", "failed", 2, 1, 1, 0, 50)]
+    repo = spark.createDataFrame([("r", "j", "u", 2)], "repo_id string, job_id string, repo_url string, retries int")
+    files = spark.createDataFrame([("r", "a.py", "py", "x"), ("q", "b.py", "py", "y")], "repo_id string, path string, language string, content string")
+    assert [(r.file_path, r.retries) for r in messages.fan_out(repo, files).collect()] == [("a.py", 0)]
+
+
+def test_history_and_joins(spark, tmp_path):
+    from strandline.sources.tables import append
+
+    q = spark.createDataFrame([("q1", "a")], "question string, answer string")
+    append(q, str(tmp_path / "h"))
+    append(q, str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
+    messages.publish(q, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).count() == 1
+    users = spark.createDataFrame([("e1", "n1")], "email string, username string")
+    new = spark.createDataFrame([(1, "e1", "n1"), (2, "x", "n1"), (3, "x", "y")], "i int, email string, username string")
+    assert {r.i: r.conflict for r in relational.registration_conflicts(new, users).collect()} == {1: "email", 2: "username", 3: None}
