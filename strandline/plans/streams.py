@@ -61,3 +61,52 @@ def stream_live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = messages.live_progress(m).writeStream.outputMode("update").foreachBatch(flush).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return relational.latest(spark.read.parquet(f"{out}/state"), ["job_id"], F.desc("batch")).select("job_id", "fetched", "processed", "stored")
+
+
+@register(
+    "fan_out_messages",
+    "select source as repo_id, source || '-job' as job_id, source || '/' || doc_id as file_path, lang as language, 0 as retries from documents where source in ('src1', 'src2')",
+)
+def fan_out_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-6] Two repositories' fetch messages become a message for each of their files."""
+    files = queries.files(spark, sf_dir).withColumnRenamed("file_path", "path")
+    repos = spark.createDataFrame([(r, f"{r}-job", "u") for r in ("src1", "src2")], "repo_id string, job_id string, repo_url string")
+    return messages.fan_out(repos, files).select("repo_id", "job_id", "file_path", "language", "retries")
+
+
+@register(
+    "flushed_jobs",
+    f"""with c as ({queries._COUNTS})
+select c_custkey as id, coalesce(fetched, 0)::int as fetched_files, coalesce(processed, 0)::int as processed_files, coalesce(stored, 0)::int as stored_files,
+  coalesce(trunc((fetched::double / 60) * 33 + (processed::double / 60) * 33 + (stored::double / 60) * 34)::int, 7) as progress
+from customer left join c on c.job_id = c_custkey""",
+)
+def flushed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-9, STR-10, Q13] Jobs of 60 files take over the counters of their messages; others stay as they are."""
+    zero = {f"{s}_files": F.lit(0) for s in ("fetched", "processed", "stored")}
+    jobs = queries.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).withColumns(zero | {"total_files": F.lit(60), "progress": F.lit(7)})
+    counts = relational.stage_counts(queries.stage_messages(queries.table(spark, sf_dir, "events")))
+    return messages.flush_progress(jobs, counts).drop("total_files")
+
+
+@register(
+    "dead_letters",
+    f"""select '{{"event_id":"' || event_id || '","retries":"' || retries || '"}}' as payload, 'file:process' as stream_origin, error, reason
+from ({queries.DEAD_LETTER_SQL}) where route = 'dead_letter'""",
+)
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[SNK-2] What cannot be tried again, with where it came from and why."""
+    routed = relational.route_failures(queries.failed_messages(spark, sf_dir)).where("route = 'dead_letter'")
+    return messages.dead_letters(routed, "file:process").drop("failed_at")
+
+
+@register(
+    "job_status",
+    "select case when o_orderstatus = 'F' then 'done' else 'update' end as event, case when o_orderstatus = 'F' then 'completed' else 'processing' end as status, (o_orderkey % 100)::int as progress from orders where o_orderkey = 11",
+)
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[SNK-6, Q6] What a poll of one job's status gets."""
+    state = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("processing")
+    jobs = queries.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("repo_id"), state.alias("status"), (F.col("o_orderkey") % 100).cast("int").alias("progress"))
+    repos = jobs.select(F.col("repo_id").alias("id"), "status").where("false")
+    return messages.job_status(jobs, repos, "11")
