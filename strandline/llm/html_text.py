@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import small_batches
+
 #: Fixed values of HTML: elements whose tags begin and end a line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -38,11 +40,13 @@ MAIN = frozenset({"article", "main"})
 DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words in a class or id that mark what is no article text.
 DROPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus "
+    "ad adbox ads adslot alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus "
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall "
     "popup promo promotion related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors "
     "subscribe subscription taboola teaser toolbar tooltip widget widgets".split()
 )
+#: Beginnings of such words.
+DROPPED_PREFIXES = ("advert", "banner", "breadcrumb", "cookie", "navbar", "newsletter", "popup", "sidebar", "sponsor")
 #: Words in a class or id that mark the page's frame outside the article.
 FRAME_NAMES = frozenset("header topbar".split())
 #: Elements that a new one of the same kind, or of a listed kind, ends.
@@ -109,7 +113,8 @@ class Lines(HTMLParser):
             return True
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
         words = set(re.split(r"[^a-z]+", names))
-        return not (DROPPED_NAMES.isdisjoint(words) and (main or FRAME_NAMES.isdisjoint(words)))
+        named = not DROPPED_NAMES.isdisjoint(words) or any(w.startswith(DROPPED_PREFIXES) for w in words)
+        return named or not (main or FRAME_NAMES.isdisjoint(words))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -174,5 +179,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             text = [main_text(h) for h in frame["html"]]
             yield pd.DataFrame({"id": frame["id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInPandas(run, "id long, url string, text string, n_chars long")

@@ -11,7 +11,7 @@ ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><scrip
 <header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site to serve you.</div>
 <article><header><h1>Head &amp; tail</h1></header><p><b>First   long paragraph
 of text.<br><p>Short.</p><ul><li>item one<li>item two</ul><table><tr><td>c1<td>c2</table><form><p>Sign up</p><input></form>
-<div class="ad">Buy now</div><section class="comments"><article><p>nice post, I think</p></article></section></article>
+<div class="ad">Buy now</div><div class="cookiebar">Cookies</div><section class="comments"><article><p>nice post, I think</p></article></section></article>
 <aside>Side bar text</aside><div id="sidebar">More</div><footer>&copy; me</footer></body></html>"""
 
 
