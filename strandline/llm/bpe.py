@@ -19,10 +19,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from strandline.llm.common import small_batches
+
 #: Fixed value: how byte-level BPE of this family cuts a text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in a Python worker, and the longest such word; others are encoded again.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 300_000, 32
 #: Texts encoded together.
 BATCH = 64
 
@@ -165,7 +167,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     The digests are of the ids as little-endian unsigned 32-bit integers, and of the text that ``ids`` decode to.
     """
     fields = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    source = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

@@ -28,6 +28,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session asks for other than Spark's default.
+BATCH_BYTES, _DEFAULT_BYTES = "4m", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Python workers get texts in small batches: a worker's memory doesn't follow their length."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does just that to a text without other letters, and is much faster."""
     ascii_only = F.octet_length(text) == F.char_length(text)

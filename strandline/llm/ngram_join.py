@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import broadcast_if_small, materialize
+from strandline.llm.common import broadcast_if_small, materialize, small_batches
 from strandline.llm.components import connected_components
 
 #: Words of a shingle.
@@ -42,7 +42,7 @@ CENTRES = (1, 4, 16)
 #: Members of one centre that are compared in one task.
 BLOCK = 64
 #: Texts hashed together, words kept with their hashes in a Python worker, keys that a worker remembers.
-BATCH, CACHED_WORDS, CACHED_KEYS = 256, 200_000, 200_000
+BATCH, CACHED_WORDS, CACHED_KEYS = 256, 100_000, 100_000
 _M1, _M2, _P, _B = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _S = np.uint64(33)
 
@@ -284,7 +284,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an empty set and are a class of their own; documents of one set are in one class. Texts are read whole. Repeated rows
     are in one class; an empty table gives an empty result; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = materialize(texts.select("id", "th", "text").mapInPandas(_sets, "id long, th long, key long, n long, ma int, mb int, a array<long>, b array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th"))
     reps = materialize(

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import small_batches
+
 #: Labelled rows to learn from: those with the smallest hashes of their ids. This bounds the driver's memory.
 TRAIN_ROWS = 8192
 #: Features are hashed to this many slots, and the strongest are kept.
@@ -28,6 +30,8 @@ PREFIXES = (4, 5, 6)
 #: Weight of the counterfactual term, of the L1 term (over the square root of the rows; at first, later), the L2 term, and passes.
 FAIRNESS, L1, L1_LATER, L2, PASSES = 1.0, 0.05, 0.005, 1e-5, 400
 THRESHOLD = 0.7
+#: Words that a Python worker keeps with their features.
+CACHED_WORDS = 100_000
 #: Identity terms by group; a swap stays inside its group.
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -76,7 +80,7 @@ class Model:
     def _active(self, word: str) -> tuple[int, ...]:
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > CACHED_WORDS:
                 self.seen.clear()
             found = tuple(s for s in map(slot, features(word)) if s in self.weights)
             if len(word) <= 64:
@@ -195,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(rows)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {t for g in IDENTITIES for t in g}
@@ -227,7 +231,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = [m.score(t if isinstance(t, str) else "") for t in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], "score": s, "predicted": [int(x >= threshold) for x in s]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "id long, score double, predicted int")
 
 
@@ -240,4 +244,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         m = small.value
         return pd.Series([m.score(t if isinstance(t, str) else "") for t in texts], dtype="float64")
 
-    return docs.where(scores(F.col(text_col)) < threshold)
+    return small_batches(docs).where(scores(F.col(text_col)) < threshold)
