@@ -25,6 +25,8 @@ from strandline.llm.common import small_batches
 TRAIN_ROWS = 8192
 #: Features are hashed to this many slots, and the strongest are kept.
 SLOTS, KEPT = 1 << 20, 6000
+#: Rows whose features are counted at once.
+PART = 256
 #: Beginnings of words that are features of their own.
 PREFIXES = (4, 5, 6)
 #: Weight of the counterfactual term, of the L1 term (over the square root of the rows; at first, later), the L2 term, and passes.
@@ -116,19 +118,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int],
     prior = np.log((positive + 0.5) / (n - positive + 0.5)) if n else -3.0
     if not 0 < positive < n:
         return Model(float(prior), {})
-    lengths = np.fromiter(map(len, rows), dtype=np.int64, count=n)
-    flat = np.concatenate(rows)
-    weight = np.repeat(labels, lengths)
-    total, toxic = np.bincount(flat, minlength=SLOTS), np.bincount(flat, weights=weight, minlength=SLOTS)
+    total, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
+    for i in range(0, n, PART):
+        lengths = [len(x) for x in rows[i : i + PART]]
+        part = np.concatenate(rows[i : i + PART])
+        total += np.bincount(part, minlength=SLOTS)
+        toxic += np.bincount(part, weights=np.repeat(labels[i : i + PART], lengths), minlength=SLOTS)
     # signed chi-square of each feature against the label; the strongest of either sign stay
     expected = total * positive / n
     chi = np.where(total >= 3, (toxic - expected) ** 2 / np.maximum(expected, 1e-9), 0.0) + np.where(total >= 3, (toxic - expected) ** 2 / np.maximum(total - expected, 1e-9), 0.0)
     kept = np.sort(np.argsort(-chi, kind="stable")[:KEPT])
     place = np.full(SLOTS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
-    col = place[flat]
-    row = np.repeat(np.arange(n, dtype=np.int32), lengths)[col >= 0]
-    col = col[col >= 0]
+    held = [c[c >= 0] for c in (place[x] for x in rows)]
+    col = np.concatenate(held)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in held])
+    del held
     lost = [(i, place[s], -1.0) for i, (a, _) in enumerate(swaps) for s in a if place[s] >= 0]
     gained = [(i, place[s], 1.0) for i, (_, b) in enumerate(swaps) for s in b if place[s] >= 0]
     at = np.array([x[0] for x in lost + gained], dtype=np.int64)
