@@ -122,15 +122,13 @@ class Tokenizer:
             for part in parts:
                 if isinstance(part, list):
                     new.update(w for w in set(part) if w not in cache)
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = {w for parts in cut for part in parts if isinstance(part, list) for w in part}
         listed = list(new)
         found = dict(zip(listed, self.merge_words(listed), strict=True))
         cache.update(found)
         out = [b"".join(b"".join(map(cache.__getitem__, p)) if isinstance(p, list) else p for p in parts) for parts in cut]
+        full = len(cache) > CACHED_WORDS  # the words met first, which are the frequent ones, stay
         for w in listed:
-            if len(w) > CACHED_LENGTH:
+            if full or len(w) > CACHED_LENGTH:
                 del cache[w]
         return out
 
