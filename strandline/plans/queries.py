@@ -93,8 +93,7 @@ def vector_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[4.2] Approximate candidates by random hyperplanes, ranked by their exact cosine."""
     p = points(spark, sf_dir).select("point_id", "vector")
     asked = p.where("point_id % 100 = 0").select(F.col("point_id").alias("question_id"), F.col("vector").alias("question"))
-    near = search.lsh_candidates(p, asked, planes=6, tables=8).withColumn("score", cosine(F.col("vector"), F.col("question")))
-    return relational.newest(near.select("question_id", "point_id", "score"), ["question_id"], 5, F.desc("score"), F.col("point_id"))
+    return search.lsh_top_k(p, asked)
 
 
 @register("collection_counts", "select label as repo_id, count(*) as n from embeddings group by label")

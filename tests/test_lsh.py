@@ -1,0 +1,39 @@
+import numpy as np
+import pytest
+
+from strandline.operators import search
+from strandline.plans.queries import points
+from strandline.plans.registry import QUERIES
+
+
+def exact(ids, x, asked, k=5):
+    """{question: its k nearest ids}, ties by id."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return {q: {int(ids[i]) for i in np.lexsort((ids, -(unit @ unit[np.flatnonzero(ids == q)[0]])))[:k]} for q in asked}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_at_5(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    rows = points(spark, sf).select("point_id", "vector").collect()
+    ids, x = np.array([r.point_id for r in rows]), np.array([r.vector for r in rows], dtype=float)
+    want = exact(ids, x, [int(i) for i in ids if i % 100 == 0])
+    got = {q: set() for q in want}
+    for r in QUERIES["vector_lsh_topk"](spark, sf).collect():
+        got[r.question_id].add(r.point_id)
+    assert all(len(s) == 5 for s in got.values())
+    others = [(q, i) for q in want for i in want[q] - {q}]  # without the question itself, which is always found
+    recall, alone = np.mean([i in got[q] for q in want for i in want[q]]), np.mean([i in got[q] for q, i in others])
+    print(f"{sf}: recall@5 {recall:.3f}, without the question itself {alone:.3f}")
+    assert recall >= 0.9 and alone >= 0.9
+
+
+def test_few_points_are_scanned_and_copies_count(spark):
+    near = [(i, [1.0, 0.1 * i]) for i in range(4)] + [(9, [-1.0, 0.0]), (10, [0.0, 0.0]), (11, None), (12, [1.0, 0.0, 0.0])]
+    copies = [(20 + i, [0.5, -1.0]) for i in range(9)]
+    p = spark.createDataFrame(near + copies, "point_id long, vector array<float>")
+    q = p.where("point_id in (0, 10, 20, 21)").selectExpr("point_id question_id", "vector question")
+    got = {}
+    for r in search.lsh_top_k(p, q, probes=1, tables=1).collect():
+        got.setdefault(r.question_id, set()).add(r.point_id)
+    assert got == {0: {0, 1, 2, 3, 20}, 20: {20, 21, 22, 23, 24}, 21: {20, 21, 22, 23, 24}}
