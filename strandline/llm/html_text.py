@@ -4,8 +4,9 @@ The standard library's parser streams events; block elements end a line. Each li
 article, main, section or other container) and has the ratio of its text's length to the tags met in it. The ratios
 are smoothed over the page by a Gaussian and split at a threshold into content and the rest; a region is content when
 most of its text is in content lines and its own ratio is over the threshold. Menus, adverts, forms and the like are known by their element, role or class and
-never make lines. Where a page has article or main elements with text, only regions in these are looked at,
-and left out only when most of their text is links as well.
+never make lines. Where a page has article or main elements with text, the ratios of lines in these weigh more, those of
+other lines less, and a region in these needs no ratio of its own, so that a title beside text stays; none is left out or
+kept for its element alone.
 """
 
 from __future__ import annotations
@@ -54,25 +55,27 @@ ENDS = {"p": BLOCKS - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset
         "tr": frozenset({"tr", "tbody"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 #: Standard deviation of the Gaussian, in lines, and the share of the mean ratio under which a line is no content.
 SIGMA, SHARE = 1.0, 0.35
+#: What ratios inside article and main are multiplied by, and those outside divided by, on pages that have such text.
+WEIGHT = 2.0
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, region, in_main) for each line of a page."""
+    """Collects (text, tags, region, in_main) for each line of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, bool]] = []  # (tag, dropped, region, in main)
         self.text: list[str] = []
-        self.tags = self.regions = self.linked = self.links = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.tags = self.regions = 0
+        self.lines: list[tuple[str, int, int, bool]] = []
 
     def _end_line(self) -> None:
         if self.text:
             if words := " ".join("".join(self.text).split()):
                 _, _, region, main = self.open[-1] if self.open else ("", False, 0, False)
-                self.lines.append((words, max(1, self.tags), self.linked, region, main))
+                self.lines.append((words, max(1, self.tags), region, main))
             self.text = []
-        self.tags = self.linked = 0
+        self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in MAIN:  # an article is not inside a menu or header whose end tag is missing
@@ -99,7 +102,6 @@ class Lines(HTMLParser):
         _, dropped, region, main = self.open[-1] if self.open else ("", False, 0, False)
         main = main or tag in MAIN
         dropped = dropped or tag in DROPPED or (tag in FRAME and not main) or (bool(attrs) and tag not in ("html", "body") and self._marked(dict(attrs), main))
-        self.links += tag == "a"
         if tag in REGIONS:
             self.regions += 1
             region = self.regions
@@ -120,7 +122,6 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
-        self.links = max(0, self.links - (tag == "a"))
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._end_line() if any(t in BLOCKS for t, *_ in self.open[at:]) else None
@@ -130,7 +131,6 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
-            self.linked += len(data) if self.links else 0
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -153,21 +153,21 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser._end_line()
     lines = parser.lines
-    if in_main := any(x[4] for x in lines):
-        lines = [x for x in lines if x[4]]
     if not lines:
         return ""
-    ratios = smooth([len(text) / tags for text, tags, *_ in lines])
-    threshold = SHARE * sum(ratios) / len(ratios)
-    sums: dict[int, list[int]] = {}
-    for (text, tags, linked, region, _), ratio in zip(lines, ratios, strict=True):
-        x = sums.setdefault(region, [0, 0, 0, 0])
-        for i, n in enumerate((len(text), tags, linked, len(text) if ratio >= threshold else 0)):
+    in_main = any(main for *_, main in lines)
+    weights = [1.0 if not in_main else WEIGHT if main else 1 / WEIGHT for *_, main in lines]
+    ratios = smooth([w * len(text) / tags for w, (text, tags, *_) in zip(weights, lines, strict=True)])
+    threshold = level = SHARE * sum(ratios) / len(ratios)
+    if in_main:  # long paragraphs full of tags are text as well
+        level = min(level, SHARE * sum(w * len(x[0]) for w, x in zip(weights, lines, strict=True)) / sum(x[1] for x in lines))
+    sums: dict[int, list[float]] = {}
+    for (text, tags, region, main), w, ratio in zip(lines, weights, ratios, strict=True):
+        x = sums.setdefault(region, [0, 0, 0, 0, 0])
+        for i, n in enumerate((len(text), tags, len(text) if ratio >= level else 0, w * len(text), main)):
             x[i] += n
-    content = {r for r, (size, tags, _, dense) in sums.items() if 2 * dense >= size and size / tags >= threshold}
-    if in_main:
-        content |= {r for r, (size, _, linked, _) in sums.items() if 2 * linked <= size}
-    return "\n".join(x[0] for x in lines if x[3] in content)
+    content = {r for r, (size, tags, dense, weighed, main) in sums.items() if 2 * dense >= size and (main or weighed / tags >= threshold)}
+    return "\n".join(x[0] for x in lines if x[2] in content)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

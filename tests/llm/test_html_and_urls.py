@@ -24,6 +24,18 @@ def test_without_article():
     assert H.main_text(page) == "Hello there, a long paragraph of text.\nHi."
 
 
+def test_elements_weigh_and_ratios_decide():
+    text = [f"Paragraph {i} of the page's text, which is long enough to be what the page is about." for i in range(6)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in text)
+    teaser = "<article><h3><a href=/x>Other news</a></h3></article>"
+    assert set(text) <= set(H.main_text(f"<body><div>{paragraphs}</div><div><span><a>1</a></span><a>2</a></div>{teaser}</body>").split("\n"))
+    share = "<div>" + "".join(f"<span><b><a href=/{i}><i>Share {i}</i></a></b></span><br>" for i in range(12)).replace("<br>", "</div><div>") + "</div>"
+    links = "<div><ul>" + "".join(f"<li><span><a href=/{i}>To {i}</a></span></li>" for i in range(8)) + "</ul></div>"
+    page = f"<body><div>Short line</div><article><div><h1>The title</h1></div>{paragraphs}{links}{share}</article></body>"
+    got = H.main_text(page).split("\n")
+    assert got[:7] == ["The title", *text] and "To 7" not in got and "Share 9" not in got and "Short line" not in got
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("<p>", ""), ("a &lt; b&nbsp; c", "a < b c"), ("<article><p>cut", "cut"), ("<article>x<script>never closed", "x"), ("<p>" * 3000 + "deep", "deep")])
 def test_odd_pages(page, want):
     assert H.main_text(page) == want
