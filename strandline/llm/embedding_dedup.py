@@ -35,8 +35,9 @@ DEGREE0, DEGREE, BUILD_BEAM, BEAM = 32, 16, 64, 24
 ENTRIES, SCANNED = 8, 4096
 #: Nodes expanded at once for each query; vectors under the threshold by this much are still followed.
 STEP, SLACK = 4, 0.1
-#: Vectors of a shard's audit, and the recall it asks for.
-AUDIT, RECALL = 256, 0.99
+#: Vectors of a shard's audit, and of that of a batch of other shards' vectors, each taken twice: at random, and among those
+#: with links. The mean recall of vectors that is asked for at each number of links (by powers of two).
+AUDIT, AUDIT_ASKED, RECALL = 256, 64, 0.99
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -228,20 +229,51 @@ class Graph:
         empty = np.empty(0, dtype=np.int64)
         return np.concatenate(found_q or [empty]), np.concatenate(found_n or [empty])
 
+    def audit(self, exact: np.ndarray, own: np.ndarray | None, threshold: float, beam: int, recall: float = RECALL) -> tuple[int, float]:
+        """(beam, recall): the first beam, doubling, that finds enough of the links of these vectors; the recall is the mean
+        over vectors at the number of links where it is least. ``own`` has their places where they are of this graph."""
+        truth = np.zeros(len(exact), dtype=np.int64)
+        for s in range(0, len(exact), 64):
+            near = exact[s : s + 64] @ self.exact.T >= threshold
+            if own is not None:
+                near[np.arange(len(near)), own[s : s + 64]] = False
+            truth[s : s + 64] = near.sum(axis=1)
+        level = np.where(truth > 0, link_level(truth), -1)
+        while True:
+            q, n = self.links_of(exact, threshold, beam)
+            got = np.bincount(q if own is None else q[own[q] != n], minlength=len(exact))
+            least = min(((got[level == k] / truth[level == k]).mean() for k in np.unique(level[truth > 0])), default=1.0)
+            if least >= recall or beam >= len(self.x):
+                return beam, float(least)
+            beam *= 2
+
     def audited_beam(self, threshold: float, beam: int = BEAM, recall: float = RECALL, rows: int = AUDIT) -> tuple[int, float]:
-        """(beam, recall): the first beam, doubling, that finds enough of the links of a sample."""
+        """(beam, recall): ``audit`` of a sample of the graph's own vectors."""
         size = len(self.x)
         sample = np.random.default_rng(11).permutation(size)[:rows]
         # half of the sample from vectors that have links at all, as far as these are easily found
-        q, n = self.links_of(self.exact[np.random.default_rng(13).permutation(size)[: 8 * rows]], threshold, beam)
-        linked = np.unique(n)
-        sample = np.unique(np.concatenate((sample, np.random.default_rng(17).permutation(linked)[:rows])))
-        truth = int((self.exact[sample] @ self.exact.T >= threshold).sum())
-        while True:
-            got = len(self.links_of(self.exact[sample], threshold, beam)[0])
-            if got >= recall * truth or beam >= size:
-                return beam, got / max(1, truth)
-            beam *= 2
+        probed = np.random.default_rng(13).permutation(size)[: 8 * rows]
+        q, n = self.links_of(self.exact[probed], threshold, beam)
+        q, n = q[probed[q] != n], n[probed[q] != n]
+        linked, first = np.unique(n, return_index=True)
+        links = np.bincount(q, minlength=len(probed))[q[first]]
+        sample = np.unique(np.concatenate((sample, linked[spread(links, rows, 17)])))
+        return self.audit(self.exact[sample], sample, threshold, beam, recall)
+
+
+def link_level(links: np.ndarray) -> np.ndarray:
+    """The power of two below each number of links."""
+    return np.log2(np.maximum(links, 1)).astype(int)
+
+
+def spread(links: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """Places of at most ``rows`` of these numbers of links, as evenly as can be from every level."""
+    order = np.random.default_rng(seed).permutation(len(links))
+    level = link_level(links[order])
+    rank = np.empty(len(order), dtype=np.int64)
+    for k in np.unique(level):
+        rank[level == k] = np.arange((level == k).sum())
+    return order[np.argsort(rank, kind="stable")[:rows]]
 
 
 def local_roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,7 +294,7 @@ class _Shard:
     """One shard: collects its own vectors, then answers queries."""
 
     def __init__(self, threshold: float, beam: int):
-        self.threshold, self.beam, self.graph, self.parts, self.closed = threshold, beam, None, [], False
+        self.threshold, self.beam, self.asked_beam, self.graph, self.parts, self.closed = threshold, beam, beam, None, [], False
 
     def add(self, nodes: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> None:
         self.parts.append((nodes, weights, vectors))
@@ -289,7 +321,15 @@ class _Shard:
     def answer(self, nodes: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch | None:
         if not self.graph:
             return None
-        q, n = self.graph.links_of(unit(vectors), self.threshold, self.beam)
+        exact = unit(vectors)
+        q, n = self.graph.links_of(exact, self.threshold, self.asked_beam)
+        links = np.bincount(q, minlength=len(exact))
+        linked = np.flatnonzero(links)
+        sample = np.unique(np.concatenate((np.random.default_rng(19).permutation(len(exact))[:AUDIT_ASKED], linked[spread(links[linked], AUDIT_ASKED, 23)])))
+        beam, _ = self.graph.audit(exact[sample], None, self.threshold, self.asked_beam)
+        if beam > self.asked_beam:
+            self.asked_beam = beam
+            q, n = self.graph.links_of(exact, self.threshold, beam)
         return self._tell(nodes, q, self.place[n])
 
     def _tell(self, nodes: np.ndarray, q: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:

@@ -130,6 +130,36 @@ def test_graph_finds_links():
     assert recall >= V.RECALL and not (got & ~truth).any() and (got & truth).sum() >= 0.98 * truth.sum()
 
 
+class Losing(V.Graph):
+    """Loses the links of vectors in groups of at most ``lost`` at beams under ``enough``, but not a vector's hit on itself."""
+
+    lost, enough = 2, 4 * V.BEAM
+
+    def links_of(self, exact, threshold, beam):
+        near = exact @ self.exact.T
+        q, n = np.nonzero(near >= threshold)
+        few = (np.bincount(q, minlength=len(exact)) <= self.lost)[q] & (beam < self.enough) & (near[q, n] < 1 - 1e-9)
+        return q[~few], n[~few]
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group():
+    x = vectors(np.random.default_rng(5), [600, *[2] * 100], 400, d=32)
+    g = Losing(x)
+    beam, recall = g.audited_beam(0.95)
+    assert (beam >= Losing.enough) and recall >= V.RECALL
+
+
+def test_audit_of_other_shards_vectors():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 32))
+    shard = V._Shard(0.95, V.BEAM)
+    shard.add(np.arange(500), np.ones(500, dtype=np.int64), x)
+    shard.close(True)
+    shard.graph.__class__ = Losing
+    out = shard.answer(np.arange(1000, 1040), x[:40] + rng.normal(size=(40, 32)) * 0.08)
+    assert out is not None and out.num_rows == 40 and shard.asked_beam >= Losing.enough
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(2)
     x = vectors(rng, [60, 5, 3, 2, 2], 200)
