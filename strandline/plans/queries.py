@@ -257,11 +257,29 @@ select quality, sha256(string_agg(chr(10) || '── Chunk ' || i || ' ───
 from d where i <= 5 group by quality""",
 )
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[AGG-7, SCL-12] The context of the five first documents of each quality (a top-k report)."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    best = relational.newest(d, ["quality"], 5, F.col("doc_id"))
+    """[AGG-7, SCL-12] The context of the five first documents of each quality (a top-k report), 40 characters of each."""
+    return _prompt_context(spark, sf_dir, F.left("text", F.lit(40)))
+
+
+@register(
+    "prompt_context_whole",
+    """with d as (select quality, doc_id, row_number() over (partition by quality order by doc_id) as i, source, n_chars, text as code from documents join labels using (doc_id))
+select quality, sha256(string_agg(chr(10) || '── Chunk ' || i || ' ──────────────────────────' || chr(10) || 'File:  ' || source || chr(10) || 'Name:  ' || doc_id || chr(10) || 'Lines: 1-' || n_chars || chr(10) || 'Code:' || chr(10) || code || chr(10), '' order by i)) as h
+from d where i <= 5 group by quality""",
+)
+def prompt_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[AGG-7, SCL-12] The same with whole texts, as prompts have them."""
+    return _prompt_context(spark, sf_dir, F.col("text"))
+
+
+def _prompt_context(spark: SparkSession, sf_dir: str, code: Column) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    # texts are read for the first documents alone: five ids for each of two qualities
+    first = relational.newest(docs.select("doc_id").join(labels.select("doc_id", "quality"), "doc_id"), ["quality"], 5, F.col("doc_id"))
+    wanted = F.broadcast(first.select("doc_id").distinct())
+    best = relational.newest(docs.join(wanted, "doc_id").join(F.broadcast(labels.join(wanted, "doc_id")), "doc_id"), ["quality"], 5, F.col("doc_id"))
     nth = F.row_number().over(search.W.partitionBy("quality").orderBy("doc_id"))
-    hit = best.select("quality", nth.alias("i"), F.col("source").alias("file"), F.col("doc_id").cast("string").alias("name"), F.lit("1").alias("start_line"), F.col("n_chars").cast("string").alias("end_line"), F.left("text", F.lit(40)).alias("code"))
+    hit = best.select("quality", nth.alias("i"), F.col("source").alias("file"), F.col("doc_id").cast("string").alias("name"), F.lit("1").alias("start_line"), F.col("n_chars").cast("string").alias("end_line"), code.alias("code"))
     joined = relational.ordered_text(hit, ["quality"], "i", answers.context_block(F.col("i")), "", "context")
     return joined.select("quality", F.sha2("context", 256).alias("h"))
 
