@@ -74,6 +74,17 @@ def fan_out_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.fan_out(repos, files).select("repo_id", "job_id", "file_path", "language", "retries")
 
 
+@register(
+    "fan_out_all_messages",
+    "select source as repo_id, source || '-job' as job_id, source || '/' || doc_id as file_path, lang as language, 0 as retries from documents where source is not null",
+)
+def fan_out_all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-6] The fetch messages of all repositories become a message for each of their files."""
+    files = queries.files(spark, sf_dir).withColumnRenamed("file_path", "path")
+    repos = files.where("repo_id is not null").select("repo_id").distinct().select("repo_id", F.concat("repo_id", F.lit("-job")).alias("job_id"), F.lit("u").alias("repo_url"))
+    return messages.fan_out(repos, files).select("repo_id", "job_id", "file_path", "language", "retries")
+
+
 @register(
     "flushed_jobs",
     f"""with c as ({queries._COUNTS})

@@ -13,3 +13,10 @@ def test_prompt_context_has_whole_texts(spark, tmp_path):
     assert len(one) == 1 and one != two  # they differ after the 40th character only
     larger = SF.replace("0.001", "0.01")
     assert rows(QUERIES["prompt_context_whole"](spark, larger)) == oracle("", ORACLES["prompt_context_whole"], larger)
+
+
+def test_messages_of_all_sources(spark, tmp_path):
+    docs = [(1, "src1", "de", "a"), (2, "other", "en", "b"), (3, "other", "en", "c"), (4, None, "en", "d")]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["fan_out_all_messages"](spark, str(tmp_path)).select("repo_id", "job_id", "file_path").collect()
+    assert sorted(map(tuple, got)) == [("other", "other-job", "other/2"), ("other", "other-job", "other/3"), ("src1", "src1-job", "src1/1")]
