@@ -378,6 +378,18 @@ def registration_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.registration_conflicts(new, users).select("id", "conflict")
 
 
+@register(
+    "registration_conflicts_all",
+    """with n as (select s_suppkey as id, s_name as username, 'mail' || (s_suppkey * 20) as email from supplier), u as (select c_name as username, 'mail' || c_custkey as email from customer)
+select id, case when email in (select email from u) then 'email' when username in (select username from u) then 'username' end as conflict from n""",
+)
+def registration_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[INS-1, Q17] The same against all customers; about three of four registrations use a customer's e-mail."""
+    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"), F.concat(F.lit("mail"), (F.col("s_suppkey") * 20).cast("string")).alias("email"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_name").alias("username"), F.concat(F.lit("mail"), F.col("c_custkey").cast("string")).alias("email"))
+    return relational.registration_conflicts(new, users).select("id", "conflict")
+
+
 def message_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages (lineitem), repositories (suppliers with a balance) and jobs (orders that are finished)."""
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("repo_id"), num("l_linenumber").alias("line"))

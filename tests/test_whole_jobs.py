@@ -20,3 +20,14 @@ def test_messages_of_all_sources(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["fan_out_all_messages"](spark, str(tmp_path)).select("repo_id", "job_id", "file_path").collect()
     assert sorted(map(tuple, got)) == [("other", "other-job", "other/2"), ("other", "other-job", "other/3"), ("src1", "src1-job", "src1/1")]
+
+
+def test_registrations_meet_all_customers(spark, tmp_path):
+    spark.createDataFrame([(i, f"s{i}") for i in (1, 2, 3, 4)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(20, "a"), (40, "b"), (14_980, "s3"), (15_000, "c")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = dict(map(tuple, QUERIES["registration_conflicts_all"](spark, str(tmp_path)).collect()))
+    assert got == {1: "email", 2: "email", 3: "username", 4: None}
+    larger = SF.replace("0.001", "0.1")
+    found = rows(QUERIES["registration_conflicts_all"](spark, larger))
+    assert found == oracle("", ORACLES["registration_conflicts_all"], larger)
+    print({c: sum(repr(c) in r for r in found[1]) for c in ("email", "username", None)})
