@@ -12,10 +12,11 @@ in common (the prefix filter). Both stay true inside a part of all shingles, as
    common passages come last; shingles of one document match nothing, and a document with p of them is out. Among
    equal frequencies each order goes by a hash of its own. A candidate pair has to share a prefix shingle under all
    orders, and its sizes and the positions of the shared shingle have to leave room for the overlap.
-3. A group of thousands of near copies is not expanded into pairs. In each round, the members of a posting list are
-   paired with a few centres of the list only (``CENTRES``); links join documents to components; lists inside one
-   component are done. In the end the pairs across components that are left in any list are all tried, so no link between
-   components is lost.
+3. The filters of all orders are tested before a pair exists: a row of a posting list (first order) carries the prefixes of
+   the other orders and a sketch of its set as bits. A group of thousands of near copies is not expanded into pairs: the set
+   with the fewest shingles of its own stands in the middle of a list, the others are paired with it, and links join documents to
+   components. Then the members of a list are compared across components, block by block, and only pairs that pass all filters
+   are written and verified, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,10 +38,12 @@ from strandline.llm.components import connected_components
 WORDS = 5
 #: Universe A: this share of all hashes; sets up to SMALL are in universe B.
 PART, SMALL = 1 / 3, 128
-#: Centres of a list in each round, before all pairs across components that are left are tried.
-CENTRES = (1, 4, 16)
-#: Members of one centre that are compared in one task.
-BLOCK = 64
+#: Members of one centre that are compared in one task, and of a posting list that are compared with as many others in one.
+BLOCK, LIST_BLOCK = 64, 512
+#: Words of 64 bits of a filter, and of the sketch of a set.
+LONGS = 8
+#: Rows of filters (about 300 bytes each) up to which they are broadcast.
+FILTER_ROWS = 40_000
 #: Texts hashed together, words kept with their hashes in a Python worker, keys that a worker remembers.
 BATCH, CACHED_WORDS, CACHED_KEYS = 256, 100_000, 100_000
 _M1, _M2, _P, _B = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -166,39 +169,40 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of sets of one token and different components that ``fits`` leaves; rows come sorted by (token, c)."""
-    seen: set[tuple[int, int]] = set()
-    held: list[np.ndarray] = []
-
-    def pairs(t: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray, room: np.ndarray) -> Iterator[pd.DataFrame]:
-        cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
-        out: list[tuple[int, int]] = []
-        for s, z in zip(cuts[:-1], cuts[1:], strict=True):
-            starts = s + np.flatnonzero(np.concatenate(([True], c[s + 1 : z] != c[s : z - 1])))
-            for i in range(starts[1] if len(starts) > 1 else z, z):
-                other = slice(s, starts[np.searchsorted(starts, i, side="right") - 1])
-                for k in key[other][7 * np.minimum(room[other], room[i]) >= 3 * (n[other] + n[i])].tolist():
-                    pair = (int(key[i]), k) if key[i] < k else (k, int(key[i]))
-                    if pair not in seen:
-                        if len(seen) < 500_000:
-                            seen.add(pair)
-                        out.append(pair)
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["a", "b"])
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
-
+    """Pairs that ``may_link`` leaves, of sets of different components; rows come sorted by cell (token, i, j). A cell holds
+    one block of a posting list (i = j), or two whose members are compared with each other."""
+    held = None
     for frame in batches:
-        now = [frame[x].to_numpy() for x in ("token", "c", "key", "n", "room")]
-        if held:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        last = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if (now[0] != now[0][-1]).any() else 0
-        held = [x[last:] for x in now]
-        if last:
-            yield from pairs(*(x[:last] for x in now))
-    if held:
-        yield from pairs(*held)
+        now = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        cell = now[["token", "i", "j"]].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(axis=1))))
+        yield from _cells(now.iloc[: first[-1]], first[:-1])
+        held = now.iloc[first[-1] :]
+    if held is not None:
+        yield from _cells(held, np.zeros(1, dtype=np.int64))
+
+
+def _cells(frame: pd.DataFrame, first: np.ndarray) -> Iterator[pd.DataFrame]:
+    if not len(frame):
+        return
+    own, i, j, c, key, n, room = (frame[x].to_numpy() for x in ("own", "i", "j", "c", "key", "n", "room"))
+    f2, f3, sketch = (np.stack(frame[x].to_numpy()).view(np.uint64) for x in ("f2", "f3", "sketch"))
+    left, right = [], []
+    for start, end in zip(first, [*first[1:], len(frame)], strict=True):
+        inside = i[start] == j[start]
+        for x in range(start, end - 1):
+            y = np.arange(x + 1, end)
+            fits = (c[y] != c[x]) & (7 * np.minimum(room[y], room[x]) >= 3 * (n[y] + n[x]))
+            y = y[fits if inside else fits & (own[y] != own[x])]
+            for f in (f2, f3):
+                y = y[(f[y] & f[x]).any(axis=1)] if len(y) else y
+            if len(y):
+                y = y[7 * np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= n[y] + n[x]]
+                left.append(np.full(len(y), key[x]))
+                right.append(key[y])
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,11 +222,19 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["a", "b"])
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """64 * LONGS bits: whether an odd number of tokens falls on each. Two sets' sketches differ in no more bits than the sets do
+    in tokens."""
+    odd = np.bincount((tokens % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         for i in range(0, len(frame), BATCH):
             part = frame.iloc[i : i + BATCH]
-            yield pd.DataFrame({"key": part["key"], "tokens": [s.tobytes() for s in shingle_sets(list(part["text"]))]})
+            sets = shingle_sets(list(part["text"]))
+            yield pd.DataFrame({"key": part["key"], "tokens": [s.tobytes() for s in sets], "sketch": [sketch_of(s) for s in sets]})
 
 
 def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,11 +264,12 @@ def _lists(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "ent").mapInPandas(_shared, "token long, ent long")
 
 
-def _prefixes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((token, key, n, room, in1), (key, f2, f3)) of the sets that are not out.
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(token, key, n, alone, room, f2, f3, sketch) of the sets that are not out: the posting lists of the first order's prefixes.
 
-    ``in1`` marks the prefix of the first order and ``room`` is what is left of the set from that token on: an upper bound of
-    the overlap with a set that shares this token first. f2 and f3 are the prefixes of the other orders, as 15-bit hashes.
+    ``room`` is what is left of the set from the token on: an upper bound of the overlap with a set that shares this token first.
+    f2 and f3 are the prefixes of the other orders, as 64 * LONGS bits. ``alone`` counts the shingles that no other set has.
+    Of tokens that are in the prefixes of just the same sets, only the first in the order is here: it leaves most room.
     """
     shared = materialize(_lists(sets.select("key", "tokens").mapInPandas(_unpacked, "token long, ent long")).withColumnRenamed("ent", "key"))
     n = (F.octet_length("tokens") / 8).cast("long")
@@ -269,11 +282,37 @@ def _prefixes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = lists.join(df, "token").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
     for i, order in enumerate((F.col("token"), F.xxhash64("token", F.lit(2)), F.xxhash64("token", F.lit(3))), 1):
         ranked = ranked.withColumn(f"at{i}", F.col("alone") + F.row_number().over(own.orderBy("df", order)) - 1)
-    kept = ranked.where("at1 < p or at2 < p or at3 < p")
-    prefixes = materialize(kept.select("token", "key", "n", (F.col("n") - F.col("at1")).alias("room"), *(F.expr(f"at{i} < p as in{i}") for i in (1, 2, 3))))
-    short = F.pmod(F.xxhash64("token"), F.lit(32768)).cast("short")
-    filters = prefixes.groupBy("key").agg(*(F.collect_set(F.when(F.col(f"in{i}"), short)).alias(f"f{i}") for i in (2, 3)))
-    return prefixes, materialize(filters)
+    kept = ranked.where("at1 < p or at2 < p or at3 < p").withColumn("bit", F.pmod(F.xxhash64("token"), F.lit(64 * LONGS)))
+    prefixes = materialize(kept.select("token", "key", "n", "df", "alone", "bit", F.expr("n - at1 as room"), *(F.expr(f"at{i} < p as in{i}") for i in (1, 2, 3))))
+
+    def bits(marked: str) -> Column:
+        return F.array(*(F.expr(f"bit_or(if({marked} and bit div 64 = {k}, shiftleft(1L, cast(bit % 64 as int)), 0L))") for k in range(LONGS)))
+
+    filters = materialize(prefixes.groupBy("key").agg(bits("in2").alias("f2"), bits("in3").alias("f3")).join(sets.select("key", "sketch"), "key"))
+    first = prefixes.where("in1").select("token", "key", "n", "df", "alone", "room")
+    members = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64("key", F.lit(1))))
+    alike = first.groupBy("token", "df").agg(*(x.alias(f"m{i}") for i, x in enumerate(members))).where("m0 > 1")
+    stand = materialize(alike.groupBy("m0", "m1", "m2").agg(F.min(F.struct("df", "token")).alias("first")).select("first.token"))
+    return materialize(first.join(broadcast_if_small(stand), "token").drop("df").join(broadcast_if_small(filters, FILTER_ROWS), "key"))
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether the sets of two rows of one list can have J >= 3/4. The shingle sets differ in at most a seventh of their sizes' sum."""
+    common = [f"exists(zip_with({a}{f}, {b}{f}, (x, y) -> x & y), z -> z <> 0)" for f in ("f2", "f3")]
+    apart = f"aggregate(zip_with({a}sketch, {b}sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    both = f"({a}n + {b}n)"
+    return F.expr(" and ".join([f"7 * least({a}room, {b}room) >= 3 * {both}", *common, f"7 * {apart} <= {both}"]))
+
+
+def _cells_of(named: DataFrame) -> DataFrame:
+    """The rows of lists with several components, once for each cell: a list of many blocks is dealt to many tasks."""
+    several = materialize(
+        named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks")).where("lo <> hi").drop("lo", "hi")
+    )
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own")
+    dealt = named.join(broadcast_if_small(several), "token").select("*", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return cells.select("token", "i", "j", "own", "c", "key", "n", "room", "f2", "f3", "sketch")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,43 +341,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alive = ents.join(common, "ent").where("common > m - p").select(F.col("ent").bitwiseAND(F.lit(-2)).alias("key")).distinct()
     wanted = materialize(alive.join(reps, "key").select("key", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")))
     found = texts.join(broadcast_if_small(wanted), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid")))
-    sets = materialize(found.select("key", "text").mapInPandas(_tokens, "key long, tokens binary").dropDuplicates(["key"]))
-    prefixes, filters = _prefixes(sets)
-
-    labels = links = tried = None
-    for turn in range(len(CENTRES) + 1):
-        named = prefixes.where("in1").select("token", "key", "n", "room")
-        if labels is None:
-            named = named.withColumn("c", F.col("key"))
-        else:
-            named = named.join(broadcast_if_small(labels), named["key"] == labels["v"], "left").withColumn("c", F.coalesce("c", "key")).drop("v")
-        named = materialize(named)
-        # the centres of a list: at first the same for all lists as far as possible, then any members
-        seeds = [F.xxhash64("key", "token", F.lit(turn), F.lit(i)) for i in range(CENTRES[turn])] if 0 < turn < len(CENTRES) else [F.xxhash64("key")]
-        centres = [F.min(F.struct(h.alias("h"), "key", "c", "n", "room")).alias(f"to{i}") for i, h in enumerate(seeds)]
-        several = F.array(*(f"to{i}" for i in range(len(seeds)))).alias("to")
-        still_open = materialize(
-            named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *centres).where("lo <> hi").select("token", several)
-        )
-        if turn < len(CENTRES):
-            fits = (F.col("to.c") != F.col("c")) & (7 * F.least("room", "to.room") >= 3 * (F.col("n") + F.col("to.n")))
-            near = named.join(still_open.withColumn("to", F.explode("to")), "token").where(fits)
-            # the centre stays on the left: its set is sent once for many others
-            pairs = near.select(F.col("to.key").alias("a"), F.col("key").alias("b")).distinct()
-        else:
-            rest = named.join(still_open.select("token"), "token").select("token", "c", "key", "n", "room")
-            pairs = rest.repartition("token").sortWithinPartitions("token", "c").mapInPandas(_crossing, "a long, b long").distinct()
-        if tried is not None:
-            done = tried.union(tried.select("b", "a"))
-            pairs = pairs.join(broadcast_if_small(done), ["a", "b"], "left_anti")
-        pairs = pairs.join(filters.select(F.col("key").alias("a"), F.col("f2").alias("a2"), F.col("f3").alias("a3")), "a").join(
-            filters.select(F.col("key").alias("b"), F.col("f2").alias("b2"), F.col("f3").alias("b3")), "b"
-        )
-        pairs = materialize(pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
-        new = verify(pairs, sets)
-        tried = pairs if tried is None else materialize(tried.union(pairs))
-        links = new if links is None else materialize(links.union(new))
-        labels = connected_components(links)
+    sets = materialize(found.select("key", "text").mapInPandas(_tokens, "key long, tokens binary, sketch array<long>").dropDuplicates(["key"]))
+    lists = _prefixes(sets)
+
+    # one set of each list, the one with the fewest shingles of its own, against the others: a group of copies around it is linked
+    centre = F.min(F.struct((F.col("alone") / F.col("n")).alias("off"), F.xxhash64("key").alias("h"), "key", "n", "room", "f2", "f3", "sketch"))
+    centres = materialize(lists.groupBy("token").agg(centre.alias("to")))
+    near = lists.join(centres, "token").where(F.col("key") != F.col("to.key")).where(may_link("", "to."))
+    # the centre stays on the left: its set is sent once for many others
+    links = verify(materialize(near.select(F.col("to.key").alias("a"), F.col("key").alias("b")).distinct()), sets)
+    # then what is left: all that may link across components
+    labels = broadcast_if_small(connected_components(links))
+    named = materialize(lists.join(labels, lists["key"] == labels["v"], "left").withColumn("c", F.coalesce("c", "key")).drop("v"))
+    cells = _cells_of(named).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = materialize(cells.mapInPandas(_crossing, "a long, b long").distinct())
+    labels = connected_components(materialize(links.union(verify(pairs, sets))))
     named = reps.join(labels, reps["key"] == labels["v"], "left").select("key", "rep", F.coalesce("c", "key").alias("c"))
     classes = materialize(named)
     best = classes.groupBy("c").agg(F.min("rep").alias("best"))

@@ -97,12 +97,48 @@ def test_shared_tokens_stream(pairs, size):
     assert got == sorted(p for p in set(pairs) if counts[p[0]] > 1)
 
 
-def test_crossing_pairs(spark):
-    rows = [(1, 1, 10, 5, 5), (1, 1, 12, 5, 5), (1, 2, 14, 5, 5), (1, 3, 16, 9, 9), (2, 1, 10, 5, 5), (2, 2, 14, 5, 5)]
-    for size in (1, 2, 6):
-        frames = [pd.DataFrame(rows[i : i + size], columns=["token", "c", "key", "n", "room"]) for i in range(0, 6, size)]
+def test_crossing_pairs():
+    bits, none = np.ones(J.LONGS, dtype=np.int64), np.zeros(J.LONGS, dtype=np.int64)
+    apart = np.full(J.LONGS, -1, dtype=np.int64)
+    columns = ["token", "i", "j", "own", "c", "key", "n", "room", "f2", "f3", "sketch"]
+    rows = [(1, 0, 0, 0, 1, 10, 8, 8, bits, bits, none), (1, 0, 0, 0, 1, 12, 8, 8, bits, bits, none), (1, 0, 0, 0, 2, 14, 8, 8, bits, bits, none)]
+    rows += [(1, 0, 0, 0, 3, 16, 80, 80, bits, bits, none), (1, 0, 0, 0, 4, 18, 8, 8, none, bits, none), (1, 0, 0, 0, 5, 20, 8, 8, bits, none, none)]
+    rows += [(1, 0, 0, 0, 6, 22, 8, 8, bits, bits, apart), (1, 0, 1, 0, 1, 10, 8, 8, bits, bits, none), (1, 0, 1, 0, 2, 14, 8, 8, bits, bits, none)]
+    rows += [(1, 0, 1, 1, 7, 24, 8, 8, bits, bits, none), (2, 0, 0, 0, 1, 10, 8, 8, bits, bits, none), (2, 0, 0, 0, 2, 14, 8, 6, bits, bits, none)]
+    for size in (1, 2, 5, 12):
+        frames = [pd.DataFrame(rows[i : i + size], columns=columns) for i in range(0, len(rows), size)]
         got = {tuple(r) for f in J._crossing(iter(frames)) for r in f.itertuples(index=False)}
-        assert got == {(10, 14), (12, 14)}
+        assert got == {(10, 14), (12, 14), (10, 24), (14, 24)}
+
+
+def test_sketches_differ_by_no_more_than_sets():
+    rng = np.random.default_rng(8)
+    for size in (1, 40, 3000):
+        a, b = (np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate((a[size // 3 :], b)))
+        apart = np.bitwise_count((J.sketch_of(a) ^ J.sketch_of(b)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_common_passage_writes_few_pairs(spark, monkeypatch):
+    """2,000 short texts share one passage that is most of each; 400 near copies of one text lie close to the threshold."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{i}" for i in range(44))
+    texts = [f"{passage} " + " ".join(f"q{rng.integers(1e9)}" for _ in range(6 + i % 9)) for i in range(2000)]
+    texts += family(rng, 400, 120, 4, [])
+    counted, verify = [], J.verify
+
+    def counting(pairs, sets):
+        counted.append(pairs.count())
+        return verify(pairs, sets)
+
+    monkeypatch.setattr(J, "verify", counting)
+    docs = list(enumerate(texts))
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sum(counted) <= 3 * len(texts)
+    sample = [docs[i] for i in range(0, 2400, 6)]
+    assert found(spark.createDataFrame(sample, "doc_id long, text string")) == brute(sample)
+    assert {i: got[i] for i in range(2000, 2400)} == {i: x for i, x in brute(docs[2000:]).items()}
 
 
 def test_components(spark):
