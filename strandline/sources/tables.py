@@ -1,4 +1,4 @@
-"""[SNK-*] Tables that are replaced as a whole: versioned folders and a pointer to the current one.
+"""[SNK-*] Tables that are replaced as a whole (versioned folders and a pointer to the current one) or by partitions.
 
 A new version is written beside the old one and becomes current by one small write, so readers see the old or the new state,
 and a write that dies leaves only a folder that no pointer names. One writer per table.
@@ -57,6 +57,45 @@ class Table:
                 fs.delete(p, True)
 
 
+class PartitionedTable(Table):
+    """A table whose partitions are replaced one by one: a batch reads and writes only those that it meets [SNK-3, DEL-3].
+
+    Batches have to be repeatable: one that dies while its partitions are moved into place leaves some old and some new, and
+    is run again.
+    """
+
+    def read(self) -> DataFrame:
+        fs, p = self._fs(f"{self.path}/data")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data") if fs.exists(p) else self.spark.createDataFrame([], self.schema)
+
+    def replace_partitions(self, df: DataFrame, met: DataFrame) -> None:
+        """The partitions of ``met`` (the columns of ``by``) hold the rows of ``df`` from now on, and no others. ``df`` has no rows
+        of other partitions; those that get none are dropped."""
+        writer = df.select(*self.schema.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        for c in self.lookup:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        # known before the write, which deletes what ``df`` may be made from
+        left = met.select(*self.by).distinct().join(df.select(*self.by).distinct(), list(self.by), "left_anti").persist()
+        try:
+            left.count()
+            writer.partitionBy(*self.by).parquet(f"{self.path}/data")
+            self.drop_partitions(left)
+        finally:
+            left.unpersist()
+
+    def append(self, df: DataFrame) -> None:
+        """Adds rows; the table may hold rows twice where a batch was run again."""
+        df.select(*self.schema.fieldNames()).write.mode("append").partitionBy(*self.by).parquet(f"{self.path}/data")
+
+    def drop_partitions(self, keys: DataFrame) -> None:
+        """Deletes the partitions of ``keys``, a request's worth of them."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in keys.select(*self.by).distinct().toLocalIterator():
+            inside = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else escape(str(row[c]))}" for c in self.by)
+            fs, p = self._fs(f"{self.path}/data/{inside}")
+            fs.delete(p, True)
+
+
 def append(df: DataFrame, path: str) -> None:
     """[SNK-1, SNK-5] Appends rows: messages, question history."""
     df.write.mode("append").parquet(path)

@@ -6,6 +6,8 @@ file whose content is known and completed is skipped and still counted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,23 +16,25 @@ from pyspark.sql.streaming import StreamingQuery
 from strandline.functions import text as T
 from strandline.operators import answers, chunking, embedding, relational, upsert
 from strandline.schemas import FILE_METADATA, POINTS, PROCESS_MESSAGE
-from strandline.sources.tables import Table
+from strandline.sources import files
+from strandline.sources.tables import PartitionedTable
 from strandline.streaming import messages
 
 
 class Store:
-    """The tables of one deployment below ``path``."""
+    """The tables of one deployment below ``path``, partitioned by what is replaced or deleted together."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.points = Table(spark, f"{path}/points", POINTS, by=["repo_id"], lookup=["file"])
-        self.metadata = Table(spark, f"{path}/file_metadata", FILE_METADATA)
-        self.stages = Table(spark, f"{path}/stages", "job_id string, file_path string, stage string")
+        self.points = PartitionedTable(spark, f"{path}/points", POINTS, by=["repo_id"], lookup=["file"])
+        self.metadata = PartitionedTable(spark, f"{path}/file_metadata", FILE_METADATA, by=["repo_id"])
+        self.stages = PartitionedTable(spark, f"{path}/stages", "job_id string, file_path string, stage string", by=["job_id"])
 
     def ingest(self, files: DataFrame, provider: str = "hashing") -> DataFrame:
         """[3.1] Ingests a batch (repo_id, job_id, file_path, language, content) and returns what failed, with ``error``.
 
-        Of several messages about one file the last one in order of content hash counts, so a replay changes nothing.
+        Of several messages about one file the last one in order of content hash counts, so a replay changes nothing. Only
+        the partitions of the batch's repositories are read and written; each file is parsed once.
         """
         hashed = files.withColumn("file_hash", T.file_hash(F.col("content")))
         bad = hashed.where("content is null or file_path is null or repo_id is null").drop("file_hash").withColumn("error", F.lit("missing content"))
@@ -38,35 +42,57 @@ class Store:
         once = good.withColumn("nth", F.row_number().over(W.partitionBy("repo_id", "file_path").orderBy(F.desc("file_hash")))).where("nth = 1").drop("nth")
         old = self.metadata.read()
         todo = relational.changed_files(once, old).persist()
+        parsed = chunking.parse_files(todo.select("repo_id", F.col("file_path").alias("path"), "language", "content")).persist()
         try:
-            as_files = todo.select("repo_id", F.col("file_path").alias("path"), "language", "content")
-            points = embedding.points(chunking.chunk_files(as_files), provider)
+            met = todo.select("repo_id").distinct()
+            points = embedding.points(chunking.chunks_of(parsed), provider)
             # points of a file are replaced as a whole, also where its new content has none
-            kept = upsert.delete_keys(self.points.read(), todo.select("repo_id", F.col("file_path").alias("file")), ["repo_id", "file"])
-            self.points.replace(kept.unionByName(points.select(*kept.columns)))
-            heads = chunking.file_headers(as_files)
+            own = self.points.read().join(met, "repo_id", "left_semi")
+            kept = upsert.delete_keys(own, todo.select("repo_id", F.col("file_path").alias("file")), ["repo_id", "file"])
+            self.points.replace_partitions(kept.unionByName(points.select(*kept.columns)), met)
+            heads = chunking.headers_of(parsed)
             summary = answers.offline_summary(F.col("file_path"), F.col("imports"), F.col("skeleton"))
             new = heads.join(todo.select("repo_id", "file_path", "file_hash"), ["repo_id", "file_path"]).select(
                 "repo_id", "file_path", "file_hash", "imports", "exports", "skeleton", summary.alias("summary"), "chunks_indexed", F.lit("completed").alias("status"), F.current_timestamp().alias("updated_at")
             )
-            self.metadata.replace(upsert.merge_columns(old, new, ["repo_id", "file_path"], F.desc("updated_at")))
+            merged = upsert.merge_columns(old.join(met, "repo_id", "left_semi"), new, ["repo_id", "file_path"], F.desc("updated_at"))
+            self.metadata.replace_partitions(merged, met)
         finally:
+            parsed.unpersist()
             todo.unpersist()
-        # every file of the batch counts in every stage, once, skipped ones too
+        # every file of the batch counts in every stage, skipped ones too; once, however often it is listed here
         seen = good.select("job_id", "file_path", F.explode(F.array(*map(F.lit, ("fetched", "processed", "stored")))).alias("stage"))
-        self.stages.replace(self.stages.read().unionByName(seen).distinct())
+        self.stages.append(seen.distinct())
         return bad
 
     def progress(self, totals: DataFrame) -> DataFrame:
         """[AGG-2..4] Progress and status of the jobs of ``totals`` (job_id, total_files)."""
-        counts = totals.join(relational.stage_counts(self.stages.read()), "job_id", "left").na.fill(0)
+        own = self.stages.read().join(totals.select("job_id").distinct(), "job_id", "left_semi")
+        counts = totals.join(relational.stage_counts(own), "job_id", "left").na.fill(0)
         return relational.job_progress(counts)
 
-    def delete_repos(self, repos: DataFrame) -> None:
-        """[DEL-1] Removes all that belongs to repositories (id)."""
-        left = upsert.cascade_delete({"points": self.points.read(), "metadata": self.metadata.read()}, repos, {"points": "repo_id", "metadata": "repo_id"})
-        self.points.replace(left["points"])
-        self.metadata.replace(left["metadata"])
+    def delete_repos(self, repos: DataFrame, jobs: DataFrame | None = None) -> None:
+        """[DEL-1, DEL-3] Removes all that belongs to repositories (id): their points, their files' metadata and, by ``jobs`` (id,
+        repo_id), the progress of their jobs. Rows of other tables go by ``upsert.cascade_delete``."""
+        gone = repos.select(F.col("id").alias("repo_id")).distinct()
+        self.points.drop_partitions(gone)
+        self.metadata.drop_partitions(gone)
+        if jobs is not None:
+            self.stages.drop_partitions(jobs.join(gone, "repo_id", "left_semi").select(F.col("id").alias("job_id")))
+
+
+def fetch(spark: SparkSession, repo_messages: DataFrame, folders: dict[str, str], jobs: DataFrame, inbox: str) -> DataFrame:
+    """[STR-6, SRC-1, SRC-2, FLT-1, AGG-6] The step from repositories to files: lists, filters and reads the files below the folder
+    of each repository of ``repo_messages`` (repo_url, job_id, repo_id), sends a message for each file to ``inbox`` and returns
+    ``jobs`` with their numbers of files. A job without files is completed at once."""
+    found = [files.source_files(spark, path, repo_id) for repo_id, path in folders.items()]
+    listed = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "repo_id string, path string, language string, content string")
+    messages.publish(messages.fan_out(repo_messages, listed), inbox)
+    totals = repo_messages.select("repo_id", F.col("job_id").alias("id")).join(listed.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")), "repo_id", "left")
+    both = jobs.join(totals.groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n")), "id", "left")
+    empty = F.col("n") == 0
+    values = {"total_files": F.coalesce(F.col("n").cast("int"), "total_files"), "status": F.when(empty, "completed").otherwise(F.col("status")), "progress": F.when(empty, 100).otherwise(F.col("progress"))}
+    return both.withColumns(values).select(*jobs.columns)
 
 
 def run(spark: SparkSession, inbox: str, store: Store, dead: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -7,10 +7,13 @@ here is idempotent: it is keyed by batch, or by what a message is about.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,13 +26,16 @@ from strandline.schemas import schema
 CORRUPT = "_corrupt"
 #: Files of a poll, and the life of a job's progress without news, in seconds.
 FILES_PER_POLL, PROGRESS_TTL = 5, 86_400
+#: Seconds between the polls of a status stream.
+STATUS_POLL = 2.0
 
 
 def read_messages(spark: SparkSession, path: str, fields: str | StructType, files_per_poll: int = FILES_PER_POLL) -> DataFrame:
-    """[SRC-7, STR-12] A stream of JSON messages; one that does not fit the schema has its text in ``_corrupt``."""
+    """[SRC-7, STR-12] A stream of JSON messages; one that does not fit the schema has its text in ``_corrupt``. Folders below
+    ``path`` are read too: that is where ``settle`` puts messages that are tried again."""
     wanted = StructType(list((schema(fields) if isinstance(fields, str) else fields).fields)).add(CORRUPT, "string")
     reader = spark.readStream.schema(wanted).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.option("maxFilesPerTrigger", files_per_poll).json(path)
+    return reader.option("maxFilesPerTrigger", files_per_poll).option("recursiveFileLookup", True).json(path)
 
 
 def publish(df: DataFrame, path: str) -> None:
@@ -50,21 +56,49 @@ def dead_letters(failed: DataFrame, origin: str, now: F.Column | None = None) ->
     )
 
 
-def settle(failed: DataFrame, inbox: str, dead: str, origin: str, batch: int, max_retries: int = 3) -> None:
+def settle(failed: DataFrame, inbox: str, dead: str, origin: str, batch: int, max_retries: int = 3, run: str = "0") -> None:
     """[STR-4, STR-5] Sends failed messages (…, retries, error) back to the inbox with one more retry, or to the dead letters.
 
-    Both are written to a folder of their own batch, so a batch that is run again writes the same files again.
+    Both are written to a folder of their own run and batch: a batch that is run again replaces what it wrote before, and a stream
+    with a new checkpoint replaces nothing.
     """
+    name = f"{origin.replace(':', '-')}-{run}-{batch}"
     routed = route_failures(failed, max_retries).persist()
     try:
         again = routed.where("route = 'retry'").drop("route", "reason", "error")
-        again.write.mode("overwrite").json(f"{inbox}/retry-{origin.replace(':', '-')}-{batch}")
+        again.write.mode("overwrite").json(f"{inbox}/retry-{name}")
         gone = dead_letters(routed.where("route = 'dead_letter'"), origin)
-        gone.write.mode("overwrite").parquet(f"{dead}/{origin.replace(':', '-')}-{batch}")
+        gone.write.mode("overwrite").parquet(f"{dead}/{name}")
     finally:
         routed.unpersist()
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to; made with the checkpoint and gone with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint, "run")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, uuid.uuid4().hex[:12]), False).close()
+    return min(x.getPath().getName() for x in fs.listStatus(folder))
+
+
+def work_off(work: Callable[[DataFrame, int], DataFrame], batch: DataFrame, number: int) -> DataFrame:
+    """What ``work`` says has failed. Where it raises, the batch is halved until the messages that make it raise are alone; these
+    have failed, with what was raised as their error, and all others are done. ``work`` may see a message several times."""
+    try:
+        failed = work(batch, number).persist()
+        failed.count()
+        return failed
+    except Exception as e:
+        if batch.count() <= 1:
+            said = str(getattr(e, "desc", None) or e).strip()
+            return batch.withColumn("error", F.lit((said.splitlines() or ["failed"])[-1]))
+    numbered = batch.withColumn("__n", F.row_number().over(W.orderBy(*(F.col(c) for c in batch.columns)))).persist()  # a poll's worth of messages
+    half = (batch.count() + 1) // 2
+    first, second = (work_off(work, numbered.where(x).drop("__n"), number) for x in (F.col("__n") <= half, F.col("__n") > half))
+    return first.unionByName(second)
+
+
 def process(
     messages: DataFrame,
     work: Callable[[DataFrame, int], DataFrame],
@@ -75,10 +109,13 @@ def process(
     max_retries: int = 3,
     once: bool = True,
 ) -> StreamingQuery:
-    """[STR-1..7, STR-12] Runs ``work`` on each batch of messages; it returns those that failed, with ``error``.
+    """[STR-1..7, STR-12] Runs ``work`` on each batch of messages; it returns those that failed, with ``error``. A message that
+    makes it raise has failed too. Failed messages come back by the inbox, up to ``max_retries`` times.
 
-    Messages that fit no schema go to the dead letters at once. ``once`` takes what is there and stops.
+    Messages that fit no schema go to the dead letters at once. ``once`` takes what is there and stops; ``drain`` goes on until
+    nothing is left to try.
     """
+    run = run_id(messages.sparkSession, checkpoint)
 
     def on_batch(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -86,8 +123,8 @@ def process(
             bad = batch.where(F.col(CORRUPT).isNotNull()).select(
                 F.col(CORRUPT).alias("payload"), F.lit(origin).alias("stream_origin"), F.lit("malformed payload").alias("error"), F.lit("malformed").alias("reason"), F.current_timestamp().alias("failed_at")
             )
-            bad.write.mode("overwrite").parquet(f"{dead}/malformed-{origin.replace(':', '-')}-{number}")
-            settle(work(batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), number), inbox, dead, origin, number, max_retries)
+            bad.write.mode("overwrite").parquet(f"{dead}/malformed-{origin.replace(':', '-')}-{run}-{number}")
+            settle(work_off(work, batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), number), inbox, dead, origin, number, max_retries, run)
         finally:
             batch.unpersist()
 
@@ -95,6 +132,16 @@ def process(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
 
 
+def drain(start: Callable[[], StreamingQuery], rounds: int = 100) -> int:
+    """Starts a query of ``process`` again until it finds no messages; how often it found some."""
+    for n in range(rounds):
+        query = start()
+        query.awaitTermination()
+        if not sum(p.numInputRows for p in query.recentProgress):
+            return n
+    return rounds
+
+
 def fan_out(repo_messages: DataFrame, files: DataFrame) -> DataFrame:
     """[STR-6] One message for each file of each fetched repository."""
     return repo_messages.join(files, "repo_id").select(
@@ -136,10 +183,27 @@ def live_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL, delay: str
 
 
 def job_status(jobs: DataFrame, repos: DataFrame, job_id: str) -> DataFrame:
-    """[SNK-6, Q6] What a status request gets: one row (event, status, progress), ``error`` for an unknown or malformed id."""
+    """[SNK-6, Q6] What a status request gets: one row (event, status, progress, error); ``error`` says whether an id is malformed
+    or unknown."""
     found = jobs.where(F.col("id") == job_id).select(F.col("status").alias("job_status"), "progress", "repo_id")
     named = found.join(repos.select(F.col("id").alias("repo_id"), "status"), "repo_id", "left")
     status = F.coalesce("status", "job_status")
     event = F.when(F.col("job_status").isNull(), "error").when(status.isin("completed", "failed"), "done").otherwise("update")
     one = jobs.sparkSession.range(1).select(F.lit(1).alias("one")).join(named.withColumn("one", F.lit(1)), "one", "left")
-    return one.select(event.alias("event"), status.alias("status"), "progress")
+    error = F.when(event != "error", F.lit(None)).when(text.is_uuid(F.lit(job_id)), "unknown job").otherwise("malformed job id")
+    return one.select(event.alias("event"), status.alias("status"), "progress", error.alias("error"))
+
+
+def status_events(jobs: Callable[[], DataFrame], repos: Callable[[], DataFrame], job_id: str, wait: float = STATUS_POLL, polls: int = 10_000) -> Iterator[dict]:
+    """[SNK-6] The events of one job as a client sees them: an update whenever its status or progress has changed, and at last
+    done or error. ``jobs`` and ``repos`` give the tables as they are at each poll."""
+    last = None
+    for n in range(polls):
+        now = job_status(jobs(), repos(), job_id).first().asDict()
+        if now != last:
+            yield now
+        if now["event"] != "update":
+            return
+        last = now
+        if n + 1 < polls:
+            time.sleep(wait)

@@ -8,7 +8,7 @@ from strandline.operators import answers, embedding, relational, search
 from strandline.sources import files
 from strandline.sources.tables import Table
 from strandline.streaming import messages
-from strandline.streaming.ingest import Store, run
+from strandline.streaming.ingest import Store, fetch, run
 
 CODE = "import os\n\ndef go():\n    return 1\n"
 
@@ -47,8 +47,10 @@ def test_stream_ingests_and_repeats_change_nothing(spark, tmp_path):
     assert sorted((r.file, r.name) for r in points.collect()) == [("a.py", "go"), ("b.py", "go"), ("b.py", "module_scope")]
     letters = spark.read.parquet(f"{dead}/*").collect()
     assert sorted(r.reason for r in letters) == ["Max retries reached", "malformed"]
-    retried = spark.read.schema("file_path string, retries int").json(f"{inbox}/retry-*").collect()
-    assert [(r.file_path, r.retries) for r in retried] == [("n.py", 1)]
+    # the retry is in the inbox, and read again until it is a dead letter
+    assert messages.drain(lambda: run(spark, str(inbox), store, dead, str(tmp_path / "cp"))) == 3
+    letters = [r for r in spark.read.parquet(f"{dead}/*").collect() if r.reason != "malformed"]
+    assert [(json.loads(r.payload)["file_path"], json.loads(r.payload)["retries"], r.reason) for r in letters] == [("n.py", "3", "Max retries reached")] * 2
     totals = spark.createDataFrame([("j1", 2), ("j2", 4)], "job_id string, total_files int")
     assert {r.job_id: (r.progress, r.status) for r in store.progress(totals).collect()} == {"j1": (100, "completed"), "j2": (0, "processing")}
 
@@ -61,8 +63,53 @@ def test_stream_ingests_and_repeats_change_nothing(spark, tmp_path):
     assert sorted((r.file, r.name) for r in store.points.read().collect()) == [("a.py", "go"), ("b.py", "module_scope")]
     found = answers.answer_question(store.points.read(), "where is go").first()
     assert found.sources and {s.file for s in found.sources} <= {"a.py", "b.py"}
-    store.delete_repos(spark.createDataFrame([("r1",)], "id string"))
-    assert store.points.read().count() == 0 and store.metadata.read().count() == 0
+    other = again.withColumns({"repo_id": F.lit("r2"), "job_id": F.lit("j2")})
+    files_of = lambda repo: sorted(str(p) for p in (tmp_path / f"store/points/data/repo_id={repo}").glob("*.parquet"))
+    before = files_of("r1")
+    store.ingest(other)
+    assert files_of("r1") == before and files_of("r2")  # only the partitions of the batch are written
+    store.ingest(other.withColumn("content", F.lit(" ")))
+    assert not files_of("r2") and store.metadata.read().where("repo_id = 'r2' and chunks_indexed = 0").count() == 2
+    repos, jobs = spark.createDataFrame([("r1",)], "id string"), spark.createDataFrame([("j1", "r1"), ("j2", "r2")], "id string, repo_id string")
+    store.delete_repos(repos, jobs)
+    assert store.points.read().count() == 0 and {r.repo_id for r in store.metadata.read().collect()} == {"r2"}
+    assert {r.job_id for r in store.stages.read().collect()} == {"j2"}
+
+
+def test_one_bad_message_does_not_fail_the_others(spark, tmp_path):
+    inbox, dead = tmp_path / "inbox", str(tmp_path / "dead")
+    inbox.mkdir()
+    (inbox / "m.json").write_text("\n".join(json.dumps({"i": i, "retries": 0}) for i in range(8)))
+    done: dict[int, int] = {}
+
+    def work(batch, number):
+        rows = batch.collect()
+        if any(r.i == 5 for r in rows):
+            raise ValueError("disk is full")
+        for r in rows:
+            done[r.i] = done.get(r.i, 0) + 1
+        return batch.where("false").withColumn("error", F.lit(""))
+
+    start = lambda cp: lambda: messages.process(messages.read_messages(spark, str(inbox), "i int, retries int"), work, str(inbox), dead, str(tmp_path / cp), "x:y")
+    assert messages.drain(start("cp")) == 4 and done == {i: 1 for i in range(8) if i != 5}
+    letters = spark.read.parquet(f"{dead}/*").collect()
+    assert [(json.loads(r.payload)["i"], r.error, r.reason) for r in letters] == [("5", "disk is full", "Max retries reached")]
+    messages.drain(start("other"))  # a new checkpoint overwrites no dead letters
+    assert spark.read.parquet(f"{dead}/*").count() > 1
+
+
+def test_fetch(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.py").write_text(CODE)
+    (tmp_path / "a/x.bin").write_text("no")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/readme.zzz").write_text("no")
+    wanted = spark.createDataFrame([("u", "j1", "r1", 0), ("v", "j2", "r2", 0)], "repo_url string, job_id string, repo_id string, retries int")
+    jobs = spark.createDataFrame([("j1", "queued", 0, 0), ("j2", "queued", 0, 0), ("j3", "queued", 9, 1)], "id string, status string, total_files int, progress int")
+    after = fetch(spark, wanted, {"r1": str(tmp_path / "a"), "r2": str(tmp_path / "none")}, jobs, str(tmp_path / "inbox"))
+    assert sorted(map(tuple, after.collect())) == [("j1", "queued", 1, 0), ("j2", "completed", 0, 100), ("j3", "queued", 9, 1)]
+    sent = spark.read.json(str(tmp_path / "inbox")).collect()
+    assert [(r.repo_id, r.job_id, r.file_path, r.retries) for r in sent] == [("r1", "j1", "x.py", 0)]
 
 
 def test_routing(spark):
@@ -77,7 +124,12 @@ def test_routing(spark):
 def test_status(spark):
     jobs = spark.createDataFrame([("j", "r", "processing", 7), ("k", "x", "failed", 1)], "id string, repo_id string, status string, progress int")
     repos = spark.createDataFrame([("r", "completed")], "id string, status string")
-    assert [tuple(messages.job_status(jobs, repos, j).first()) for j in ("j", "k", "?")] == [("done", "completed", 7), ("done", "failed", 1), ("error", None, None)]
+    assert [tuple(messages.job_status(jobs, repos, j).first()) for j in ("j", "k", "?")] == [("done", "completed", 7, None), ("done", "failed", 1, None), ("error", None, None, "malformed job id")]
+    unknown = "00000000-0000-4000-8000-000000000000"
+    assert messages.job_status(jobs, repos, unknown).first().error == "unknown job"
+    polls = iter([("queued", 0), ("queued", 0), ("processing", 40), ("completed", 100)])
+    now = lambda: spark.createDataFrame([("j", "x", *next(polls))], "id string, repo_id string, status string, progress int")
+    assert [(e["event"], e["progress"]) for e in messages.status_events(now, lambda: repos, "j", wait=0)] == [("update", 0), ("update", 40), ("done", 100)]
 
 
 def test_top_k_ties_and_empty(spark):
@@ -96,6 +148,10 @@ def test_retry_and_order(spark):
         return [1]
 
     assert embedding.with_retry(flaky, wait=(0, 0)) == [1] and len(calls) == 3
+    answers.MODELS["failing"] = lambda prompt: 1 / 0
+    prompts = spark.createDataFrame([("p",), (None,)], "p string")
+    assert [r[0] for r in prompts.select(answers.summarise(F.col("p"), "failing", wait=(0, 0))).collect()] == [answers.UNAVAILABLE] * 2
+    assert "No relevant" in prompts.select(answers.summarise(F.col("p"), "offline")).first()[0]
     got = spark.createDataFrame([(0, "a b"), (1, None), (2, "")], "i int, t string").select("i", embedding.embed(F.col("t")).alias("v")).orderBy("i").collect()
     assert got[1].v is None and not any(got[2].v) and abs(sum(x * x for x in got[0].v) - 1) < 1e-5
 
