@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.schemas import CHUNK
 
@@ -25,12 +27,19 @@ from strandline.schemas import CHUNK
 NODE_TYPES = {
     "py": ("function_definition", "class_definition"),
     "java": ("method_declaration", "class_declaration", "interface_declaration"),
-    "js": ("function_declaration", "generator_function_declaration", "arrow_function", "class_declaration", "method_definition"),
-    "ts": ("function_declaration", "arrow_function", "class_declaration", "method_definition"),
+    "js": (
+        "function_declaration", "function_expression", "arrow_function", "generator_function_declaration", "class_declaration",
+        "method_definition", "jsx_element", "jsx_self_closing_element",
+    ),
+    "ts": (
+        "function_declaration", "function_expression", "arrow_function", "class_declaration", "method_definition", "jsx_element",
+        "jsx_self_closing_element",
+    ),
     "go": ("function_declaration", "method_declaration", "type_declaration"),
     "c": ("function_definition", "struct_specifier"),
     "html": ("element", "script_element", "style_element"),
 }
+ANONYMOUS = "anonymous"
 PARENT_TYPES = {
     "py": ("class_definition",),
     "java": ("class_declaration", "interface_declaration", "enum_declaration"),
@@ -103,10 +112,15 @@ def read_python_lines(text: str) -> Parsed:
             begins.append((at + len(line) - len(line.lstrip()), len(line) - len(line.lstrip())))
         depth = max(0, depth + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
         at += len(line)
-    ends = []
-    for i, (_, indent) in enumerate(begins):
-        after = next((b for b, other in begins[i + 1 :] if other <= indent), len(code))
-        ends.append(len(code[:after].rstrip()))
+    ends = [len(code.rstrip())] * len(begins)
+    inside: list[int] = []
+    for i, (place, indent) in enumerate([*begins, (len(code), -1)]):
+        last = len(code) - len(code[place:]) if i == len(begins) else place
+        while last and code[last - 1].isspace():
+            last -= 1
+        while inside and begins[inside[-1]][1] >= indent:
+            ends[inside.pop()] = last
+        inside.append(i)
     found = [
         Found("class_definition" if m[1] == "class" else "function_definition", m[2], place, end)
         for (place, _), end in zip(begins, ends, strict=True)
@@ -138,18 +152,23 @@ def read_python(text: str) -> Parsed:
         return read_python_lines(text)
     where = _Offsets(text)
 
-    def inside(node: ast.AST) -> list[Found]:
-        out: list[Found] = []
+    found: list[Found] = []
+    todo: list[tuple[ast.AST, list[Found]]] = [(tree, found)]
+    lists = [found]
+    while todo:  # a stack of its own: expressions may be thousands of levels deep
+        node, out = todo.pop()
         for child in ast.iter_child_nodes(node):
-            below = inside(child)
+            below = out
             if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
                 kind = "class_definition" if isinstance(child, ast.ClassDef) else "function_definition"
+                below = []
+                lists.append(below)
                 out.append(Found(kind, child.name, *where.span(child), below))
-            else:
-                out += below
-        return sorted(out, key=lambda f: f.start)
+            todo.append((child, below))
+    for out in lists:
+        out.sort(key=lambda f: f.start)
 
-    parsed = Parsed(inside(tree))
+    parsed = Parsed(found)
     for node in tree.body:
         start, end = where.span(node)
         decorators = getattr(node, "decorator_list", None)
@@ -165,10 +184,26 @@ def read_python(text: str) -> Parsed:
 # -- languages with braces -------------------------------------------------------------------------------------------
 
 _BLANKED = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*(?:\n(?:\\.|[^"\\\n])*){0,3}"|"[^\n]*|\'(?:\\.|[^\'\\\n])*\'?|`(?:\\.|[^`\\])*`?', re.DOTALL)
-_CLOSE = {"(": ")", "[": "]", "{": "}"}
 
 
-def blank(text: str) -> tuple[str, list[tuple[int, int]]]:
+class Code(str):
+    """Source text without comments and strings; ``close`` has the place after the bracket that closes each opening one."""
+
+    def __new__(cls, text: str):
+        self = super().__new__(cls, text)
+        self.close, opened = {}, []
+        for m in _BRACKETS.finditer(text):
+            if m[0] in "([{":
+                opened.append(m.start())
+            elif opened:
+                self.close[opened.pop()] = m.end()
+        return self
+
+
+_BRACKETS = re.compile(r"[()\[\]{}]")
+
+
+def blank(text: str) -> tuple[Code, list[tuple[int, int]]]:
     """The text with comments and strings replaced by spaces (line ends stay), and the spans of the comments."""
     comments = []
 
@@ -178,23 +213,15 @@ def blank(text: str) -> tuple[str, list[tuple[int, int]]]:
             return re.sub(r"[^\n]", " ", m[0])
         return re.sub(r"[^\n]", " ", m[0]) if len(m[0]) < 2 else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1]
 
-    return _BLANKED.sub(spaces, text), comments
+    return Code(_BLANKED.sub(spaces, text)), comments
 
 
-def match(code: str, at: int, end: int) -> int:
-    """The place after the bracket that closes the one at ``at``; ``end`` if there is none."""
-    depth = 0
-    for i in range(at, end):
-        if code[i] in "([{":
-            depth += 1
-        elif code[i] in ")]}":
-            depth -= 1
-            if not depth:
-                return i + 1
-    return end
+def match(code: Code, at: int, end: int) -> int:
+    """The place after the bracket that closes the one at ``at``; ``end`` if there is none before it."""
+    return min(code.close.get(at, end), end)
 
 
-def members(code: str, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+def members(code: Code, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, body start, body end) of each member of a type or file; without a body the last two are equal."""
     while at < end:
         if code[at].isspace() or code[at] in ";})]":
@@ -223,54 +250,70 @@ _JAVA_WORDS = frozenset("public protected private static final abstract synchron
 _JAVA_INNER = re.compile(r"\bnew\s+[\w.<>,\s?]+\(|\b(?:class|interface|enum|record)\s+\w+[^;{(]*\{")
 
 
-def _header(code: str, start: int, end: int) -> str:
-    """A member's text up to its body, without annotations."""
+_SPACE = re.compile(r"\s+")
+
+
+def _header(code: Code, start: int, end: int) -> str:
+    """A member's text up to its body, without annotations; runs of white space, blanked comments too, are one space."""
     out, at = [], start
     while m := _ANNOTATION.search(code, at, end):
         out.append(code[at : m.start()])
         at = match(code, m.end(), end) if code[m.end() : m.end() + 1] == "(" else m.end()
-    return "".join([*out, code[at:end]])
+    return _SPACE.sub(" ", "".join([*out, code[at:end]]))
 
 
-def _java_members(code: str, at: int, end: int, enum: bool = False) -> list[Found]:
-    if enum:  # the constants come before the first semicolon
-        i = at
-        while i < end and code[i] != ";":
-            i = match(code, i, end) if code[i] in "([{" else i + 1
-        at = i
-    found = []
-    for start, stop, body, body_end in members(code, at, end):
-        header = _header(code, start, body)
-        if m := _JAVA_TYPE.search(header.split("(")[0] if "record" not in header else header):
-            kind = {"class": "class_declaration", "interface": "interface_declaration", "enum": "enum_declaration"}.get(m[1], f"{m[1].strip('@')}_declaration")
-            found.append(Found(kind, m[2], start, stop, _java_members(code, body, body_end, m[1] == "enum")))
+def _java_members(code: Code, at: int, end: int) -> list[Found]:
+    """Declarations of a stretch of code; types inside types, and in bodies, wait on a stack of their own."""
+    found: list[Found] = []
+    lists = [found]
+    todo: list[tuple[bool, int, int, bool, list[Found]]] = [(True, at, end, False, found)]  # (members or a body, from, to, enum, into)
+
+    def declare(kind: str, name: str, start: int, stop: int, out: list[Found]) -> list[Found]:
+        out.append(Found(kind, name, start, stop))
+        lists.append(out[-1].inner)
+        return out[-1].inner
+
+    while todo:
+        is_type, at, end, enum, out = todo.pop()
+        if not is_type:
+            todo += [(True, a, e, False, out) for a, e in _java_bodies(code, at, end)]
             continue
-        inner = _java_bodies(code, body if body < body_end else start, body_end if body < body_end else stop)
-        m = _JAVA_METHOD.search(header) if "=" not in header.split("(")[0] else None
-        words = set(re.findall(r"\w+", m["type"])) if m else set()
-        if m and words - _JAVA_WORDS:
-            found.append(Found("method_declaration", m["name"], start, stop, inner))
-        else:
-            found += inner
+        if enum:  # the constants come before the first semicolon
+            while at < end and code[at] != ";":
+                at = match(code, at, end) if code[at] in "([{" else at + 1
+        for start, stop, body, body_end in members(code, at, end):
+            header = _header(code, start, body)
+            if m := _JAVA_TYPE.search(header.split("(")[0] if "record" not in header else header):
+                kind = {"class": "class_declaration", "interface": "interface_declaration", "enum": "enum_declaration"}.get(m[1], f"{m[1].strip('@')}_declaration")
+                todo.append((True, body, body_end, m[1] == "enum", declare(kind, m[2], start, stop, out)))
+                continue
+            m = _JAVA_METHOD.search(header) if "=" not in header.split("(")[0] else None
+            words = set(re.findall(r"\w+", m["type"])) if m else set()
+            into = declare("method_declaration", m["name"], start, stop, out) if m and words - _JAVA_WORDS else out
+            todo.append((False, body if body < body_end else start, body_end if body < body_end else stop, False, into))
+    for out in lists:
+        out.sort(key=lambda f: f.start)
     return found
 
 
-def _java_bodies(code: str, at: int, end: int) -> list[Found]:
-    """Local and anonymous classes inside code."""
-    found = []
-    while m := _JAVA_INNER.search(code, at, end):
-        if m[0].startswith("new"):
-            after = match(code, m.end() - 1, end)
-            brace = re.compile(r"\s*\{").match(code, after, end)
-            found += _java_bodies(code, m.end(), after)
-            at = after
-            if brace:
-                at = match(code, brace.end() - 1, end)
-                found += _java_members(code, brace.end(), at - 1)
-        else:
-            at = match(code, m.end() - 1, end)
-            found += _java_members(code, m.start(), at)
-    return found
+def _java_bodies(code: Code, at: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of code with the members of local and anonymous classes inside code."""
+    stretches, todo = [], [(at, end)]
+    while todo:
+        at, end = todo.pop()
+        while m := _JAVA_INNER.search(code, at, end):
+            if m[0].startswith("new"):
+                after = match(code, m.end() - 1, end)
+                brace = re.compile(r"\s*\{").match(code, after, end)
+                todo.append((m.end(), after))
+                at = after
+                if brace:
+                    at = match(code, brace.end() - 1, end)
+                    stretches.append((brace.end(), at - 1))
+            else:
+                at = match(code, m.end() - 1, end)
+                stretches.append((m.start(), at))
+    return stretches
 
 
 def read_java(text: str) -> Parsed:
@@ -299,9 +342,11 @@ _PATTERNS: dict[str, list[tuple[str, str, bool]]] = {
     "js": [
         ("class_declaration", r"\bclass\s+(\w+)[^{;()]*", True),
         ("generator_function_declaration", r"\b(?:async\s+)?function\s*\*\s*(\w+)\s*\(", True),
+        ("function_expression", r"(?<=[=(,:?\[!&|])\s*+(?:async\s+)?function\s*\*?\s*(\w*)\s*\(", True),
         ("function_declaration", r"\b(?:async\s+)?function\s+(\w+)\s*(?:<[^>{]*>)?\(", True),
+        ("arrow_function", r"(?<=[(,:?\[])\s*+(?:async\s*)?()(?=(?:\([^()]*\)|\w+)\s*=>)", False),
         ("arrow_function", r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?=\([^()]*\)\s*(?::[^={]+)?=>|\w+\s*=>)", False),
-        ("method_definition", r"(?<=[{};\n])\s*(?:(?:public|private|protected|static|readonly|async|get|set)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|return|constructor\s*;)\b)(\w+)\s*\(", True),
+        ("method_definition", r"(?<=[{};\n])[ \t]*+(?:(?:public|private|protected|static|readonly|async|get|set)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|return|constructor\s*;)\b)(\w+)\s*\(", True),
     ],
     "go": [
         ("method_declaration", r"(?m)^func\s*\([^)]*\)\s*(\w+)\s*\(", True),
@@ -310,7 +355,7 @@ _PATTERNS: dict[str, list[tuple[str, str, bool]]] = {
     ],
     "c": [
         ("struct_specifier", r"\bstruct\s+(\w+)\s*(?=\{)", True),
-        ("function_definition", r"(?m)^(?!\s|#|typedef\b|struct\s+\w+\s*\{)[\w\s*]+?[\s*](\w+)\s*\(", True),
+        ("function_definition", r"(?m)^(?!\s|#|typedef\b|struct\s+\w+\s*\{)[\w \t*]+?(?:\n[\w \t*]*?)?[\s*](\w+)\s*\(", True),
     ],
 }
 _PATTERNS["ts"] = [
@@ -326,6 +371,39 @@ _TOP = {
 _TOP["ts"] = _TOP["js"]
 
 
+_TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*)?(?=[\s/>])")
+_BEFORE_JSX = re.compile(r"(?:[(,=?:&|>{\[;}]|\breturn|^)\s*\Z")
+
+
+def jsx(code: Code) -> list[Found]:
+    """JSX elements: a tag where an expression may begin, up to its end tag, or closed by itself."""
+    found, opened, at = [], [], 0
+    places: dict[str, int] = {}  # how many of each tag are open
+    while m := _TAG.search(code, at):
+        at, tag, start = m.end(), m[2] or "", m.start()
+        if m[1]:
+            end = code.find(">", at) + 1 or len(code)
+            while places.get(tag) and opened:
+                name, since = opened.pop()
+                places[name] -= 1
+                if name == tag:
+                    found.append(Found("jsx_element", tag or ANONYMOUS, since, end))
+                    break
+            continue
+        if not (opened or _BEFORE_JSX.search(code, max(0, start - 40), start)):
+            continue
+        while at < len(code) and code[at] not in "<>;":
+            at = match(code, at, len(code)) if code[at] in "({[" else at + 1
+        if at < len(code) and code[at] == ">":
+            at += 1
+            if code[at - 2] == "/":
+                found.append(Found("jsx_self_closing_element", tag or ANONYMOUS, start, at))
+            else:
+                opened.append((tag, start))
+                places[tag] = places.get(tag, 0) + 1
+    return found
+
+
 def read_braces(language: str) -> Callable[[str], Parsed]:
     patterns = [(kind, re.compile(p), body) for kind, p, body in _PATTERNS[language]]
     imports, exports = (re.compile(p) if p else None for p in _TOP[language])
@@ -348,15 +426,18 @@ def read_braces(language: str) -> Callable[[str], Parsed]:
                     continue
                 else:
                     end = next((i for i in range(at, len(code)) if code[i] in ";\n"), len(code))
-                spans.setdefault(start, Found(kind, m[1], start, end))
+                spans.setdefault(start, Found(kind, m[1] or ANONYMOUS, start, end))
+        if language in ("js", "ts"):
+            for f in jsx(code):
+                spans.setdefault(f.start, f)
         parsed = Parsed(nest(sorted(spans.values(), key=lambda f: (f.start, -f.end))))
         if imports:
             parsed.imports = [m.span() for m in imports.finditer(text)]
         if exports:
-            tops = {f.start: f.end for f in parsed.found}
+            starts = [f.start for f in parsed.found]
             for m in exports.finditer(code):
-                inner = [e for s, e in tops.items() if m.end() <= s <= m.end() + 16]
-                end = inner[0] if inner else next((i + 1 for i in range(m.end(), len(code)) if code[i] in ";\n"), len(code))
+                i = bisect_left(starts, m.end())
+                end = parsed.found[i].end if i < len(starts) and starts[i] <= m.end() + 16 else next((i + 1 for i in range(m.end(), len(code)) if code[i] in ";\n"), len(code))
                 parsed.exports.append((m.start(), end))
         covered = sorted([*parsed.imports, *parsed.exports, *((f.start, f.end) for f in parsed.found)])
         at = 0
@@ -386,7 +467,7 @@ class _Elements(HTMLParser):
     def __init__(self, text: str):
         super().__init__(convert_charrefs=False)
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.text, self.open, self.found = text, [], []
+        self.text, self.open, self.found, self.places = text, [], [], {}
         self.feed(text)
         self.close()
 
@@ -395,6 +476,7 @@ class _Elements(HTMLParser):
         return self.starts[line - 1] + column
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, self.place()))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -402,13 +484,14 @@ class _Elements(HTMLParser):
         self.found.append(Found("element", tag, start, start + len(self.get_starttag_text() or "")))
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                end = self.text.find(">", self.place()) + 1 or len(self.text)
-                kind = {"script": "script_element", "style": "style_element"}.get(tag, "element")
-                self.found.append(Found(kind, tag, self.open[i][1], end))
-                del self.open[i:]
-                return
+        if not self.places.get(tag):
+            return
+        i = self.places[tag][-1]
+        end = self.text.find(">", self.place()) + 1 or len(self.text)
+        kind = {"script": "script_element", "style": "style_element"}.get(tag, "element")
+        self.found.append(Found(kind, tag, self.open[i][1], end))
+        while len(self.open) > i:
+            self.places[self.open.pop()[0]].pop()
 
 
 def read_html(text: str) -> Parsed:
@@ -427,14 +510,18 @@ READERS: dict[str, Callable[[str], Parsed | None]] = {
 # -- chunks ----------------------------------------------------------------------------------------------------------
 
 
-def line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
-
-
 def chunk_file(path: str, content: str, language: str) -> tuple[dict, list[dict]]:
-    """[CHK-1] (metadata, chunks) of a file. Lines count from 1."""
+    """[CHK-1] (metadata, chunks) of a file. Lines count from 1. A file that its reader can't read is one chunk."""
     reader = READERS.get(language)
-    parsed = (reader(content) if reader else None) or Parsed([])
+    try:
+        parsed = (reader(content) if reader else None) or Parsed([])
+    except (RecursionError, MemoryError):
+        parsed = Parsed([])
+    ends = [m.start() for m in re.finditer("\n", content)]
+
+    def line_of(at: int) -> int:
+        return bisect_left(ends, at) + 1
+
     kinds, parents = NODE_TYPES.get(language, ()), PARENT_TYPES.get(language, ())
     chunks: list[dict] = []
 
@@ -445,11 +532,11 @@ def chunk_file(path: str, content: str, language: str) -> tuple[dict, list[dict]
     while todo:  # [CHK-2] outer before inner, in the order of the text
         f, scope = todo.pop()
         if f.kind in kinds:
-            add(f.name, scope, content[f.start : f.end], f.kind, line_of(content, f.start), line_of(content, f.end))
+            add(f.name, scope, content[f.start : f.end], f.kind, line_of(f.start), line_of(f.end))
         todo += [(x, f.name if f.kind in parents else scope) for x in reversed(f.inner)]
     if parsed.loose:  # [CHK-4]
         code = "\n".join(content[s:e].strip() for s, e in parsed.loose)
-        add("module_scope", path, code, "global_logic", line_of(content, parsed.loose[0][0]), line_of(content, parsed.loose[-1][1]))
+        add("module_scope", path, code, "global_logic", line_of(parsed.loose[0][0]), line_of(parsed.loose[-1][1]))
     if not chunks and content.strip():  # [CHK-5]
         count = len(_LINE_ENDS.split(content)) - bool(_LINE_ENDS.search(content[-1:]))
         add("global_scope", path, content, "module", 1, count)
@@ -464,31 +551,44 @@ def signature(code: str) -> str:
     return next((line for line in lines if not line.startswith("@")), "None")
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """[CHK-1, CHK-9] Chunks of files (repo_id, path, language, content), with repo_id. Files are read in tasks, one at a time."""
+_PARSED = "repo_id string, file_path string, language string, imports array<string>, exports array<string>, skeleton array<string>"
+#: Files that a task parses before it gives their rows back.
+FILES_AT_ONCE = 256
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """[CHK-1, CHK-3, CHK-9] A row (repo_id, file_path, language, imports, exports, skeleton, chunks) for each of files (repo_id, path,
+    language, content). Files are read in tasks, one at a time; a null content is an empty file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["repo_id", "file_path", "language", "imports", "exports", "skeleton", "chunks"]
         for frame in frames:
-            for repo, path, language, content in zip(frame["repo_id"], frame["path"], frame["language"], frame["content"], strict=True):
-                if content:
-                    _, chunks = chunk_file(path, content, language)
-                    if chunks:
-                        yield pd.DataFrame(chunks).assign(repo_id=repo)
+            for at in range(0, len(frame), FILES_AT_ONCE):
+                part, rows = frame.iloc[at : at + FILES_AT_ONCE], []
+                for repo, path, language, content in zip(part["repo_id"], part["path"], part["language"], part["content"], strict=True):
+                    meta, chunks = chunk_file(path, content or "", language)
+                    rows.append((repo, path, language, meta["imports"], meta["exports"], meta["skeleton"], chunks))
+                yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("repo_id", "path", "language", "content").mapInPandas(run, f"repo_id string, {CHUNK}")
+    return files.select("repo_id", "path", "language", "content").mapInPandas(run, f"{_PARSED}, chunks array<struct<{CHUNK.replace(' ', ': ').replace(',: ', ', ')}>>")
 
 
-def file_headers(files: DataFrame) -> DataFrame:
-    """[CHK-3, AGG-8] (repo_id, file_path, language, imports, exports, skeleton, chunks_indexed) of files. Chunks are counted
-    before equal ones collapse [AGG-6]."""
-    fields = "repo_id string, file_path string, language string, imports array<string>, exports array<string>, skeleton array<string>, chunks_indexed int"
+def chunks_of(parsed: DataFrame) -> DataFrame:
+    """[CHK-2] The chunks of parsed files, with repo_id."""
+    names = [f.split()[0] for f in CHUNK.split(", ")]
+    return parsed.select("repo_id", F.explode("chunks").alias("chunk")).select(*(F.col(f"chunk.{n}").alias(n) for n in names), "repo_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for repo, path, language, content in zip(frame["repo_id"], frame["path"], frame["language"], frame["content"], strict=True):
-                meta, chunks = chunk_file(path, content or "", language)
-                rows.append((repo, path, language, meta["imports"], meta["exports"], meta["skeleton"], len(chunks)))
-            yield pd.DataFrame(rows, columns=["repo_id", "file_path", "language", "imports", "exports", "skeleton", "chunks_indexed"])
 
-    return files.select("repo_id", "path", "language", "content").mapInPandas(run, fields)
+def headers_of(parsed: DataFrame) -> DataFrame:
+    """[CHK-3, AGG-8] What is known of parsed files themselves. Chunks are counted before equal ones collapse [AGG-6]."""
+    return parsed.select("repo_id", "file_path", "language", "imports", "exports", "skeleton", F.size("chunks").alias("chunks_indexed"))
+
+
+def chunk_files(files: DataFrame) -> DataFrame:
+    """[CHK-1, CHK-9] Chunks of files (repo_id, path, language, content), with repo_id."""
+    return chunks_of(parse_files(files))
+
+
+def file_headers(files: DataFrame) -> DataFrame:
+    """[CHK-3, AGG-8] (repo_id, file_path, language, imports, exports, skeleton, chunks_indexed) of files."""
+    return headers_of(parse_files(files))

@@ -1,5 +1,7 @@
 """Chunkers on small sources: overlapping chunks, scopes, lines, imports and broken files."""
 
+import time
+
 from strandline.operators.chunking import chunk_file, chunk_files, file_headers
 
 PY = """# head
@@ -99,6 +101,39 @@ def test_fallback_and_blank():
     assert chunk_file("a.py", " \n", "py")[1] == [] and chunk_file("a.py", "", "py")[1] == []
 
 
+def test_deep_code_is_cut_quickly():
+    """Thousands of levels neither raise nor take long; what is read by pattern is found at every level."""
+    n = 2000
+    sources = {
+        "plus.py": "def f():\n    return " + " + ".join("a" for _ in range(n)) + "\n",
+        "attr.py": "def f():\n    return a" + ".b" * n + "\n",
+        "call.py": "def f():\n    return a" + "()" * n + "\n",
+        "elif.py": "def f(a):\n    if a:\n        pass\n" + "    elif a:\n        pass\n" * n,
+        "par.py": "def f():\n    return " + "(" * n + ")" * n + "\n",
+        "lines.py": "def f(:\n" + "  x\n" * 20_000,
+    }
+    start = time.perf_counter()
+    for path, code in sources.items():
+        assert [c["name"] for c in chunk_file(path, code, "py")[1] if c["type"] == "function_definition"] == ["f"], path
+    deep = 5000
+    java = "".join(f"class C{i} {{ " for i in range(deep)) + "}" * deep
+    assert len(chunk_file("a.java", java, "java")[1]) == deep
+    inner = "class A { void f() { " + "new B() { void g() { " * n + "} } ;" * n + " } }"
+    assert sum(c["name"] == "g" for c in chunk_file("a.java", inner, "java")[1]) == n
+    js = "".join(f"function f{i}() {{ " for i in range(deep)) + "}" * deep
+    assert len(chunk_file("a.js", js, "js")[1]) == deep
+    html = "<div>" * deep + "</span>" * deep + "</div>" * deep
+    assert len(chunk_file("a.html", html, "html")[1]) == deep
+    assert time.perf_counter() - start < 20
+
+
+def test_expressions_and_jsx():
+    code = "const a = function () { return 1; };\nb.map(x => x + 1);\nc(function go() {});\nconst d = () => (\n  <ul id={k}>\n    <li>one</li>\n    <Item on={() => { go(); }} />\n  </ul>\n);\nconst e = x < y && z > 1;\n"
+    found = [(c["name"], c["type"]) for c in chunk_file("a.js", code, "js")[1]]
+    assert ("anonymous", "function_expression") in found and ("go", "function_expression") in found and ("anonymous", "arrow_function") in found
+    assert [x for x in found if x[1].startswith("jsx")] == [("ul", "jsx_element"), ("li", "jsx_element"), ("Item", "jsx_self_closing_element")]
+
+
 def test_frames(spark):
     files = spark.createDataFrame([("r", "p.py", "py", PY), ("r", "n.py", "py", None), ("r", "e.xx", "xx", "")], "repo_id string, path string, language string, content string")
     assert chunk_files(files).count() == 5
