@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,10 +18,8 @@ UNAVAILABLE = "Summary unavailable"
 
 def context_block(nth: Column) -> Column:
     """[SCL-12] One chunk of the prompt's context, from columns file, name, start_line, end_line and code."""
-    rows = (("File:  ", "file"), ("Name:  ", "name"), ("Lines: ", None), ("Code:\n", "code"))
-    lines = F.concat_ws("-", "start_line", "end_line")
-    rule = F.concat(F.lit("── Chunk "), nth.cast("string"), F.lit(" ──────────────────────────"))
-    return F.concat_ws("\n", F.lit(""), rule, *(F.concat(F.lit(label), F.col(c) if c else lines) for label, c in rows), F.lit(""))
+    head = F.concat(F.lit("[part "), nth.cast("string"), F.lit("] "), F.col("name"), F.lit(" | "), F.col("file"), F.lit(" | "), F.concat_ws("-", "start_line", "end_line"))
+    return F.concat(head, F.lit("\n"), F.col("code"), F.lit("\n\n"))
 
 
 def build_prompt(question: Column, context: Column) -> Column:
@@ -28,7 +27,7 @@ def build_prompt(question: Column, context: Column) -> Column:
     reply = json.dumps({"answer": "...", "sources": [{"file": "...", "name": "...", "type": "...", "start_line": 1, "end_line": 1}]})
     return F.concat(
         F.lit("Answer the question from the code context alone. If it is not there, say that no relevant code was found. Name every source.\n\n"),
-        F.lit("── Code Context ──\n"), context, F.lit("\n── Question ──\n"), question,
+        F.lit("Parts of the code:\n\n"), context, F.lit("The question: "), question,
         F.lit(f"\n\nReply with JSON of this form and nothing else:\n{reply}\n"),
     )
 
@@ -45,17 +44,13 @@ def offline_summary(path: Column, imports: Column, skeleton: Column) -> Column:
     return F.when(F.size(skeleton) > 0, said).otherwise(UNAVAILABLE)
 
 
+_PART = re.compile(r"\[part \d+\] (.*) \| (.*) \| (\d+)-(\d+)")
+
+
 def offline_model(prompt: str) -> str:
     """Names the chunks of the context as sources."""
-    sources, now = [], {}
-    for line in prompt.split("\n"):
-        for label, key in (("File:  ", "file"), ("Name:  ", "name"), ("Lines: ", "lines")):
-            if line.startswith(label):
-                now[key] = line[len(label) :]
-        if "lines" in now:
-            first, _, last = now.pop("lines").partition("-")
-            if first.isdigit() and last.isdigit():
-                sources.append({"file": now.get("file"), "name": now.get("name"), "type": "", "start_line": int(first), "end_line": int(last)})
+    found = [m.groups() for m in map(_PART.fullmatch, prompt.split("\n")) if m]
+    sources = [{"file": file, "name": name, "type": "", "start_line": int(first), "end_line": int(last)} for name, file, first, last in found]
     answer = f"The nearest code is {sources[0]['name']} in {sources[0]['file']}." if sources else "No relevant code was found."
     return json.dumps({"answer": answer, "sources": sources})
 
@@ -75,6 +70,23 @@ def ask(prompts: Column, model: str = "offline") -> Column:
     return run(prompts)
 
 
+def summarise(prompts: Column, model: str, wait: tuple[float, float] = (1.0, 10.0)) -> Column:
+    """[LLM-1] A model's summary for each prompt of ``summary_prompt``; a fixed text where it fails at every attempt or says nothing."""
+    of = MODELS[model]
+
+    def one(prompt: str) -> str:
+        try:
+            return embedding.with_retry(lambda: of(prompt), wait=wait) or UNAVAILABLE
+        except Exception:
+            return UNAVAILABLE
+
+    @F.pandas_udf("string")
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda p: UNAVAILABLE if p is None else one(p))
+
+    return run(prompts)
+
+
 def answer_question(points: DataFrame, question: str, k: int = 5, provider: str = "hashing", model: str = "offline") -> DataFrame:
     """[RAG-1] One row (question, answer, sources) for a question over the points of one repository."""
     best = search.top_k(points, embedding.embed_question(question, provider), k).select("file", "name", "start_line", "end_line", "code", "score", "point_id")

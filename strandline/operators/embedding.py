@@ -7,9 +7,10 @@ which Spark runs again elsewhere.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -43,14 +44,15 @@ PROVIDERS: dict[str, Provider] = {"hashing": hashing_provider}
 
 
 def with_retry(call: Callable[[], list], attempts: int = ATTEMPTS, wait: tuple[float, float] = WAIT) -> list:
-    """[EMB-4] The result of the first attempt that gives one."""
+    """[EMB-4, SRC-3] The result of the first attempt that gives one. Waits are random, up to twice as long after each attempt, so that
+    many tasks that fail together don't come back together."""
     for attempt in range(1, attempts + 1):
         try:
             return call()
         except Exception:
             if attempt == attempts:
                 raise
-            time.sleep(T.retry_delay(attempt, *wait))
+            time.sleep(random.uniform(wait[0], T.retry_delay(attempt, 2 * wait[0], wait[1])))
     return []
 
 
@@ -71,9 +73,13 @@ def embed(texts: Column, provider: str = "hashing", task: str = "document") -> C
 
 
 def points(chunks: DataFrame, provider: str = "hashing") -> DataFrame:
-    """[SCL-3, SCL-6, DDP-1, PRJ-4] Chunks with their deterministic id and vector; equal code of a file is one point."""
+    """[SCL-3, SCL-6, DDP-1, PRJ-4] Chunks with their deterministic id and vector; equal code of a file is one point, with the
+    name and lines of its first place."""
     cols = [F.col(c) for c in ("file", "name", "type", "start_line", "end_line", "parent_scope", "code")]
-    once = chunks.withColumn("point_id", T.point_id(F.col("file"), F.col("code"))).dropDuplicates(["repo_id", "point_id"])
+    rest = [c for c in chunks.columns if c not in ("repo_id", "start_line", "end_line")]
+    first = F.min(F.struct("start_line", "end_line", *rest)).alias("first")
+    once = chunks.withColumn("point_id", T.point_id(F.col("file"), F.col("code"))).groupBy("repo_id", "point_id").agg(first)
+    once = once.select(*(F.col("repo_id") if c == "repo_id" else F.col(f"first.{c}").alias(c) for c in chunks.columns), "point_id")
     return once.withColumn("vector", embed(T.embed_text(*cols), provider))
 
 
@@ -81,9 +87,3 @@ def embed_question(question: str, provider: str = "hashing") -> list[float]:
     """[EMB-3]"""
     return with_retry(lambda: PROVIDERS[provider]([question], "query"))[0]
 
-
-def batched(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """[LIM-2] Frames cut to at most ``size`` rows."""
-    for frame in frames:
-        for i in range(0, len(frame), size):
-            yield frame.iloc[i : i + size]

@@ -252,23 +252,12 @@ def repo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "prompt_context",
-    f"""with d as (select quality, doc_id, row_number() over (partition by quality order by doc_id) as i, source, n_chars, left(text, 40) as code from documents join labels using (doc_id))
-select quality, sha256(string_agg(chr(10) || '── Chunk ' || i || ' ──────────────────────────' || chr(10) || 'File:  ' || source || chr(10) || 'Name:  ' || doc_id || chr(10) || 'Lines: 1-' || n_chars || chr(10) || 'Code:' || chr(10) || code || chr(10), '' order by i)) as h
-from d where i <= 5 group by quality""",
-)
-def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[AGG-7, SCL-12] The context of the five first documents of each quality (a top-k report), 40 characters of each."""
-    return _prompt_context(spark, sf_dir, F.left("text", F.lit(40)))
-
-
-@register(
-    "prompt_context_whole",
     """with d as (select quality, doc_id, row_number() over (partition by quality order by doc_id) as i, source, n_chars, text as code from documents join labels using (doc_id))
-select quality, sha256(string_agg(chr(10) || '── Chunk ' || i || ' ──────────────────────────' || chr(10) || 'File:  ' || source || chr(10) || 'Name:  ' || doc_id || chr(10) || 'Lines: 1-' || n_chars || chr(10) || 'Code:' || chr(10) || code || chr(10), '' order by i)) as h
+select quality, sha256(string_agg('[part ' || i || '] ' || doc_id || ' | ' || source || ' | 1-' || n_chars || chr(10) || code || chr(10) || chr(10), '' order by i)) as h
 from d where i <= 5 group by quality""",
 )
-def prompt_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[AGG-7, SCL-12] The same with whole texts, as prompts have them."""
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[AGG-7, SCL-12] The context of the five first documents of each quality (a top-k report), with their whole texts."""
     return _prompt_context(spark, sf_dir, F.col("text"))
 
 
@@ -368,23 +357,11 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "registration_conflicts",
-    """with n as (select s_suppkey as id, s_name as username, 'mail' || (s_suppkey % 50) as email from supplier), u as (select c_name as username, 'mail' || c_custkey as email from customer where c_custkey <= 20)
-select id, case when email in (select email from u) then 'email' when username in (select username from u) then 'username' end as conflict from n""",
-)
-def registration_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[INS-1, Q17]"""
-    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"), F.concat(F.lit("mail"), (F.col("s_suppkey") % 50).cast("string")).alias("email"))
-    users = table(spark, sf_dir, "customer").where("c_custkey <= 20").select(F.col("c_name").alias("username"), F.concat(F.lit("mail"), F.col("c_custkey").cast("string")).alias("email"))
-    return relational.registration_conflicts(new, users).select("id", "conflict")
-
-
-@register(
-    "registration_conflicts_all",
     """with n as (select s_suppkey as id, s_name as username, 'mail' || (s_suppkey * 20) as email from supplier), u as (select c_name as username, 'mail' || c_custkey as email from customer)
 select id, case when email in (select email from u) then 'email' when username in (select username from u) then 'username' end as conflict from n""",
 )
-def registration_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[INS-1, Q17] The same against all customers; about three of four registrations use a customer's e-mail."""
+def registration_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[INS-1, Q17] Registrations against all customers; about three of four registrations use a customer's e-mail."""
     new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"), F.concat(F.lit("mail"), (F.col("s_suppkey") * 20).cast("string")).alias("email"))
     users = table(spark, sf_dir, "customer").select(F.col("c_name").alias("username"), F.concat(F.lit("mail"), F.col("c_custkey").cast("string")).alias("email"))
     return relational.registration_conflicts(new, users).select("id", "conflict")
@@ -607,32 +584,65 @@ def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(p, 256).alias("h"))
 
 
-# -- chunks, embeddings, answers: no SQL; tests/ holds them against plain Python ---------------------------------------
+# -- chunks, embeddings, answers: what has no SQL is held against plain Python in tests/ --------------------------------
+
+#: Line ends of a text that becomes comment lines.
+_BREAK = "\\r\\n|[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}\\x{1C}-\\x{1E}]"
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as the body of a small source file, in turn Python, Java, JavaScript and unknown."""
-    body = F.regexp_replace(F.regexp_replace(F.left("content", F.lit(1 << 30)), "[^A-Za-z ]+", " "), " +", " ")
-    n = F.col("doc_id").cast("string")
-    kind = F.col("doc_id") % 4
-    py = F.concat(F.lit("import os\n\nclass C"), n, F.lit(":\n    def run(self):\n        return '"), body, F.lit("'\n\nprint(1)\n"))
-    java = F.concat(F.lit("import a.B;\npublic class C"), n, F.lit(" {\n  String run() { return \""), body, F.lit("\"; }\n}\n"))
-    js = F.concat(F.lit("import a from 'b';\nfunction run"), n, F.lit("() { return '"), body, F.lit("'; }\n"))
+    """Every document as a source file: its whole text, as it is, in the comment lines of some code in Python, Java or JavaScript;
+    every fourth file is plain text."""
+    n, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+
+    def lines(prefix: str) -> Column:
+        return F.concat(F.lit(prefix), F.regexp_replace("content", _BREAK, f"\n{prefix}"))
+
+    py = F.concat(F.lit("import os\n\nclass C"), n, F.lit(":\n    def run(self, a=(1, [2])):\n"), lines("        # "), F.lit('\n        return {"k": [a, '), n, F.lit("]}\n\nprint(C"), n, F.lit("().run())\n"))
+    java = F.concat(F.lit("import a.B;\npublic class C"), n, F.lit(" {\n"), lines("  // "), F.lit("\n  int run(int[] a) { return a["), n, F.lit(" % 2]; }\n}\n"))
+    js = F.concat(F.lit("import a from 'b';\n"), lines("// "), F.lit("\nfunction run"), n, F.lit("(x) {\n  return [x, (y) => {\n    return y; }]; }\n"))
     content = F.when(kind == 0, py).when(kind == 1, java).when(kind == 2, js).otherwise(F.col("content"))
     language = F.when(kind == 0, "py").when(kind == 1, "java").when(kind == 2, "js").otherwise(F.col("language"))
     return files(spark, sf_dir).select("repo_id", F.col("file_path").alias("path"), language.alias("language"), content.alias("content"))
 
 
-@register("ast_chunks")
+_CODE_SQL = f"""with d as (
+  select source as repo_id, {_PATH} as file, doc_id % 4 as kind, doc_id::varchar as n, lang, text, len(regexp_extract_all(text, '{_BREAK}'))::int as k,
+    regexp_replace(text, '{_BREAK}', chr(10) || '        # ', 'g') as py, regexp_replace(text, '{_BREAK}', chr(10) || '  // ', 'g') as java,
+    regexp_replace(text, '{_BREAK}', chr(10) || '// ', 'g') as js from documents where text is not null
+), f as (
+  select *, 'def run(self, a=(1, [2])):' || chr(10) || '        # ' || py || chr(10) || '        return {{"k": [a, ' || n || ']}}' as py_run,
+    'int run(int[] a) {{ return a[' || n || ' % 2]; }}' as java_run, '(y) => {{' || chr(10) || '    return y; }}' as js_inner from d
+)"""
+_CHUNKS_SQL = f"""{_CODE_SQL}
+select repo_id, file, 'py' as language, 'C' || n as name, 'class_definition' as type, file as parent_scope, 'class C' || n || ':' || chr(10) || '    ' || py_run as code, 3 as start_line, 6 + k as end_line from f where kind = 0
+union all by name select repo_id, file, 'py' as language, 'run' as name, 'function_definition' as type, 'C' || n as parent_scope, py_run as code, 4 as start_line, 6 + k as end_line from f where kind = 0
+union all by name select repo_id, file, 'py' as language, 'module_scope' as name, 'global_logic' as type, file as parent_scope, 'print(C' || n || '().run())' as code, 8 + k as start_line, 8 + k as end_line from f where kind = 0
+union all by name select repo_id, file, 'java' as language, 'C' || n as name, 'class_declaration' as type, file as parent_scope, 'public class C' || n || ' {{' || chr(10) || '  // ' || java || chr(10) || '  ' || java_run || chr(10) || '}}' as code, 2 as start_line, 5 + k as end_line from f where kind = 1
+union all by name select repo_id, file, 'java' as language, 'run' as name, 'method_declaration' as type, 'C' || n as parent_scope, java_run as code, 4 + k as start_line, 4 + k as end_line from f where kind = 1
+union all by name select repo_id, file, 'js' as language, 'run' || n as name, 'function_declaration' as type, file as parent_scope, 'function run' || n || '(x) {{' || chr(10) || '  return [x, ' || js_inner || ']; }}' as code, 3 + k as start_line, 5 + k as end_line from f where kind = 2
+union all by name select repo_id, file, 'js' as language, 'anonymous' as name, 'arrow_function' as type, file as parent_scope, js_inner as code, 4 + k as start_line, 5 + k as end_line from f where kind = 2
+union all by name select repo_id, file, lang as language, 'global_scope' as name, 'module' as type, file as parent_scope, text as code, 1 as start_line,
+  (k + 1 - case when regexp_matches(text, '({_BREAK})$') then 1 else 0 end)::int as end_line from f where kind = 3 and {strip_sql('text')} <> ''"""
+_HEADERS_SQL = f"""{_CODE_SQL}
+select repo_id, file as file_path, case kind when 0 then 'py' when 1 then 'java' when 2 then 'js' else lang end as language,
+  case kind when 0 then ['import os'] when 1 then ['import a.B;'] when 2 then ['import a from ''b'';'] else []::varchar[] end as imports, []::varchar[] as exports,
+  case kind when 0 then ['class_definition: class C' || n || ':,parent:' || file, 'function_definition: def run(self, a=(1, [2])):,parent:C' || n]
+    when 1 then ['class_declaration: public class C' || n || ' {{,parent:' || file, 'method_declaration: ' || java_run || ',parent:C' || n]
+    when 2 then ['function_declaration: function run' || n || '(x) {{,parent:' || file, 'arrow_function: (y) => {{,parent:' || file] else []::varchar[] end as skeleton,
+  case kind when 0 then 3 when 3 then case when {strip_sql('text')} <> '' then 1 else 0 end else 2 end::int as chunks_indexed from f"""
+
+
+@register("ast_chunks", _CHUNKS_SQL)
 def ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[CHK-1..9]"""
-    return chunking.chunk_files(code_files(spark, sf_dir))
+    return chunking.chunk_files(code_files(spark, sf_dir).where("content is not null"))
 
 
-@register("file_headers")
+@register("file_headers", _HEADERS_SQL)
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[CHK-3, AGG-8, AGG-6]"""
-    return chunking.file_headers(code_files(spark, sf_dir))
+    return chunking.file_headers(code_files(spark, sf_dir).where("content is not null"))
 
 
 @register("embed_documents")
@@ -644,18 +654,21 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("chunk_points")
 def chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[SCL-3, SCL-6, DDP-1, PRJ-4]"""
-    return embedding.points(chunking.chunk_files(code_files(spark, sf_dir)))
+    return embedding.points(chunking.chunk_files(code_files(spark, sf_dir).where("content is not null")))
 
 
-@register("file_summaries")
+@register(
+    "file_summaries",
+    f"select repo_id, file_path, case when len(skeleton) > 0 then file_path || ' declares ' || len(skeleton) || ' parts and has ' || len(imports) || ' imports. First: ' || skeleton[1] else 'Summary unavailable' end as summary from ({_HEADERS_SQL})",
+)
 def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[LLM-1]"""
-    h = chunking.file_headers(code_files(spark, sf_dir))
+    h = chunking.file_headers(code_files(spark, sf_dir).where("content is not null"))
     return h.select("repo_id", "file_path", answers.offline_summary(F.col("file_path"), F.col("imports"), F.col("skeleton")).alias("summary"))
 
 
 @register("rag_answer")
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[RAG-1, EMB-3, TOP-1, SCL-12, LLM-2, SCL-11]"""
-    p = embedding.points(chunking.chunk_files(code_files(spark, sf_dir).where("repo_id = 'src1'")))
+    """[RAG-1, EMB-3, TOP-1, SCL-12, LLM-2, SCL-11] A question to the code of all repositories."""
+    p = embedding.points(chunking.chunk_files(code_files(spark, sf_dir).where("content is not null")))
     return answers.answer_question(p, "Where is the run method?")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators import relational
 from strandline.plans import queries
@@ -13,8 +14,16 @@ from strandline.plans.registry import ORACLES, register
 from strandline.streaming import messages
 
 
+#: How long a message about a file and stage may be repeated and still counts once.
+REPEATS = "7 days"
+
+
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share; our own only where none is named and all runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared or 'file:///tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,19 +33,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_progress", ORACLES["job_progress"])
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[AGG-2, STR-9] Counters per job and file stage kept by a streaming aggregation, flushed to a table by each batch."""
+    """[AGG-2, STR-9] Counters of jobs: each batch adds what is new in it to a table. Repeated messages are known again for as long
+    as the watermark says, so the state is bounded by the messages of that time."""
     out = _folder(spark)
     m = queries.stage_messages(event_stream(spark, sf_dir))
-    once = m.groupBy("job_id", "file_path", "stage").agg(F.max("total").alias("total"))
+    fresh = m.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", REPEATS).dropDuplicatesWithinWatermark(["job_id", "file_path", "stage"])
 
     def flush(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/counts")
+        counts = batch.groupBy("job_id").pivot("stage", ["fetched", "processed", "stored"]).agg(F.count(F.lit(1)))
+        totals = batch.groupBy("job_id").agg(F.max("total").alias("total_files"))
+        counts.join(totals, "job_id").na.fill(0).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
 
-    q = once.writeStream.outputMode("complete").foreachBatch(flush).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q = fresh.writeStream.foreachBatch(flush).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    seen = spark.read.parquet(f"{out}/counts")
-    counts = relational.stage_counts(seen).join(seen.groupBy("job_id").agg(F.max("total").alias("total_files")), "job_id")
-    return relational.job_progress(counts)
+    sums = [F.sum(s).alias(s) for s in ("fetched", "processed", "stored")]
+    return relational.job_progress(spark.read.parquet(f"{out}/counts").groupBy("job_id").agg(*sums, F.max("total_files").alias("total_files")))
 
 
 @register("stream_dead_letter", ORACLES["dead_letter_routing"])
@@ -65,20 +76,9 @@ def stream_live_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "fan_out_messages",
-    "select source as repo_id, source || '-job' as job_id, source || '/' || doc_id as file_path, lang as language, 0 as retries from documents where source in ('src1', 'src2')",
-)
-def fan_out_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[STR-6] Two repositories' fetch messages become a message for each of their files."""
-    files = queries.files(spark, sf_dir).withColumnRenamed("file_path", "path")
-    repos = spark.createDataFrame([(r, f"{r}-job", "u") for r in ("src1", "src2")], "repo_id string, job_id string, repo_url string")
-    return messages.fan_out(repos, files).select("repo_id", "job_id", "file_path", "language", "retries")
-
-
-@register(
-    "fan_out_all_messages",
     "select source as repo_id, source || '-job' as job_id, source || '/' || doc_id as file_path, lang as language, 0 as retries from documents where source is not null",
 )
-def fan_out_all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fan_out_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[STR-6] The fetch messages of all repositories become a message for each of their files."""
     files = queries.files(spark, sf_dir).withColumnRenamed("file_path", "path")
     repos = files.where("repo_id is not null").select("repo_id").distinct().select("repo_id", F.concat("repo_id", F.lit("-job")).alias("job_id"), F.lit("u").alias("repo_url"))
@@ -113,7 +113,7 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "job_status",
-    "select case when o_orderstatus = 'F' then 'done' else 'update' end as event, case when o_orderstatus = 'F' then 'completed' else 'processing' end as status, (o_orderkey % 100)::int as progress from orders where o_orderkey = 11",
+    "select case when o_orderstatus = 'F' then 'done' else 'update' end as event, case when o_orderstatus = 'F' then 'completed' else 'processing' end as status, (o_orderkey % 100)::int as progress, null::varchar as error from orders where o_orderkey = 11",
 )
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[SNK-6, Q6] What a poll of one job's status gets."""
@@ -121,3 +121,31 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = queries.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("repo_id"), state.alias("status"), (F.col("o_orderkey") % 100).cast("int").alias("progress"))
     repos = jobs.select(F.col("repo_id").alias("id"), "status").where("false")
     return messages.job_status(jobs, repos, "11")
+
+
+@register(
+    "stream_retries",
+    """select c_custkey as id, case when c_custkey % 11 = 0 then 1 when c_custkey % 7 = 0 then 4 when c_custkey % 5 = 0 then 3 else 1 end::bigint as attempts,
+  case when c_custkey % 11 = 0 then 'quota_hit' when c_custkey % 7 = 0 then 'Max retries reached' end as reason from customer""",
+)
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-4, STR-5, SRC-7, SRC-8, SNK-1, SNK-2] A message for each customer goes through an inbox until it is done or a dead letter:
+    some hit a quota, some fail twice, some at every attempt."""
+    out = _folder(spark)
+    fields = "id long, retries int"
+    messages.publish(queries.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.lit(0).alias("retries")), f"{out}/inbox")
+
+    def work(batch: DataFrame, number: int) -> DataFrame:
+        batch.select("id").write.mode("overwrite").parquet(f"{out}/attempts/batch={number}")
+        fails = F.when(F.col("id") % 11 == 0, "Quota exceeded").when(F.col("id") % 7 == 0, "timed out").when((F.col("id") % 5 == 0) & (F.col("retries") < 2), "timed out")
+        return batch.withColumn("error", fails).where("error is not null")
+
+    def start() -> StreamingQuery:
+        stream = messages.read_messages(spark, f"{out}/inbox", fields, files_per_poll=1000)
+        return messages.process(stream, work, f"{out}/inbox", f"{out}/dead", f"{out}/checkpoint", "file:process")
+
+    messages.drain(start)
+    tried = spark.read.parquet(f"{out}/attempts").groupBy("id").agg(F.count(F.lit(1)).alias("attempts"))
+    letters = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/dead")
+    gone = letters.select(F.get_json_object("payload", "$.id").cast("long").alias("id"), "reason")
+    return tried.join(gone, "id", "left").select("id", "attempts", "reason")
