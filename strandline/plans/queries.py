@@ -227,27 +227,29 @@ def short_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.short_skeleton_line(F.col("lang"), F.col("source")).alias("line"))
 
 
-@register("compress_round_trip", "select doc_id, true as same from documents")
+@register("compress_round_trip", "select doc_id, sha256(text) as h from documents")
 def compress_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[SCL-9]"""
-    f = table(spark, sf_dir, "documents").select("doc_id", "text", decompress_code(compress_code("text")).alias("back"))
-    return f.select("doc_id", (F.col("text") == F.col("back")).alias("same"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(decompress_code(compress_code("text")), 256).alias("h"))
 
 
-@register("valid_utf8_files", "select doc_id from documents where text is not null")
+@register("valid_utf8_files", "select doc_id, sha256(text) as h from documents where text is not null and doc_id % 5 <> 0")
 def valid_utf8_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[SRC-2]"""
+    """[SRC-2] Every fifth file has bytes that are no UTF-8."""
     from strandline.sources.files import decoded
 
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
-    return decoded(raw).select("doc_id")
+    bytes_ = F.encode("text", "utf-8")
+    broken = F.concat(bytes_, F.unhex(F.lit("C328FF")))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, broken).otherwise(bytes_).alias("content"))
+    return decoded(raw).select("doc_id", F.sha2("content", 256).alias("h"))
 
 
-@register("repo_sizes", "select source as repo_id, coalesce(floor(sum(length(text)) / 1024)::double, 2000.0) as size_kb from documents group by source")
+@register("repo_sizes", "select source as repo_id, coalesce(sum(strlen(text)) // 1024, 2000)::bigint as size_kb from documents group by source")
 def repo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[SRC-5]"""
-    f = files(spark, sf_dir).groupBy("repo_id").agg(F.sum(F.char_length("content")).alias("n"))
-    return f.select("repo_id", F.coalesce(F.floor(F.col("n") / 1024).cast("double"), F.lit(2000.0)).alias("size_kb"))
+    from strandline.sources.files import repo_size_kb
+
+    return repo_size_kb(files(spark, sf_dir).withColumn("length", F.octet_length("content")), by=["repo_id"])
 
 
 @register(
@@ -401,12 +403,12 @@ def status_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.jobs_with_repo(jobs, repos).select("id", "repo_name", "repo_status")
 
 
-@register("chunks_with_metadata", "select e.vec_id as point_id, count(*) as files from embeddings e join documents d on d.doc_id = e.vec_id group by e.vec_id")
+@register("chunks_with_metadata", "select e.vec_id as point_id, d.lang as summary, d.source as first from embeddings e join documents d on d.doc_id = e.vec_id")
 def chunks_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[JOIN-7]"""
     chunks = points(spark, sf_dir).select("point_id", F.lit("r").alias("repo_id"), F.col("point_id").cast("string").alias("file"))
     meta = files(spark, sf_dir).select(F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("file_path"), F.col("language").alias("summary"), F.array("repo_id").alias("skeleton"))
-    return relational.chunks_with_metadata(chunks, meta).groupBy("point_id").agg(F.count(F.lit(1)).alias("files"))
+    return relational.chunks_with_metadata(chunks, meta).select("point_id", "summary", F.col("skeleton")[0].alias("first"))
 
 
 @register("status_in_list", "select o_orderkey from orders where o_orderstatus in ('F', 'O')")
@@ -564,11 +566,18 @@ def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("repo_id", T.batches(F.col("n"), 100).alias("embed_batches"), T.batches(F.col("n"), 10).alias("store_batches"))
 
 
-@register("uuid_check", rf"select doc_id, true as ok, false as bad from documents")
+_UUID = "^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$"
+
+
+@register(
+    "uuid_check",
+    rf"with p as (select doc_id, regexp_replace(md5({_PATH} || ':' || {norm_sql('text')}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') as id from documents) "
+    rf"select doc_id, regexp_matches(id, '{_UUID}') as ok, regexp_matches(substr(id, 2), '{_UUID}') as bad from p",
+)
 def uuid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[SCL-22]"""
     p = T.point_id(F.col("file_path"), F.col("content"))
-    return files(spark, sf_dir).select("doc_id", T.is_uuid(p).alias("ok"), T.is_uuid(F.col("doc_id").cast("string")).alias("bad"))
+    return files(spark, sf_dir).select("doc_id", T.is_uuid(p).alias("ok"), T.is_uuid(F.substr(p, F.lit(2))).alias("bad"))
 
 
 @register("quota_waits", "select event_id, greatest(event_id % 200 - 100 + 5, 60) as wait from events")

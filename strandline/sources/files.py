@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ def source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     return decoded(known).select(F.lit(repo_id).alias("repo_id"), "path", "language", "content", T.file_hash(F.col("content")).alias("file_hash"))
 
 
-def repo_size_kb(files: DataFrame, default: int = 2000) -> DataFrame:
-    """[SRC-5] One row with the size in KB; ``default`` without files."""
-    return files.agg(F.coalesce((F.sum("length") / 1024).cast("long"), F.lit(default)).alias("size_kb"))
+def repo_size_kb(files: DataFrame, default: int = 2000, by: Sequence[str] = ()) -> DataFrame:
+    """[SRC-5] One row with the size in KB, or one for each group; ``default`` without files."""
+    return files.groupBy(*by).agg(F.coalesce((F.sum("length") / 1024).cast("long"), F.lit(default)).alias("size_kb"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
