@@ -25,8 +25,9 @@ from strandline.llm.common import broadcast_if_small, materialize
 from strandline.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Vectors of a shard at most, and shards at least. More vectors make more shards, never larger ones.
-SHARD_ROWS, SHARDS = 100_000, 6
+#: Vectors of a shard at most, their bytes (in double and single precision), and shards at least. More or longer vectors make more
+#: shards, never larger ones.
+SHARD_ROWS, SHARD_BYTES, SHARDS = 100_000, 200 << 20, 6
 #: Queries that one task answers; more queries make more tasks, each of which builds the shard's graph.
 QUERY_ROWS = 2_000_000
 #: Links of a node in layer 0 and above, beam while building and at first while querying.
@@ -311,12 +312,12 @@ class _Shard:
         self.graph = Graph(vectors)
         self.place = self.graph.order
         self.weights = weights
-        self.beam, _ = self.graph.audited_beam(self.threshold, self.beam)
+        self.beam, self.recall = self.graph.audited_beam(self.threshold, self.beam)
         q, n = self.graph.links_of(unit(vectors), self.threshold, self.beam)
         n = self.place[n]
         q, n = q[q != n], n[q != n]
         self.roots = local_roots(nodes, q, n)
-        return self._tell(nodes, q, n) if report else None
+        return self._tell(nodes, q, n) if report else self._tell(nodes, q[:0], n[:0])
 
     def answer(self, nodes: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch | None:
         if not self.graph:
@@ -326,20 +327,23 @@ class _Shard:
         links = np.bincount(q, minlength=len(exact))
         linked = np.flatnonzero(links)
         sample = np.unique(np.concatenate((np.random.default_rng(19).permutation(len(exact))[:AUDIT_ASKED], linked[spread(links[linked], AUDIT_ASKED, 23)])))
-        beam, _ = self.graph.audit(exact[sample], None, self.threshold, self.asked_beam)
+        beam, recall = self.graph.audit(exact[sample], None, self.threshold, self.asked_beam)
+        self.recall = min(self.recall, recall)
         if beam > self.asked_beam:
             self.asked_beam = beam
             q, n = self.graph.links_of(exact, self.threshold, beam)
         return self._tell(nodes, q, self.place[n])
 
-    def _tell(self, nodes: np.ndarray, q: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+    def _tell(self, nodes: np.ndarray, q: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Links and roots of each node that has some, with the recall of the audits so far; without links, a row for that alone."""
         if not len(q):
-            return None
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((None, pa.int64()), (0, pa.int64()), (None, pa.int64()), (self.recall, pa.float64()))], names=["node", "links", "root", "recall"])
         count = np.bincount(q, weights=self.weights[n], minlength=len(nodes)).astype(np.int64)
         pairs = np.unique(np.stack((q, self.roots[n]), axis=1), axis=0)
         first = np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(nodes[pairs[:, 0]]), pa.array(np.where(first, count[pairs[:, 0]], 0)), pa.array(pairs[:, 1])], names=["node", "links", "root"]
+            [pa.array(nodes[pairs[:, 0]]), pa.array(np.where(first, count[pairs[:, 0]], 0)), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), self.recall))],
+            names=["node", "links", "root", "recall"],
         )
 
 
@@ -386,20 +390,22 @@ def near_vectors(
     query_rows: int = QUERY_ROWS,
     beam: int = BEAM,
 ) -> DataFrame:
-    """(id, n_links, component_id): one row per row of ``table``.
+    """(id, n_links, component_id, audited_recall): one row per row of ``table``.
 
     Two rows are linked when the cosine of their vectors in double precision is at least ``threshold``. Equal vectors are
     one node of the graph and are all linked. A vector that is null, empty, zero, or holds null or non-finite components
     links with nothing, nor do vectors of different lengths. A component is named by its smallest id (null ids count
     as none; a component of these alone has a null name). Repeated rows are vectors of their own. An empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. ``audited_recall`` is the same in every row: the least that an audit of a shard or
+    of a batch of its questions has measured (null without vectors).
     """
     vec = F.col(vector_col)
     rows = materialize(table.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), vec.alias("vec")))
     finite = "exists(vec, x -> x <> 0) and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     usable = rows.where(f"vec is not null and size(vec) > 0 and coalesce({finite}, false)")
     nodes = materialize(usable.groupBy("vec").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("w")))
-    n = nodes.count()
+    n, longest = nodes.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (12 * (longest or 1))))
     shards = max(shards, math.ceil(n / shard_rows)) if n else 1
     blocks = max(1, math.ceil(n / query_rows))
     base = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.size("vec")), F.lit(shards)).cast("int"))
@@ -411,7 +417,9 @@ def near_vectors(
     task = F.size("vec").cast("long") * shards * blocks + place
     rows_in = asked.select(task.alias("task"), "kind", "block", "node", "w", "vec", place.cast("int").alias("place"))
     dealt = rows_in.repartitionById(shards * blocks, F.col("place")).drop("place").sortWithinPartitions("task", "kind")
-    found = materialize(dealt.mapInArrow(search_shards(threshold, beam), "node long, links long, root long"))
+    answers = materialize(dealt.mapInArrow(search_shards(threshold, beam), "node long, links long, root long, recall double"))
+    recall = answers.agg(F.min("recall")).first()[0]
+    found = answers.where("node is not null")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
     named = materialize(nodes.join(counts, "node", "left").join(joined, nodes["node"] == joined["v"], "left").select("vec", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("c", "node").alias("c")))
@@ -419,5 +427,8 @@ def near_vectors(
     smallest = materialize(of_rows.groupBy("c").agg(F.min("id").alias("component_id")))
     linked = of_rows.join(broadcast_if_small(smallest), "c").select("uid", "n_links", "component_id")
     return rows.select("uid", "id").join(linked, "uid", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        "id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.lit(recall).cast("double").alias("audited_recall"),
     )

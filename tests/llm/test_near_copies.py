@@ -196,7 +196,7 @@ def test_audit_of_other_shards_vectors():
     assert out is not None and out.num_rows == 40 and shard.asked_beam >= Losing.enough
 
 
-def test_vectors_match_brute_force(spark):
+def test_vectors_match_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = vectors(rng, [60, 5, 3, 2, 2], 200)
     data = [(i, v.tolist()) for i, v in enumerate(x)]
@@ -211,5 +211,22 @@ def test_vectors_match_brute_force(spark):
         assert {r[0]: (r[1], r[2]) for r in V.near_vectors(df, shards=shards).collect()} == want
     assert {r[0]: (r[1], r[2]) for r in V.near_vectors(df, shards=2, query_rows=100).collect()} == want
     assert V.near_vectors(df.where("false")).count() == 0
+    monkeypatch.setattr(V, "SHARD_BYTES", 12 * 16 * 50)  # shards of 50 vectors
+    small = V.near_vectors(df).collect()
+    assert {r[0]: (r[1], r[2]) for r in small} == want and all(r.audited_recall >= V.RECALL for r in small)
     twice = V.near_vectors(df.where("vec_id in (2000, 2005)").union(df.where("vec_id = 2005"))).orderBy("id").collect()
-    assert [tuple(r) for r in twice] == [(2000, 0, 2000), (2005, 1, 2005), (2005, 1, 2005)]
+    assert [tuple(r)[:3] for r in twice] == [(2000, 0, 2000), (2005, 1, 2005), (2005, 1, 2005)]
+
+
+def test_query_finds_links(spark, tmp_path):
+    """The registered query over a table that has links, unlike the small test tables."""
+    from strandline.llm.queries import QUERIES
+
+    x = vectors(np.random.default_rng(21), [30, 4, 2], 80)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = V.unit(x)
+    near = unit @ unit.T >= 0.95
+    of = classes(len(x), [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+    first = {c: min(i for i in range(len(x)) if of[i] == c) for c in set(of)}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op2_embedding_near_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, first[of[i]], first[of[i]] == i) for i in range(len(x))} and sum(n for n, *_ in got.values()) > 500
