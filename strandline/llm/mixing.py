@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import broadcast_if_small, materialize
 
-#: The driver holds one row for each membership pattern and each source; more than this is an error, not a cut.
+#: Membership patterns that the driver holds whole, the largest ones; see ``fold_patterns`` for the others.
 MAX_PATTERNS = 200_000
 MAX_REPEATS = 3
 
@@ -105,6 +105,18 @@ def min_cost_mix(patterns: dict[tuple, int], targets: dict, max_repeats: int = M
     return {p: {s: flow.left[routes[p, s] ^ 1] for s in p} for p in patterns}
 
 
+def fold_patterns(rows: DataFrame, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """``rows`` with at most ``max_patterns`` patterns (sources) of several sources: the documents of smaller patterns are dealt to
+    one of their sources each, by a hash of the id. All of them stay in the mix; only their choice of source is made beforehand."""
+    sizes = materialize(rows.where("size(sources) > 1").groupBy("sources").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")))
+    if sizes.count() <= max_patterns:
+        return rows
+    whole = materialize(sizes.orderBy(F.desc("n"), F.desc("rows"), "sources").limit(max_patterns).select(F.col("sources").alias("p"), F.lit(True).alias("whole")))
+    one = F.array(F.get("sources", F.pmod(F.xxhash64("h"), F.size("sources")).cast("int")))
+    folded = F.when(F.col("whole") | (F.size("sources") < 2), F.col("sources")).otherwise(one)
+    return rows.join(broadcast_if_small(whole), F.col("sources") == F.col("p"), "left").withColumn("sources", folded).drop("p", "whole")
+
+
 def mix(
     docs: DataFrame,
     targets: Callable[[dict], dict],
@@ -113,6 +125,7 @@ def mix(
     sources_col: str = "sources",
     seed: str = "mix",
     max_repeats: int = MAX_REPEATS,
+    max_patterns: int = MAX_PATTERNS,
 ) -> tuple[DataFrame, dict, dict]:
     """((uid, id, size, sources, repeats), source sizes, source targets): one row per row of ``docs``.
 
@@ -120,9 +133,10 @@ def mix(
     array; null inside it is a source like any other. A row without sources, or of size 0, is never taken. Within a
     pattern documents are taken in the order of a seeded hash; the one at the end is exchanged for the document that
     comes nearest the remainder, so a source misses its target by less than a document. Sizes that are null count
-    as 0; repeated rows are documents of their own; an empty table gives an empty result.
+    as 0; repeated rows are documents of their own; an empty table gives an empty result. The driver holds a row for each source
+    and each pattern; ``sources`` of the result are those of ``fold_patterns``.
     """
-    rows = materialize(
+    listed = materialize(
         docs.select(
             F.monotonically_increasing_id().alias("uid"),
             F.col(id_col).alias("id"),
@@ -130,12 +144,9 @@ def mix(
             F.array_sort(F.array_distinct(F.coalesce(F.col(sources_col), F.array().cast("array<string>")))).alias("sources"),
         ).withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"), F.col("size").cast("string"))))
     )
+    rows = fold_patterns(listed, max_patterns)
     spark = rows.sparkSession
-    sizes: dict[tuple, int] = {}
-    for r in rows.groupBy("sources").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect():
-        sizes[tuple(r["sources"])] = r["n"]
-    if len(sizes) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    sizes = {tuple(r["sources"]): r["n"] for r in rows.groupBy("sources").agg(F.sum("size").alias("n")).collect()}
     by_source: dict = {}
     for p, n in sizes.items():
         for s in p:

@@ -54,3 +54,13 @@ def test_overlapping_sources(spark):
     chosen, sizes, _ = M.mix(docs, lambda s: {k: 300.0 for k in s})
     got = chosen.groupBy("sources").agg(F.sum(F.col("size") * F.col("repeats")).alias("n")).collect()
     assert sizes == {"a": 600, "b": 600, None: 300} and sum(r.n for r in got) == 900
+
+
+def test_small_patterns_are_folded_when_there_are_many(spark):
+    rows = [(i, 10, ["a", f"s{i % 7}"] if i % 2 else ["a", "b"]) for i in range(140)] + [(200, 5, []), (201, 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    chosen, sizes, targets = M.mix(docs, lambda s: {k: 100.0 for k in s}, max_patterns=1)
+    patterns = {tuple(r.sources) for r in chosen.select("sources").distinct().collect()}
+    assert chosen.count() == 142 and sum(len(p) > 1 for p in patterns) == 1 and ("a", "b") in patterns
+    taken = chosen.agg(F.sum(F.col("size") * F.col("repeats"))).first()[0]
+    assert abs(taken - sum(targets.values())) <= 10 * len(sizes)

@@ -1,4 +1,7 @@
 import collections
+import re
+
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strandline.llm import queries, toxicity
@@ -30,6 +33,21 @@ def test_stages_against_brute_force(spark):
     a, b = out["mix_to_target_weights"]
     times = collections.Counter(ids["mix_to_target_weights"][1])
     assert max(times.values()) <= 3 and set(times) <= set(ids["mix_to_target_weights"][0])
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in a}
+    size, taken, most = collections.Counter(), collections.Counter(), {}
+    for r in a:
+        size[r.source] += words[r.doc_id]
+        most[r.source] = max(words[r.doc_id], most.get(r.source, 0))
+    for r in b:
+        taken[r.source] += words[r.doc_id]
+    for source, target in queries.contract_targets(dict(size)).items():
+        assert abs(taken[source] - target) <= most[source]
+    library = Tokenizer.from_file(queries.vocabulary_path())
+    library.no_truncation()
+    text = {r.doc_id: r.text or "" for r in b}
+    for r in corpus_pipeline.encode(spark, docs, SF).collect():
+        want = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert list(r.ids) == want and r.n_tokens == len(want)
 
 
 def test_run_and_empty(spark):
@@ -39,5 +57,3 @@ def test_run_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF))
     assert docs.count() == 0
-
-
