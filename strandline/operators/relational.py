@@ -140,6 +140,19 @@ def over_limit(events: DataFrame, key: str, ts: str, per_minute: int) -> DataFra
     return events.groupBy(F.col(key), minute.alias("minute")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_minute)
 
 
+#: Requests a minute by endpoint.
+LIMITS = {"ingest": 10, "register": 3, "login": 5, "refresh": 5, "logout": 5}
+
+
+def over_limits(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """[CTL-1] (endpoint, client, minute, n): who was over the endpoint's limit in a minute, of requests (endpoint, subject, address,
+    ts). A client is known by the token's subject, else by the address; endpoints without a limit are left out."""
+    limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("endpoint")]
+    minute = F.date_trunc("minute", F.col("ts")).alias("minute")
+    counted = requests.where(limit.isNotNull()).groupBy("endpoint", F.coalesce("subject", "address").alias("client"), minute).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") > limit)
+
+
 # -- routing ---------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from strandline.operators import relational
 from strandline.plans import queries
 from strandline.plans.registry import ORACLES, register
+from strandline.sources.tables import PartitionedTable, append
 from strandline.streaming import messages
 
 
@@ -149,3 +150,46 @@ def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/dead")
     gone = letters.select(F.get_json_object("payload", "$.id").cast("long").alias("id"), "reason")
     return tried.join(gone, "id", "left").select("id", "attempts", "reason")
+
+
+@register(
+    "over_limits",
+    """with r as (select case event_type when 'view' then 'ingest' when 'click' then 'login' when 'purchase' then 'register' else 'other' end as endpoint,
+  case when event_id % 3 = 0 then 'ip' || (user_id % 5) else user_id::varchar end as client, date_trunc('month', ts) as minute from events)
+select endpoint, client, minute, count(*) as n from r where endpoint <> 'other' group by 1, 2, 3
+having count(*) > case endpoint when 'ingest' then 10 when 'login' then 5 else 3 end""",
+)
+def over_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[CTL-1] Clients over an endpoint's limit; a minute here is a month of the events."""
+    of = {"view": "ingest", "click": "login", "purchase": "register"}
+    endpoint = F.coalesce(F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[F.col("event_type")], F.lit("other"))
+    known = F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string"))
+    address = F.concat(F.lit("ip"), (F.col("user_id") % 5).cast("string"))
+    e = queries.table(spark, sf_dir, "events")
+    requests = e.select(endpoint.alias("endpoint"), known.alias("subject"), address.alias("address"), F.date_trunc("month", "ts").alias("ts"))
+    return relational.over_limits(requests).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@register("history_append", ORACLES["history_pairs"])
+def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[SNK-5] Questions with their answers, appended to a history in two batches."""
+    out, pairs = _folder(spark), queries.history_pairs(spark, sf_dir)
+    for half in (0, 1):
+        append(pairs.where(F.col("conv_id") % 2 == half), f"{out}/history")
+    return spark.read.schema(pairs.schema).parquet(f"{out}/history")
+
+
+@register(
+    "replaced_partitions",
+    "select label::varchar as repo_id, case when label % 3 = 1 then -vec_id else vec_id end::bigint as point_id from embeddings where label % 3 <> 2 or label is null",
+)
+def replaced_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[SNK-3, SNK-4, DEL-1, DEL-3] Points partitioned by repository: some repositories are replaced, some dropped, the others not touched."""
+    points = PartitionedTable(spark, f"{_folder(spark)}/points", "repo_id string, point_id long", by=["repo_id"], lookup=["point_id"])
+    rows = queries.table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("repo_id"), F.col("vec_id").cast("long").alias("point_id"))
+    points.append(rows)
+    group = F.col("repo_id").cast("int") % 3
+    old = points.read().where(group == 1)
+    points.replace_partitions(old.withColumn("point_id", -F.col("point_id")), rows.where(group == 1))
+    points.drop_partitions(rows.where(group == 2))
+    return points.read().select("repo_id", "point_id")
