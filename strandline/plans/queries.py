@@ -654,13 +654,30 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.file_headers(code_files(spark, sf_dir).where("content is not null"))
 
 
-@register("embed_documents")
+def _vectors_sql(key: str) -> str:
+    """CTEs that end in ``vec`` (key, vector) for a CTE ``src`` (key, t): the hashing provider's rule."""
+    return rf"""tok as (select {key}, md5(unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'))) as h from src),
+slot as (select {key}, ('0x' || substr(h, 1, 2))::int as i, sum(case when ('0x' || substr(h, 15, 2))::int >= 128 then 1 else -1 end) as x from tok group by all),
+norm as (select {key}, sqrt(sum(x * x)::double) as l from slot group by all),
+vec as (select {key}, list((coalesce(x, 0) / coalesce(nullif(l, 0), 1))::float order by r.i) as vector
+  from src cross join (select unnest(range(256))::int as i) r left join slot using ({key}, i) left join norm using ({key}) where t is not null group by all)"""
+
+
+@register("embed_documents", f"with src as (select doc_id, text as t from documents), {_vectors_sql('doc_id')} select doc_id, vector from src left join vec using (doc_id)")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[EMB-1, EMB-2]"""
     return files(spark, sf_dir).select("doc_id", embedding.embed(F.col("content")).alias("vector"))
 
 
-@register("chunk_points")
+_POINT_TEXT = strip_sql("concat_ws(chr(10) || '    ', 'File: ' || file, 'Name: ' || name, 'Type: ' || type, 'Lines: ' || start_line || '-' || end_line, 'Parent_Scope: ' || parent_scope, code)")
+
+
+@register(
+    "chunk_points",
+    rf"""with c as (select *, regexp_replace(md5(file || ':' || {norm_sql('code')}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') as point_id from ({_CHUNKS_SQL})),
+p as (select * from c qualify row_number() over (partition by repo_id, point_id order by start_line, end_line) = 1),
+src as (select point_id, {_POINT_TEXT} as t from p), {_vectors_sql('point_id')} select p.*, vector from p join vec using (point_id)""",
+)
 def chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[SCL-3, SCL-6, DDP-1, PRJ-4]"""
     return embedding.points(chunking.chunk_files(code_files(spark, sf_dir).where("content is not null")))
