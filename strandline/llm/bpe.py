@@ -19,14 +19,14 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import small_batches
+from strandline.llm.common import map_frames
 
 #: Fixed value: how byte-level BPE of this family cuts a text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in a Python worker, and the longest such word; others are encoded again.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 32
-#: Texts encoded together.
-BATCH = 64
+#: Bytes of texts whose words are encoded together.
+BATCH_BYTES = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     The digests are of the ids as little-endian unsigned 32-bit integers, and of the text that ``ids`` decode to.
     """
     fields = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    source = small_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -173,21 +173,19 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         tok = tokenizer(vocabulary)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for frame in batches:
-            for i in range(0, len(frame), BATCH):
-                part = frame.iloc[i : i + BATCH]
-                encoded = tok.encode([t if isinstance(t, str) else "" for t in part["text"]])
-                ids = [np.frombuffer(e, dtype="<u4") for e in encoded]
-                out = {
-                    "id": part["id"],
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [sha(e) for e in encoded],
-                    "decoded_sha256": [sha(tok.decode(x.tolist()).encode()) for x in ids],
-                }
-                if with_ids:
-                    out["ids"] = [x.astype("int32") for x in ids]
-                yield pd.DataFrame(out)
-
-    return source.mapInPandas(run, fields)
+            encoded = tok.encode([t if isinstance(t, str) else "" for t in frame["text"]])
+            ids = [np.frombuffer(e, dtype="<u4") for e in encoded]
+            out = {
+                "id": frame["id"],
+                "n_tokens": [len(x) for x in ids],
+                "ids_sha256": [sha(e) for e in encoded],
+                "decoded_sha256": [sha(tok.decode(x.tolist()).encode()) for x in ids],
+            }
+            if with_ids:
+                out["ids"] = [x.astype("int32") for x in ids]
+            yield pd.DataFrame(out)
+
+    return map_frames(source, run, fields, BATCH_BYTES)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import materialize, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("b"), F.col("c").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
         hooked = materialize(labels.join(near.withColumnRenamed("a", "v"), "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c")))
         jumped = hooked.join(hooked.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", "old", F.least("c", "up").alias("c"))
-        labels = materialize(jumped)
-        if not labels.where("c <> old").limit(1).count():
-            return labels.select("v", "c")
-        labels = labels.select("v", "c")
+        after = materialize(jumped)
+        moved = after.where("c <> old").limit(1).count()
+        release(labels, hooked)
+        labels = after.select("v", "c")
+        labels._materialized = after._materialized
+        if not moved:
+            release(both)
+            return labels

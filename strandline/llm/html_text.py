@@ -14,13 +14,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small_batches
+from strandline.llm.common import map_frames
 
 #: Fixed values of HTML: elements whose tags begin and end a line of text.
 BLOCKS = frozenset(
@@ -53,6 +54,10 @@ FRAME_NAMES = frozenset("header topbar".split())
 #: Elements that a new one of the same kind, or of a listed kind, ends.
 ENDS = {"p": BLOCKS - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
         "tr": frozenset({"tr", "tbody"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
+#: The listed kinds that a start tag ends.
+ENDED_BY = {tag: tuple(k for k, ends in ENDS.items() if tag in ends) for tag in frozenset().union(*ENDS.values())}
+#: Elements that hide what is open around them from such a start tag.
+BARRIERS = REGIONS | DROPPED | {"ul", "ol", "dl", "table"}
 #: Standard deviation of the Gaussian, in lines, and the share of the mean ratio under which a line is no content.
 SIGMA, SHARE = 1.0, 0.35
 #: What ratios inside article and main are multiplied by, and those outside divided by, on pages that have such text.
@@ -60,14 +65,27 @@ WEIGHT = 2.0
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region, in_main) for each line of a page."""
+    """Collects (text, tags, region, in_main) for each line of a page. Places of open elements are listed by tag, so that an end tag
+    without a start, or a start tag deep inside others, costs no search."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, bool]] = []  # (tag, dropped, region, in main)
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
         self.text: list[str] = []
         self.tags = self.regions = 0
         self.lines: list[tuple[str, int, int, bool]] = []
+        self.unclosed: set[str] = set()
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """As inherited; where the rest of the page has no end of a comment, it isn't searched for again."""
+        if "comment" in self.unclosed:
+            return -1
+        end = super().parse_comment(i, report)
+        if end < 0:
+            self.unclosed.add("comment")
+        return end
 
     def _end_line(self) -> None:
         if self.text:
@@ -77,21 +95,30 @@ class Lines(HTMLParser):
             self.text = []
         self.tags = 0
 
+    def _push(self, tag: str, dropped: bool, region: int, main: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BARRIERS:
+            self.barriers.append(len(self.open))
+        self.open.append((tag, dropped, region, main))
+
+    def _pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in MAIN:  # an article is not inside a menu or header whose end tag is missing
             while self.open and self.open[-1][0] in ("nav", "header", "footer", "aside", "head") and self.open[-1][1]:
-                self.open.pop()
+                self._pop_to(len(self.open) - 1)
         if tag == "body":
             while self.open and self.open[-1][0] == "head":
-                self.open.pop()
-        for at in range(len(self.open) - 1, max(-1, len(self.open) - 8), -1):
-            above = self.open[at][0]
-            if tag in ENDS.get(above, ()):
-                self._end_line()
-                del self.open[at:]
-                break
-            if above in REGIONS or above in DROPPED or above in ("ul", "ol", "dl", "table"):
-                break
+                self._pop_to(len(self.open) - 1)
+        ended = max((self.places[k][-1] for k in ENDED_BY.get(tag, ()) if self.places.get(k)), default=-1)
+        if ended >= 0 and ended >= (self.barriers[-1] if self.barriers else 0):
+            self._end_line()
+            self._pop_to(ended)
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
@@ -105,7 +132,7 @@ class Lines(HTMLParser):
         if tag in REGIONS:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, dropped, region, main))
+        self._push(tag, dropped, region, main)
 
     @staticmethod
     def _marked(attrs: dict[str, str | None], main: bool) -> bool:
@@ -122,11 +149,10 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._end_line() if any(t in BLOCKS for t, *_ in self.open[at:]) else None
-                del self.open[at:]
-                return
+        if found := self.places.get(tag):
+            if tag not in BLOCKS and any(t in BLOCKS for t, *_ in self.open[found[-1] + 1 :]):
+                self._end_line()
+            self._pop_to(found[-1])
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
@@ -149,8 +175,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    closed = html.rfind(">") + 1  # no tag ends after it: what begins there is text, as far as this parser is concerned
+    parser.feed(html[:closed])
     parser.close()
+    parser.handle_data(html[closed:] if parser.cdata_elem else unescape(html[closed:]))
     parser._end_line()
     lines = parser.lines
     if not lines:
@@ -179,5 +207,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             text = [main_text(h) for h in frame["html"]]
             yield pd.DataFrame({"id": frame["id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "id long, url string, text string, n_chars long")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return map_frames(rows, run, "id long, url string, text string, n_chars long")

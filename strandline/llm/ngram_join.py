@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import broadcast_if_small, materialize, small_batches
+from strandline.llm.common import broadcast_if_small, map_frames, materialize, release
 from strandline.llm.components import connected_components
 
 #: Words of a shingle.
@@ -256,7 +256,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("key").alias("a"), "tokens").join(broadcast_if_small(centres), "a").select("a", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), "tokens")
     right = sets.select(F.col("key").alias("b"), "tokens").join(broadcast_if_small(sized), "b").select("a", "block", F.lit(1).alias("kind"), "b", "tokens")
     rows = left.union(right).repartition("a", "block").sortWithinPartitions("a", "block", "kind")
-    return materialize(rows.mapInPandas(_compare, "a long, b long"))
+    links = materialize(rows.mapInPandas(_compare, "a long, b long"))
+    release(sized, centres)
+    return links
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -271,7 +273,8 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     f2 and f3 are the prefixes of the other orders, as 64 * LONGS bits. ``alone`` counts the shingles that no other set has.
     Of tokens that are in the prefixes of just the same sets, only the first in the order is here: it leaves most room.
     """
-    shared = materialize(_lists(sets.select("key", "tokens").mapInPandas(_unpacked, "token long, ent long")).withColumnRenamed("ent", "key"))
+    shared = _lists(sets.select("key", "tokens").mapInPandas(_unpacked, "token long, ent long")).withColumnRenamed("ent", "key")
+    shared = materialize(shared)
     n = (F.octet_length("tokens") / 8).cast("long")
     sized = sets.select("key", n.alias("n")).withColumn("p", F.expr("n - cast((3 * n + 3) div 4 as bigint) + 1"))
     alive = materialize(sized.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("common")), "key").where("common > n - p").drop("common"))
@@ -293,7 +296,9 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     members = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64("key", F.lit(1))))
     alike = first.groupBy("token", "df").agg(*(x.alias(f"m{i}") for i, x in enumerate(members))).where("m0 > 1")
     stand = materialize(alike.groupBy("m0", "m1", "m2").agg(F.min(F.struct("df", "token")).alias("first")).select("first.token"))
-    return materialize(first.join(broadcast_if_small(stand), "token").drop("df").join(broadcast_if_small(filters, FILTER_ROWS), "key"))
+    out = materialize(first.join(broadcast_if_small(stand), "token").drop("df").join(broadcast_if_small(filters, FILTER_ROWS), "key"))
+    release(shared, alive, lists, df, prefixes, filters, stand)
+    return out
 
 
 def may_link(a: str, b: str) -> Column:
@@ -323,8 +328,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an empty set and are a class of their own; documents of one set are in one class. Texts are read whole. Repeated rows
     are in one class; an empty table gives an empty result; other columns are not read.
     """
-    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = materialize(texts.select("id", "th", "text").mapInPandas(_sets, "id long, th long, key long, n long, ma int, mb int, a array<long>, b array<long>"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = materialize(map_frames(texts.select("id", "th", "text"), _sets, "id long, th long, key long, n long, ma int, mb int, a array<long>, b array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th"))
     reps = materialize(
         rows.where("key is not null").groupBy("key").agg(first.alias("rep"), F.max("n").alias("n"), F.max("ma").alias("ma"), F.max("mb").alias("mb"))
@@ -341,7 +346,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alive = ents.join(common, "ent").where("common > m - p").select(F.col("ent").bitwiseAND(F.lit(-2)).alias("key")).distinct()
     wanted = materialize(alive.join(reps, "key").select("key", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")))
     found = texts.join(broadcast_if_small(wanted), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid")))
-    sets = materialize(found.select("key", "text").mapInPandas(_tokens, "key long, tokens binary, sketch array<long>").dropDuplicates(["key"]))
+    sets = materialize(map_frames(found.select("key", "text"), _tokens, "key long, tokens binary, sketch array<long>").dropDuplicates(["key"]))
+    keys = materialize(rows.select("id", "th", "n", "key"))
+    release(rows, shared, wanted)
     lists = _prefixes(sets)
 
     # one set of each list, the one with the fewest shingles of its own, against the others: a group of copies around it is linked
@@ -349,19 +356,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     centres = materialize(lists.groupBy("token").agg(centre.alias("to")))
     near = lists.join(centres, "token").where(F.col("key") != F.col("to.key")).where(may_link("", "to."))
     # the centre stays on the left: its set is sent once for many others
-    links = verify(materialize(near.select(F.col("to.key").alias("a"), F.col("key").alias("b")).distinct()), sets)
+    around = materialize(near.select(F.col("to.key").alias("a"), F.col("key").alias("b")).distinct())
+    links = verify(around, sets)
     # then what is left: all that may link across components
-    labels = broadcast_if_small(connected_components(links))
-    named = materialize(lists.join(labels, lists["key"] == labels["v"], "left").withColumn("c", F.coalesce("c", "key")).drop("v"))
+    first_labels = connected_components(links)
+    named = lists.join(broadcast_if_small(first_labels), lists["key"] == first_labels["v"], "left").withColumn("c", F.coalesce("c", "key")).drop("v")
+    named = materialize(named)
     cells = _cells_of(named).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = materialize(cells.mapInPandas(_crossing, "a long, b long").distinct())
-    labels = connected_components(materialize(links.union(verify(pairs, sets))))
+    more = verify(pairs, sets)
+    labels = connected_components(materialize(links.union(more)))
+    release(sets, lists, centres, around, links, first_labels, named, pairs, more)
     named = reps.join(labels, reps["key"] == labels["v"], "left").select("key", "rep", F.coalesce("c", "key").alias("c"))
     classes = materialize(named)
     best = classes.groupBy("c").agg(F.min("rep").alias("best"))
     best = materialize(classes.join(best, "c").select("key", "best"))
+    release(reps, labels, classes)
     own_row = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
-    return rows.select("id", "th", "n", "key").join(best, "key", "left").select("id", "th", "n", F.coalesce("best", own_row).alias("rep"))
+    return keys.join(best, "key", "left").select("id", "th", "n", F.coalesce("best", own_row).alias("rep"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 A sparse logistic regression over the words of a text and their beginnings, with weights of at least zero: no word makes a
 text less toxic, so a long clean text around an insult does not hide it. For every labelled training text that holds
-an identity term, the term is swapped for each other term of its group, and the squared change of the score is added to
-the loss, so that a group's name moves a score no more than any other group's: neutral mentions stay neutral. The
-model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``); every text is then scored whole.
+an identity term, the term is swapped for each other term of its group, and the squared change of the score's logit is added
+to the loss, so that a group's name moves a score no more than any other group's: neutral mentions stay neutral. The
+model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``) and has at most ``KEPT`` features, those that depend
+most on the label in that sample; every text is then scored whole, by all its words.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small_batches
+from strandline.llm.common import SLICE_BYTES, map_frames, slices, small_batches
 
 #: Labelled rows to learn from: those with the smallest hashes of their ids. This bounds the driver's memory.
 TRAIN_ROWS = 8192
@@ -47,6 +49,8 @@ IDENTITIES = (
     ("blind", "deaf", "disabled", "autistic", "elderly", "young"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("frauen", "männer"), ("muslime", "christen", "juden"),
+    ("he", "she"), ("him", "her"), ("his", "hers"), ("himself", "herself"), ("er", "sie"), ("ihn", "ihr"),
+    ("él", "ella"), ("ellos", "ellas"), ("il", "elle"), ("ils", "elles"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -204,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(rows)
     )
-    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {t for g in IDENTITIES for t in g}
@@ -218,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 swaps.append(";".join(",".join(map(str, map(slot, sorted(a)))) + "|" + ",".join(map(str, map(slot, sorted(b)))) for a, b in pairs))
             yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "slots": packed, "swaps": swaps})
 
-    found = texts.mapInPandas(slots, "id long, label int, slots binary, swaps string").orderBy("id", "label", "slots").collect()
+    with small_batches(docs.sparkSession):
+        found = map_frames(texts, slots, "id long, label int, slots binary, swaps string").orderBy("id", "label", "slots").collect()
     numbers = lambda s: [int(x) for x in s.split(",") if x]
     swaps = [tuple(map(numbers, x.split("|"))) for r in found for x in r["swaps"].split(";") if x]
     arrays = [np.frombuffer(r["slots"], dtype=np.int32) for r in found]
@@ -236,17 +241,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = [m.score(t if isinstance(t, str) else "") for t in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], "score": s, "predicted": [int(x >= threshold) for x in s]})
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, score double, predicted int")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return map_frames(rows, run, "id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with its columns."""
+    """The rows of ``docs`` that score under ``threshold``, with its columns, whatever their names. A null text scores as an empty
+    one; repeated rows share their fate; an empty table gives an empty result."""
     small = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = small.value
-        return pd.Series([m.score(t if isinstance(t, str) else "") for t in texts], dtype="float64")
+        for part in (s for b in batches for s in slices(b, SLICE_BYTES)):
+            yield part.filter(pa.array([m.score(t) < threshold for t in part.column(place).to_pylist()], pa.bool_()))
 
-    return small_batches(docs).where(scores(F.col(text_col)) < threshold)
+    return docs.mapInArrow(run, docs.schema)

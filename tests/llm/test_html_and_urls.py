@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -41,6 +42,39 @@ def test_odd_pages(page, want):
     assert H.main_text(page) == want
 
 
+def test_smoothing_decides_inside_an_article(monkeypatch):
+    """A short line between paragraphs is text, the same line among links is not: without smoothing both are judged alike."""
+    text = [f"Paragraph {i} of the page's text, which is long enough to be what the page is about." for i in range(6)]
+    line = "<section><p><b><i><u>By A. B.</u></i></b></p></section>"
+    links = "".join(f"<section><p><b><a href=/{i}><i>Go {i}</i></a></b></p></section>" for i in range(9))
+    page = "<article>" + "".join(f"<section><p>{t}</p></section>" for t in text[:3]) + line + "".join(f"<section><p>{t}</p></section>" for t in text[3:]) + links + "</article>"
+    smoothed = H.main_text(page).split("\n")
+    assert "By A. B." in smoothed and "Go 7" not in smoothed and set(text) <= set(smoothed)
+    monkeypatch.setattr(H, "smooth", lambda values, sigma=0: values)
+    assert "By A. B." not in H.main_text(page).split("\n")
+
+
+@pytest.mark.parametrize("page", ["<span>" * 100_000 + "</b>" * 100_000, "<!--" * 100_000, "<a " * 100_000, '<a b="' * 100_000, "<ul>" + "<li>a<b><i>" * 50_000, "</" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_implied_ends_at_any_depth():
+    for depth in (2, 9, 300):
+        assert H.main_text('<article><ul><li class="ad">buy' + "<i>" * depth + "<li>real item</ul></article>") == "real item"
+
+
+def test_odd_rows_of_pages(spark):
+    rows = [(1, "u", "<p>one text", 7, "x"), (1, "u", "<p>one text", 7, "x"), (None, None, None, 8, "y"), (3, "v", "", 9, "z"), (2**60 + 1, "w", "<p>" + "long " * 50_000, 1, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = H.extract(pages)
+    assert got.columns == ["id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.select("id", "n_chars").collect()), key=str) == sorted([(1, 8), (1, 8), (None, 0), (3, 0), (2**60 + 1, 249_999)], key=str)
+    assert H.extract(pages.where("false")).count() == 0
+
+
 def test_real_pages(spark):
     for r in QUERIES["op5_html_main_text"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = r.html[r.html.index("<article>") :].split("</article>")[0]
