@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame and SQL functions only.
 
-Four patterns find the protected entities (e-mail, ip, card, phone). Around every occurrence, the words of its line
+Four patterns find the protected entities (e-mail, ip, card, phone). Around every occurrence, the whole words of its line
 within ``WINDOW`` characters are its context. Over the whole corpus, a term t discloses an entity e by
 
-    P(e | t) = contexts of e with t / documents with t        bits = log2(P(e | t) / P(e))
+    P(e | t) = documents with t in a context of e / documents with t
+    P(e) = documents with e / documents        bits = log2(P(e | t) / P(e))
 
-A term with at least ``MIN_CONTEXTS`` different contexts of one entity (copies of a line add nothing to these) that
-reaches ``GENERALISE`` and ``MIN_BITS`` is generalised wherever it occurs; one that reaches ``REMOVE`` is removed.
+Copies count as documents here, but a term also needs ``MIN_CONTEXTS`` different contexts of one entity, to which copies add
+nothing. A term that reaches ``GENERALISE`` and ``MIN_BITS`` is generalised wherever it occurs; one that reaches ``REMOVE``
+is removed.
 
 Positions come from two native functions over the same pattern: split() gives what lies between the matches and
 regexp_extract_all() the matches, so a match starts after the lengths of all that came before. Quantifiers are
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import broadcast_if_small, materialize
 
 #: The kinds in their order, with the patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -35,12 +37,14 @@ NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = "term"
 #: Characters on either side of an entity that are its context.
 WINDOW = 120
-#: A term needs this many different contexts of one entity, and letters.
-MIN_CONTEXTS, MIN_LETTERS = 3, 4
+#: Different contexts of one entity that a term needs.
+MIN_CONTEXTS = 3
 #: Disclosure thresholds: P(entity | term) and bits.
 GENERALISE, REMOVE, MIN_BITS = 0.5, 0.9, 3.0
-#: A word of a context or text, lower-cased.
-TERM_PATTERN = rf"\p{{L}}{{{MIN_LETTERS},}}"
+#: Texts with terms up to which their spans are broadcast.
+TEXT_ROWS = 20_000
+#: What a term is made of; it holds two of these and a letter at least.
+TERM_LETTERS = r"[\p{L}\p{N}]"
 
 
 def _luhn(digits: str) -> str:
@@ -95,36 +99,43 @@ def joined(of: str) -> Column:
 
 
 def words_of(text: str) -> Column:
-    """The different terms of a text: runs of at least ``MIN_LETTERS`` letters, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0)))
+    """The different runs of letters and digits of a text, lower-cased; the terms are among them."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]++"))
+
+
+def is_term(word: str) -> Column:
+    return (F.length(word) >= 2) & F.col(word).rlike(r"\p{L}")
 
 
 def contexts(text: str, of: str) -> Column:
-    """Array of (entity, context) for an array of spans."""
-    before = f"substring_index(substring({text}, greatest(1, s.start + 1 - {WINDOW}), least(s.start, {WINDOW})), '\n', -1)"
-    after = f"substring_index(substring({text}, s.end + 1, {WINDOW}), '\n', 1)"
-    return F.expr(
-        f"transform({of}, s -> named_struct('entity', xxhash64(s.kind, lower(s.value)), 'context', lower(concat({before}, ' ', {after}))))"
-    )
+    """Array of (entity, context) for an array of spans. Words that the window cuts, or that touch the entity, are left out."""
+    before = f"substring({text}, greatest(1, s.start - {WINDOW}), least(s.start, {WINDOW + 1}))"
+    before = f"regexp_replace(if(s.start > {WINDOW}, regexp_replace({before}, r'^{TERM_LETTERS}+', ''), {before}), r'(?<!{TERM_LETTERS}){TERM_LETTERS}++$', '')"
+    after = f"substring({text}, s.end + 1, {WINDOW + 1})"
+    after = f"regexp_replace(if(length({after}) > {WINDOW}, regexp_replace({after}, r'(?<!{TERM_LETTERS}){TERM_LETTERS}++$', ''), {after}), r'^{TERM_LETTERS}+', '')"
+    lines = f"lower(concat(substring_index({before}, '\n', -1), ' ', substring_index({after}, '\n', 1)))"
+    return F.expr(f"transform({of}, s -> named_struct('entity', xxhash64(s.kind, lower(s.value)), 'context', {lines}))")
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, action) from ``found`` (contexts: array of (entity, context)) and all ``docs`` (text)."""
-    around = found.select(F.explode("contexts").alias("c")).select("c.entity", F.xxhash64("c.context").alias("context"), words_of("c.context").alias("terms"))
-    pairs = (
-        around.select("entity", "context", F.explode("terms").alias("term"))
-        .groupBy("term", "entity")
-        .agg(F.count(F.lit(1)).alias("n_te"), F.count_distinct("context").alias("n_contexts"))
-        .where(F.col("n_contexts") >= MIN_CONTEXTS)
-    )
-    entities = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    candidates = materialize(pairs.join(entities, "entity"))
-    counts = docs.select(F.explode(words_of("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    """(term, action) from ``found`` (digest, contexts: array of (entity, context)), a row for each row of ``docs`` (text).
+    All counts are of documents; copies are counted once with their number."""
+    each = found.where("size(contexts) > 0").select("digest", F.explode(F.array_distinct("contexts")).alias("c"))
+    around = materialize(each.groupBy("digest", "c.entity", "c.context").agg(F.count(F.lit(1)).alias("copies")))
+    words = around.select("digest", "entity", "copies", F.xxhash64("context").alias("context"), F.explode(words_of("context")).alias("term")).where(is_term("term"))
+    several = words.groupBy("term", "entity").agg(F.count_distinct("context").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
+    several = materialize(several.drop("n_contexts"))
+    chosen = broadcast_if_small(several)
+    once = words.join(chosen, ["term", "entity"]).groupBy("term", "entity", "digest").agg(F.max("copies").alias("copies"))
+    together = once.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"))
+    entities = around.join(chosen.select("entity"), "entity", "left_semi").groupBy("entity", "digest").agg(F.max("copies").alias("copies"))
+    entities = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    counts = docs.select(F.explode(words_of("text")).alias("term")).join(chosen.select("term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.count()
-    p = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
     return (
-        candidates.join(counts, "term")
-        .withColumn("p", p)
+        together.join(entities, "entity")
+        .join(counts, "term")
+        .withColumn("p", F.col("n_te") / F.col("n_t"))
         .withColumn("bits", F.log2(F.col("p") * F.lit(float(n)) / F.col("n_e")))
         .where((F.col("p") >= GENERALISE) & (F.col("bits") >= MIN_BITS))
         .groupBy("term")
@@ -144,22 +155,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
     base = materialize(keyed.withColumn("base", base_spans("text")).select("id", "digest", "base", contexts("text", "base").alias("contexts")))
     terms = materialize(disclosing_terms(base, texts))
-    # the terms of each text: most texts have none
+    # the terms of each text: most texts have none; of copies only the row with the smallest id is searched
     listed = materialize(
-        keyed.select("digest", F.explode(words_of("text")).alias("term"))
-        .join(terms, "term")
+        keyed.select("id", "digest", F.explode(words_of("text")).alias("term"))
+        .join(broadcast_if_small(terms), "term")
         .groupBy("digest")
-        .agg(F.array_sort(F.collect_set(F.struct("term", "action"))).alias("actions"))
-    )
-    pattern = r"concat('(?iu)(?<!\\p{L})(?:', array_join(transform(actions, a -> a.term), '|'), ')(?!\\p{L})')"
-    placed = (
-        keyed.select("digest", "text")
-        .join(listed, "digest")
-        .select("digest", spans("text", TERM, pattern).alias("added"), "actions")
-        .dropDuplicates(["digest"])
+        .agg(F.min("id").alias("first"), F.array_sort(F.collect_set(F.struct("term", "action"))).alias("actions"))
     )
+    pattern = rf"concat('(?iu)(?<!{TERM_LETTERS})(?:', array_join(transform(actions, a -> a.term), '|'), ')(?!{TERM_LETTERS})')".replace("\\", "\\\\")
+    once = keyed.join(broadcast_if_small(listed, TEXT_ROWS).withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")))
+    placed = materialize(once.select("digest", spans("text", TERM, pattern).alias("added"), "actions").dropDuplicates(["digest"]))
     none = F.slice(F.col("base"), 1, 0)
-    return base.join(placed, "digest", "left").select(
+    return base.join(broadcast_if_small(placed, TEXT_ROWS), "digest", "left").select(
         "id", "digest", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"), "actions"
     )
 
