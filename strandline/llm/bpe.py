@@ -25,8 +25,8 @@ from strandline.llm.common import map_frames
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in a Python worker, and the longest such word; others are encoded again.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 32
-#: Bytes of texts whose words are encoded together.
-BATCH_BYTES = 4 << 20
+#: Bytes of texts whose words are encoded together; the index of more words leaves the caches of a processor and takes longer.
+BATCH_BYTES = 128 << 10
 
 
 def byte_letters() -> dict[int, str]:
