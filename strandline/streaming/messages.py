@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -82,21 +81,22 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return min(x.getPath().getName() for x in fs.listStatus(folder))
 
 
-def work_off(work: Callable[[DataFrame, int], DataFrame], batch: DataFrame, number: int) -> DataFrame:
-    """What ``work`` says has failed. Where it raises, the batch is halved until the messages that make it raise are alone; these
-    have failed, with what was raised as their error, and all others are done. ``work`` may see a message several times."""
+def work_off(work: Callable[[DataFrame, int], DataFrame], batch: DataFrame, number: int, held: list[DataFrame], depth: int = 0) -> DataFrame:
+    """What ``work`` says has failed. Where it raises, the batch is halved, by one bit after the other of the messages' hashes, until
+    the messages that make it raise are alone; these have failed, with what was raised as their error, and all others are done.
+    ``work`` may see a message several times. ``held`` gets what is kept in memory and is to be let go by the caller."""
     try:
         failed = work(batch, number).persist()
+        held.append(failed)
         failed.count()
         return failed
     except Exception as e:
-        if batch.count() <= 1:
+        if depth > 48 or batch.limit(2).count() <= 1:  # one message, or several of the same hash
             said = str(getattr(e, "desc", None) or e).strip()
             return batch.withColumn("error", F.lit((said.splitlines() or ["failed"])[-1]))
-    numbered = batch.withColumn("__n", F.row_number().over(W.orderBy(*(F.col(c) for c in batch.columns)))).persist()  # a poll's worth of messages
-    half = (batch.count() + 1) // 2
-    first, second = (work_off(work, numbered.where(x).drop("__n"), number) for x in (F.col("__n") <= half, F.col("__n") > half))
-    return first.unionByName(second)
+    bit = F.shiftright(F.xxhash64(*batch.columns), depth).bitwiseAND(F.lit(1))
+    zero, one = (work_off(work, batch.where(bit == side), number, held, depth + 1) for side in (0, 1))
+    return zero.unionByName(one)
 
 
 def process(
@@ -118,15 +118,16 @@ def process(
     run = run_id(messages.sparkSession, checkpoint)
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        held = [batch.persist()]
         try:
             bad = batch.where(F.col(CORRUPT).isNotNull()).select(
                 F.col(CORRUPT).alias("payload"), F.lit(origin).alias("stream_origin"), F.lit("malformed payload").alias("error"), F.lit("malformed").alias("reason"), F.current_timestamp().alias("failed_at")
             )
             bad.write.mode("overwrite").parquet(f"{dead}/malformed-{origin.replace(':', '-')}-{run}-{number}")
-            settle(work_off(work, batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), number), inbox, dead, origin, number, max_retries, run)
+            settle(work_off(work, batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), number, held), inbox, dead, origin, number, max_retries, run)
         finally:
-            batch.unpersist()
+            for kept in held:
+                kept.unpersist()
 
     writer = messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
