@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import answers, embedding, relational, search
 from strandline.sources import files
-from strandline.sources.tables import Table
+from strandline.sources.tables import PartitionedTable, Table
 from strandline.streaming import messages
 from strandline.streaming.ingest import Store, fetch, run
 
@@ -36,6 +36,21 @@ def test_table_versions(spark, tmp_path):
     assert t.version() == 3 and t.read().count() == 3
 
 
+def test_partitions_are_pruned_and_replaced(spark, tmp_path):
+    t = PartitionedTable(spark, str(tmp_path / "t"), "repo_id string, point_id long", by=["repo_id"], lookup=["point_id"])
+    assert t.read().count() == 0
+    t.append(spark.range(30).selectExpr("cast(id % 3 as string) as repo_id", "id as point_id"))
+    one = t.read().where("repo_id = '1' and point_id = 4")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(repo_id" in plan and "EqualTo(point_id,4)" in plan and one.count() == 1
+    t.replace_partitions(t.read().where("repo_id = '1' and point_id < 9"), spark.createDataFrame([("1",), ("2",), ("a/b=c",)], "repo_id string"))
+    assert sorted(r.point_id for r in t.read().where("repo_id = '1'").collect()) == [1, 4, 7]
+    assert {r.repo_id for r in t.read().collect()} == {"0", "1"}  # 2 was met and has no rows now
+    t.append(spark.createDataFrame([("a/b=c", 5)], "repo_id string, point_id long"))
+    t.drop_partitions(spark.createDataFrame([("a/b=c",)], "repo_id string"))
+    assert {r.repo_id for r in t.read().collect()} == {"0", "1"}
+
+
 def test_stream_ingests_and_repeats_change_nothing(spark, tmp_path):
     inbox, dead = tmp_path / "inbox", str(tmp_path / "dead")
     inbox.mkdir()
