@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, embedding_dedup, exact_dedup, html_text, mixing, ngram_join, pii, sharding, toxicity, url_filter
+from strandline.llm import bpe, embedding_dedup, exact_dedup, fill_in_middle, html_text, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter
 from strandline.llm.common import WORD, sql_lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,76 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from d window w as (partition by text_sha256)
 """
 
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c, 256)
+    return cut.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), r as (
+  select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as c1, ('0x' || h[9:16])::bigint % (len(u) + 1) as c2,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+      when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form from d
+), c as (
+  select *, array_to_string(u[:least(c1, c2)], '') as p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') as m, array_to_string(u[greatest(c1, c2) + 1:], '') as s from r
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from c
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.clean_lines(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", "n_failed", "lost_chars", F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
+def _op13_sql() -> str:
+    """The rules are the same patterns, the counting and the windows are joins and windows of DuckDB's own."""
+
+    def has(c: str, pattern: str) -> str:
+        return f"regexp_matches({c}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+    def count(c: str, pattern: str) -> str:
+        return f"len(regexp_extract_all({c}, '{pattern}'))"
+
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents
+), l as (
+  select r, i, x, {has("x", WORD)} as worded, {has("x", WORD)} and (not {has("x", quality.END)} or 4 * {count("x", quality.DECORATED)} > {count("x", WORD)}
+      or 4 * {count("x", quality.SEPARATOR)} > {count("x", WORD)} or {has("lower(x)", quality.MENU)} and length(x) <= {quality.NOTICE_CHARS} or {has("lower(x)", quality.BOILERPLATE)} and length(x) <= {quality.NOTICE_CHARS}) as bad
+  from (select r, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from d)
+), s as (
+  select r, string_agg(x, chr(10) order by i) filter (not bad) as cleaned, count(*) filter (bad) as n_failed,
+    coalesce(sum(length(regexp_replace(x, '{quality.BLANK}', '', 'g'))) filter (bad), 0)::bigint as lost_chars, count(*) filter (worded) - count(distinct x) filter (worded) as n_dup_lines
+  from l group by r
+), w as (
+  select r, unnest(range(1, len(w) - 6)) as i, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) as t from d where len(w) >= 8
+), t as (
+  select r, i, lag(i, 1, -8) over (partition by r order by i) as p from (select r, i, count(*) over (partition by r, t) as n from w) where n > 1
+), c as (
+  select r, sum(least(8, i - p))::bigint as n_repeat_words from t group by r
+), j as (
+  select doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '{quality.BLANK}', '', 'g')) as word_chars, {count("text", quality.SYMBOL)}::bigint as n_symbols,
+    n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_failed, lost_chars, sha256(coalesce(cleaned, '')) as cleaned_sha256
+  from d join s using (r) left join c using (r)
+)
+select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words as base_failed,
+  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words) and 100 * lost_chars <= {quality.MAX_LOST} * word_chars as kept
+from j
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_to_target_weights": op1_mix_to_target_weights,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -177,5 +247,13 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_sanitise_pii": op9_sanitise_pii,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality_rules": op13_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op1_mix_to_target_weights": OP1_SQL,
+    "op8_url_filter": _op8_sql(),
+    "op10_exact_dedup": OP10_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_quality_rules": _op13_sql(),
 }
-ORACLES: dict[str, str] = {"op1_mix_to_target_weights": OP1_SQL, "op8_url_filter": _op8_sql(), "op10_exact_dedup": OP10_SQL}
