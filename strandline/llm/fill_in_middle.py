@@ -57,12 +57,15 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     low, high = _cuts(F.col("n"), seed)
     counted = rows.select("row", "id", F.regexp_count("text", F.lit(UNIT)).cast("long").alias("n"))
     requests = counted.select("row", "n", low.alias("low"), high.alias("high"))
-    # a request meets the units of its row that end at one of its cuts; a cut before the first unit meets none
-    met = requests.join(ends, (F.col("row") == F.col("of")) & ((F.col("ordinal") == F.col("low")) | (F.col("ordinal") == F.col("high"))), "left")
-    at = lambda cut: F.coalesce(F.max(F.when(F.col("ordinal") == F.col(cut), F.col("end"))), F.lit(0)).cast("int")
-    offsets = met.groupBy("row").agg(F.first("n").alias("n"), at("low").alias("a"), at("high").alias("b"))
-
-    cut = rows.select("row", "id", "text", form.alias("form")).join(offsets, "row")
+    # a unit that ends at a cut of its row meets the request; plain texts, and cuts before the first unit, meet none
+    met = ends.join(requests, (F.col("row") == F.col("of")) & ((F.col("ordinal") == F.col("low")) | (F.col("ordinal") == F.col("high"))))
+    at = lambda cut: F.max(F.when(F.col("ordinal") == F.col(cut), F.col("end")))
+    offsets = met.groupBy("row").agg(F.max("n").alias("n"), at("low").alias("a"), at("high").alias("b"))
+
+    whole = rows.select("row", "id", "text", form.alias("form")).join(offsets, "row", "left")
+    n = F.coalesce("n", F.regexp_count("text", F.lit(UNIT)).cast("long"))
+    a, b = (F.coalesce(F.col(c), F.lit(0)).cast("int") for c in ("a", "b"))
+    cut = whole.select("id", n.alias("n"), "form", "text", a.alias("a"), b.alias("b"))
     prefix, middle = F.substring("text", F.lit(1), F.col("a")), F.substring("text", F.col("a") + 1, F.col("b") - F.col("a"))
     suffix = F.substring("text", F.col("b") + 1, F.char_length("text"))
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
