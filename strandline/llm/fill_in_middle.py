@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
+#: Partitions of texts for each one that a shuffle has else: units take some ten times a text's memory, and are to be sorted without spills.
+FINER = 4
 
 
 def _draw(i: int, seed: int) -> Column:
@@ -44,7 +46,8 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     give the same rows in the same order when it is read again, as a table does.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).repartition("row")
+    parts = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).repartition(parts, "row")
     form = _form(seed, plain, spm)
 
     # the same exchange of ``rows`` serves all three: units, requests and texts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, embedding_dedup, exact_dedup, fill_in_middle, html_text, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter
+from strandline.llm import bpe, embedding_dedup, exact_dedup, fill_in_middle, hard_negatives, html_text, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter
 from strandline.llm.common import WORD, sql_lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,31 @@ from d window w as (partition by text_sha256)
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = e.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").alias("id"), label.cast("long").alias("label"), v.alias("v"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+OP11_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, o.vec_id, o.label = a.label as same, list_inner_product(a.v, o.v)::bigint as score
+  from e a join e o on a.vec_id % 50 = 0 and o.vec_id <> a.vec_id and len(o.v) = len(a.v)
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over w)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify rank <= 3
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c, 256)
@@ -247,6 +272,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_sanitise_pii": op9_sanitise_pii,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -254,6 +280,7 @@ ORACLES: dict[str, str] = {
     "op1_mix_to_target_weights": OP1_SQL,
     "op8_url_filter": _op8_sql(),
     "op10_exact_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
     "op13_quality_rules": _op13_sql(),
 }
