@@ -89,7 +89,8 @@ class Lists:
         slack = 1e-9 * norm * (np.sqrt((centres**2).sum(1)) + radius) + 1e-6
         upper, lower = middle + norm * radius + slack, middle - norm * radius - slack
         order = np.argsort(-upper, kind="stable")
-        return lists[order], lower[order], upper[order]
+        # scores beyond 64 bits are held to their ends, and so lie inside bounds that are
+        return lists[order], np.minimum(lower, np.nextafter(float(MOST), 0))[order], np.maximum(upper, float(LEAST))[order]
 
 
 def _scores(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
