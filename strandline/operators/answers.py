@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
+from strandline.functions.retry import with_retry
 from strandline.operators import embedding, search
 
 UNAVAILABLE = "Summary unavailable"
@@ -65,7 +66,7 @@ def ask(prompts: Column, model: str = "offline") -> Column:
 
     @F.pandas_udf("string")
     def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda p: None if p is None else embedding.with_retry(lambda: of(p), wait=(1.0, 10.0)))
+        return series.map(lambda p: None if p is None else with_retry(lambda: of(p), embedding.ATTEMPTS, (1.0, 10.0)))
 
     return run(prompts)
 
@@ -76,7 +77,7 @@ def summarise(prompts: Column, model: str, wait: tuple[float, float] = (1.0, 10.
 
     def one(prompt: str) -> str:
         try:
-            return embedding.with_retry(lambda: of(prompt), wait=wait) or UNAVAILABLE
+            return with_retry(lambda: of(prompt), embedding.ATTEMPTS, wait) or UNAVAILABLE
         except Exception:
             return UNAVAILABLE
 

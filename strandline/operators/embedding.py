@@ -7,9 +7,7 @@ which Spark runs again elsewhere.
 from __future__ import annotations
 
 import hashlib
-import random
 import re
-import time
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
+from strandline.functions.retry import with_retry
 
 #: Texts of one call, attempts, and seconds before a retry (at first, at most).
 BATCH, ATTEMPTS, WAIT = 100, 3, (20.0, 60.0)
@@ -43,19 +42,6 @@ def hashing_provider(texts: list[str], task: str) -> list[list[float]]:
 PROVIDERS: dict[str, Provider] = {"hashing": hashing_provider}
 
 
-def with_retry(call: Callable[[], list], attempts: int = ATTEMPTS, wait: tuple[float, float] = WAIT) -> list:
-    """[EMB-4, SRC-3] The result of the first attempt that gives one. Waits are random, up to twice as long after each attempt, so that
-    many tasks that fail together don't come back together."""
-    for attempt in range(1, attempts + 1):
-        try:
-            return call()
-        except Exception:
-            if attempt == attempts:
-                raise
-            time.sleep(random.uniform(wait[0], T.retry_delay(attempt, 2 * wait[0], wait[1])))
-    return []
-
-
 def embed(texts: Column, provider: str = "hashing", task: str = "document") -> Column:
     """[EMB-1, EMB-2, EMB-3, LIM-2, JOIN-6] The vector of each text, in order; null for a null text."""
     of = PROVIDERS[provider]
@@ -65,7 +51,7 @@ def embed(texts: Column, provider: str = "hashing", task: str = "document") -> C
         out: list = []
         for i in range(0, len(series), BATCH):
             part = [t if isinstance(t, str) else "" for t in series.iloc[i : i + BATCH]]
-            vectors = with_retry(lambda part=part: of(part, task))
+            vectors = with_retry(lambda part=part: of(part, task), ATTEMPTS, WAIT)
             out += [v if isinstance(t, str) else None for v, t in zip(vectors, series.iloc[i : i + BATCH], strict=True)]
         return pd.Series(out)
 
@@ -85,5 +71,5 @@ def points(chunks: DataFrame, provider: str = "hashing") -> DataFrame:
 
 def embed_question(question: str, provider: str = "hashing") -> list[float]:
     """[EMB-3]"""
-    return with_retry(lambda: PROVIDERS[provider]([question], "query"))[0]
+    return with_retry(lambda: PROVIDERS[provider]([question], "query"), ATTEMPTS, WAIT)[0]
 

@@ -6,6 +6,8 @@ Stand-ins: ``documents`` are files (repository = source, path = source/doc_id),
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def norm_sql(c: str) -> str:
     return strip_sql(f"replace({c}, chr(13) || chr(10), chr(10))")
 
 
+def choice_sql(n: str, values: Sequence[str | None]) -> str:
+    """SQL for the n-th of ``values``."""
+    return f"case {n} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values) if v is not None) + " end"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("source").alias("repo_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), F.col("lang").alias("language"), F.col("text").alias("content"), "doc_id")

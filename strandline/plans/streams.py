@@ -11,8 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from strandline.operators import relational
 from strandline.plans import queries
 from strandline.plans.registry import ORACLES, register
+from strandline.schemas import PROCESS_MESSAGE
+from strandline.sources import repositories
 from strandline.sources.tables import PartitionedTable, append
-from strandline.streaming import messages
+from strandline.streaming import ingest, messages
 
 
 #: How long a message about a file and stage may be repeated and still counts once.
@@ -193,3 +195,52 @@ def replaced_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     points.replace_partitions(old.withColumn("point_id", -F.col("point_id")), rows.where(group == 1))
     points.drop_partitions(rows.where(group == 2))
     return points.read().select("repo_id", "point_id")
+
+
+_SUFFIXES = (".py", ".js", ".java", ".md", "", ".PY", ".go")
+_FILE_SQL = f"doc_id % 5 || '/' || doc_id || {queries.choice_sql('doc_id % 7', _SUFFIXES)}"
+
+
+def checked_out(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of repositories with a file for each document: by id, some of no known language, some that are no UTF-8. Each repository
+    has a second one beside it that holds notes only."""
+    root, n = _folder(spark), F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (n % 7 + 1).cast("int"))
+    body = F.encode("text", "utf-8")
+    content = F.when(n % 4 == 3, F.concat(body, F.unhex(F.lit("C328FF")))).otherwise(body)
+    docs = queries.table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    files = docs.select("source", F.concat((n % 5).cast("string"), F.lit("/"), n.cast("string"), suffix).alias("path"), content.alias("content"))
+    notes = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select(F.concat("source", F.lit("-notes")).alias("source"), F.concat("doc_id", F.lit(".md")).alias("path"), F.encode(F.lit("n"), "utf-8").alias("content"))
+    repositories.write_files(files.unionByName(notes), root)
+    return root
+
+
+@register(
+    "repository_files",
+    f"select source as repo_id, {_FILE_SQL} as path, {queries.choice_sql('doc_id % 7', ('py', 'js', 'java', None, None, None, 'go'))} as language, sha256({queries.norm_sql('text')}) as file_hash from documents where text is not null and source is not null and doc_id % 4 <> 3 and doc_id % 7 not in (3, 4, 5)",
+)
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[SRC-1, SRC-2, FLT-1] All documents as files of repositories, read back by the source that opens what it keeps."""
+    return repositories.source_files(spark, checked_out(spark, sf_dir)).where("error is null").select("repo_id", "path", "language", "file_hash")
+
+
+@register(
+    "fetched_repositories",
+    f"""with s as (select source, count(*) filter (doc_id % 4 <> 3 and doc_id % 7 not in (3, 4, 5))::int as n from documents where text is not null and source is not null group by source),
+r as (select source as repo_id, n, case when n = 0 then '{ingest.NO_FILES}' end as error from s
+  union all select source || '-notes', 0, '{ingest.NO_FILES}' from s union all select source || '-gone', 0, 'no such repository' from s)
+select repo_id, case when error is null then 'processing' else 'failed' end as status, n as total_files, coalesce(error, '') as error, n as messages from r""",
+)
+def fetched_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-6, SRC-1, AGG-6] All repositories are fetched; those without source files, and those that are not there, have failed."""
+    root, out = checked_out(spark, sf_dir), _folder(spark)
+    names = queries.table(spark, sf_dir, "documents").where("text is not null and source is not null").select("source").distinct()
+    repo = names.select(F.explode(F.array("source", *(F.concat("source", F.lit(x)) for x in ("-notes", "-gone")))).alias("repo_id"))
+    wanted = repo.select("repo_id", F.concat("repo_id", F.lit("-job")).alias("job_id"), F.lit("u").alias("repo_url"), F.lit(0).alias("retries"))
+    fetched = ingest.fetch(spark, wanted, root, f"{out}/inbox")
+    jobs = wanted.select(F.col("job_id").alias("id"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("total_files"))
+    repos = wanted.select(F.col("repo_id").alias("id"), F.lit("fetching").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    jobs, repos = ingest.fetched_states(jobs, repos, fetched)
+    sent = spark.read.schema(PROCESS_MESSAGE).json(f"{out}/inbox").groupBy("repo_id").agg(F.count(F.lit(1)).cast("int").alias("messages"))
+    both = repos.select(F.col("id").alias("repo_id"), "status", F.col("error_message").alias("error")).join(jobs.select(F.regexp_replace("id", "-job$", "").alias("repo_id"), "total_files", F.col("status").alias("job_status")), "repo_id")
+    return both.where("status = job_status").join(sent, "repo_id", "left").select("repo_id", "status", "total_files", "error", F.coalesce("messages", F.lit(0)).alias("messages"))

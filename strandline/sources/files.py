@@ -1,4 +1,4 @@
-"""[SRC-*] Files of a checked-out repository as rows."""
+"""[SRC-*] Files as rows; see ``repositories`` for the source that lists and reads them."""
 
 from __future__ import annotations
 
@@ -7,29 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import text as T
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """[SRC-1] (path, length, content) of every file below ``root``, read where the tasks run; filters on the path are pushed down."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
-    inside = F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(full.replace("file:///", "file:/")) + 2, 1 << 20)
-    return files.select(inside.alias("path"), "length", "content")
-
 
 def decoded(files: DataFrame) -> DataFrame:
     """[SRC-2] Files as text; those that are no UTF-8 are left out."""
     return files.withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))).where("content is not null")
 
 
-def source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """[SRC-1, SRC-2, FLT-1] (repo_id, path, language, content, file_hash): the path is filtered before any file is opened."""
-    known = list_files(spark, root).withColumn("language", T.language(F.col("path"))).where("language is not null")
-    return decoded(known).select(F.lit(repo_id).alias("repo_id"), "path", "language", "content", T.file_hash(F.col("content")).alias("file_hash"))
-
-
 def repo_size_kb(files: DataFrame, default: int = 2000, by: Sequence[str] = ()) -> DataFrame:
     """[SRC-5] One row with the size in KB, or one for each group; ``default`` without files."""
     return files.groupBy(*by).agg(F.coalesce((F.sum("length") / 1024).cast("long"), F.lit(default)).alias("size_kb"))

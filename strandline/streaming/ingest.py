@@ -6,8 +6,7 @@ file whose content is known and completed is skipped and still counted.
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandline.functions import text as T
 from strandline.operators import answers, chunking, embedding, relational, upsert
-from strandline.schemas import FILE_METADATA, POINTS, PROCESS_MESSAGE
-from strandline.sources import files
+from strandline.schemas import FETCH_MESSAGE, FILE_METADATA, POINTS, PROCESS_MESSAGE
+from strandline.sources.repositories import source_files
 from strandline.sources.tables import PartitionedTable
 from strandline.streaming import messages
 
@@ -81,18 +80,56 @@ class Store:
             self.stages.drop_partitions(jobs.join(gone, "repo_id", "left_semi").select(F.col("id").alias("job_id")))
 
 
-def fetch(spark: SparkSession, repo_messages: DataFrame, folders: dict[str, str], jobs: DataFrame, inbox: str) -> DataFrame:
-    """[STR-6, SRC-1, SRC-2, FLT-1, AGG-6] The step from repositories to files: lists, filters and reads the files below the folder
-    of each repository of ``repo_messages`` (repo_url, job_id, repo_id), sends a message for each file to ``inbox`` and returns
-    ``jobs`` with their numbers of files. A job without files is completed at once."""
-    found = [files.source_files(spark, path, repo_id) for repo_id, path in folders.items()]
-    listed = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "repo_id string, path string, language string, content string")
-    messages.publish(messages.fan_out(repo_messages, listed), inbox)
-    totals = repo_messages.select("repo_id", F.col("job_id").alias("id")).join(listed.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")), "repo_id", "left")
-    both = jobs.join(totals.groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n")), "id", "left")
-    empty = F.col("n") == 0
-    values = {"total_files": F.coalesce(F.col("n").cast("int"), "total_files"), "status": F.when(empty, "completed").otherwise(F.col("status")), "progress": F.when(empty, 100).otherwise(F.col("progress"))}
-    return both.withColumns(values).select(*jobs.columns)
+#: Fixed value: the error of a repository without files.
+NO_FILES = "No files returned from GitHub"
+
+
+def fetch(spark: SparkSession, repo_messages: DataFrame, root: str, inbox: str) -> DataFrame:
+    """[STR-6, SRC-1, SRC-2, FLT-1, AGG-6] The step from repositories to files: reads the source files of the repositories of ``repo_messages``
+    (repo_url, job_id, repo_id; a poll's worth) below ``root`` in one scan, and writes a message for each file to the folder ``inbox``.
+
+    Returns (repo_id, job_id, status, total_files, error) for each message: "processing" with its number of files, or "failed" with the
+    first 200 characters of the error. A repository without files has failed, with ``NO_FILES``; one that cannot be listed, or meets a
+    rate limit, sends no messages. Files that cannot be read are left out, as files that are no text.
+    """
+    repos = [r.repo_id for r in repo_messages.select("repo_id").distinct().collect()]
+    listed = source_files(spark, root, repos).persist(StorageLevel.DISK_ONLY)
+    try:
+        fatal = F.col("path").isNull() | T.is_rate_limit(F.col("error"))
+        broken = listed.where("error is not null").where(fatal).groupBy("repo_id").agg(F.min("error").alias("error"))
+        counts = listed.where("error is null").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+        both = repo_messages.join(counts, "repo_id", "left").join(broken, "repo_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        error = F.when(F.col("error").isNotNull(), T.truncate_error(F.lower("error"))).when(F.col("n") == 0, NO_FILES)
+        sent = listed.where("error is null").join(broken, "repo_id", "left_anti")
+        messages.fan_out(repo_messages, sent).write.mode("overwrite").json(inbox)
+        done = both.select("repo_id", "job_id", F.when(error.isNull(), "processing").otherwise("failed").alias("status"), F.when(F.col("error").isNull(), F.col("n")).otherwise(0).cast("int").alias("total_files"), error.alias("error"))
+        return spark.createDataFrame(done.toArrow(), done.schema)  # as many rows as there were messages
+    finally:
+        listed.unpersist()
+
+
+def fetched_states(jobs: DataFrame, repos: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """[UPD-1, Q5, Q13] ``jobs`` and ``repos`` with the outcomes of ``fetch``: state, number of files and error; others as they were."""
+    new = {"status": F.coalesce("new_status", "status"), "error_message": F.when(F.col("new_status").isNotNull(), F.coalesce("new_error", F.lit(""))).otherwise(F.col("error_message"))}
+    by_job = fetched.groupBy(F.col("job_id").alias("id")).agg(F.max("status").alias("new_status"), F.max("error").alias("new_error"), F.max("total_files").alias("n"))
+    by_repo = fetched.groupBy(F.col("repo_id").alias("id")).agg(F.max("status").alias("new_status"), F.max("error").alias("new_error"))
+    jobs_now = jobs.join(by_job, "id", "left").withColumns(new | {"total_files": F.coalesce("n", "total_files")}).select(*jobs.columns)
+    return jobs_now, repos.join(by_repo, "id", "left").withColumns(new).select(*repos.columns)
+
+
+def run_fetch(spark: SparkSession, inbox: str, root: str, file_inbox: str, outcomes: str, dead: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """[STR-6] Fetches repositories as their messages come: messages of files go to ``file_inbox``, outcomes to ``outcomes``, each to a
+    folder of the batch, which a batch that is run again replaces. A repository that could not be listed is tried again, and a dead
+    letter in the end; an empty one has failed for good."""
+    name = messages.run_id(spark, checkpoint)
+
+    def work(batch: DataFrame, number: int) -> DataFrame:
+        fetched = fetch(spark, batch, root, f"{file_inbox}/fetched-{name}-{number}")
+        fetched.write.mode("overwrite").parquet(f"{outcomes}/batch={name}-{number}")
+        failed = fetched.where((F.col("status") == "failed") & (F.col("error") != NO_FILES)).select("repo_id", "job_id", "error")
+        return batch.join(failed, ["repo_id", "job_id"])
+
+    return messages.process(messages.read_messages(spark, inbox, FETCH_MESSAGE), work, inbox, dead, checkpoint, "repo:fetch", once=once)
 
 
 def run(spark: SparkSession, inbox: str, store: Store, dead: str, checkpoint: str, once: bool = True) -> StreamingQuery:

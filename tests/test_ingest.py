@@ -5,10 +5,10 @@ import json
 from pyspark.sql import functions as F
 
 from strandline.operators import answers, embedding, relational, search
-from strandline.sources import files
-from strandline.sources.tables import PartitionedTable, Table
+from strandline.functions.retry import with_retry
+from strandline.sources.tables import PartitionedTable
 from strandline.streaming import messages
-from strandline.streaming.ingest import Store, fetch, run
+from strandline.streaming.ingest import Store, run
 
 CODE = "import os\n\ndef go():\n    return 1\n"
 
@@ -17,25 +17,6 @@ def message(path, content, job="j1", repo="r1", retries=0):
     return {"repo_id": repo, "job_id": job, "repo_url": "u", "file_path": path, "language": "py", "content": content, "retries": retries}
 
 
-def test_source_files(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d/a.py").write_text(CODE)
-    (tmp_path / "b.txt").write_text("x")
-    (tmp_path / "c.js").write_bytes(b"\xff\xfe")
-    got = files.source_files(spark, str(tmp_path), "r").collect()
-    assert [(r.path, r.language, r.content) for r in got] == [("d/a.py", "py", CODE)]
-    assert files.repo_size_kb(files.list_files(spark, str(tmp_path)).where("false")).first()[0] == 2000
-
-
-def test_table_versions(spark, tmp_path):
-    t = Table(spark, str(tmp_path / "t"), "a int, b string", by=["b"], lookup=["a"])
-    assert t.read().count() == 0
-    for n in (1, 2, 3):
-        t.replace(spark.range(n).select(F.col("id").cast("int").alias("a"), F.lit("x").alias("b")))
-    t.vacuum(1)
-    assert t.version() == 3 and t.read().count() == 3
-
-
 def test_partitions_are_pruned_and_replaced(spark, tmp_path):
     t = PartitionedTable(spark, str(tmp_path / "t"), "repo_id string, point_id long", by=["repo_id"], lookup=["point_id"])
     assert t.read().count() == 0
@@ -113,20 +94,6 @@ def test_one_bad_message_does_not_fail_the_others(spark, tmp_path):
     assert spark.read.parquet(f"{dead}/*").count() > 1
 
 
-def test_fetch(spark, tmp_path):
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a/x.py").write_text(CODE)
-    (tmp_path / "a/x.bin").write_text("no")
-    (tmp_path / "none").mkdir()
-    (tmp_path / "none/readme.zzz").write_text("no")
-    wanted = spark.createDataFrame([("u", "j1", "r1", 0), ("v", "j2", "r2", 0)], "repo_url string, job_id string, repo_id string, retries int")
-    jobs = spark.createDataFrame([("j1", "queued", 0, 0), ("j2", "queued", 0, 0), ("j3", "queued", 9, 1)], "id string, status string, total_files int, progress int")
-    after = fetch(spark, wanted, {"r1": str(tmp_path / "a"), "r2": str(tmp_path / "none")}, jobs, str(tmp_path / "inbox"))
-    assert sorted(map(tuple, after.collect())) == [("j1", "queued", 1, 0), ("j2", "completed", 0, 100), ("j3", "queued", 9, 1)]
-    sent = spark.read.json(str(tmp_path / "inbox")).collect()
-    assert [(r.repo_id, r.job_id, r.file_path, r.retries) for r in sent] == [("r1", "j1", "x.py", 0)]
-
-
 def test_routing(spark):
     rows = [("quota gone", 0), ("could not generate.py", 0), ("timeout", 0), ("timeout", 3)]
     df = spark.createDataFrame(rows, "error string, retries int")
@@ -162,7 +129,7 @@ def test_retry_and_order(spark):
             raise ValueError
         return [1]
 
-    assert embedding.with_retry(flaky, wait=(0, 0)) == [1] and len(calls) == 3
+    assert with_retry(flaky, 3, (0, 0)) == [1] and len(calls) == 3
     answers.MODELS["failing"] = lambda prompt: 1 / 0
     prompts = spark.createDataFrame([("p",), (None,)], "p string")
     assert [r[0] for r in prompts.select(answers.summarise(F.col("p"), "failing", wait=(0, 0))).collect()] == [answers.UNAVAILABLE] * 2
