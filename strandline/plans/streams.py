@@ -13,7 +13,7 @@ from strandline.plans import queries
 from strandline.plans.registry import ORACLES, register
 from strandline.schemas import PROCESS_MESSAGE
 from strandline.sources import repositories
-from strandline.sources.tables import PartitionedTable, append
+from strandline.sources.tables import KeptSums, MergedTable, PartitionedTable, append, file_key
 from strandline.streaming import ingest, messages
 
 
@@ -244,3 +244,47 @@ def fetched_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = spark.read.schema(PROCESS_MESSAGE).json(f"{out}/inbox").groupBy("repo_id").agg(F.count(F.lit(1)).cast("int").alias("messages"))
     both = repos.select(F.col("id").alias("repo_id"), "status", F.col("error_message").alias("error")).join(jobs.select(F.regexp_replace("id", "-job$", "").alias("repo_id"), "total_files", F.col("status").alias("job_status")), "repo_id")
     return both.where("status = job_status").join(sent, "repo_id", "left").select("repo_id", "status", "total_files", "error", F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+@register(
+    "merged_upserts",
+    """with p as (select label::varchar as repo_id, 'f' || (vec_id % 20) as file, vec_id, label % 2 = 0 and vec_id % 20 in (3, 7) as met from embeddings where label is not null)
+select repo_id, file, vec_id as point_id from p where file <> 'f9' and not met union all select repo_id, file, vec_id + 1000000 from p where met and vec_id % 3 = 0""",
+)
+def merged_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[UPS-1, SNK-3, DEL-2] Points of files in three batches that only add rows: all, the files of some repositories anew, a file removed."""
+    e = queries.table(spark, sf_dir, "embeddings").where("label is not null")
+    repo, file = F.col("label").cast("string"), F.concat(F.lit("f"), (F.col("vec_id") % 20).cast("string"))
+    rows = e.select(repo.alias("repo_id"), file.alias("file"), F.col("vec_id").alias("point_id"), "label").withColumn("key", file_key(F.col("repo_id"), F.col("file")))
+    table = MergedTable(spark, f"{_folder(spark)}/points", "key string, repo_id string, file string, point_id long", "repo_id", "key")
+    table.add(rows.drop("label"), 1)
+    met = rows.where("label % 2 = 0 and file in ('f3', 'f7')").drop("label")
+    anew = met.where("point_id % 3 = 0").withColumn("point_id", F.col("point_id") + 1000000)
+    table.add(anew, 2, forget=met.join(anew.select("key").distinct(), "key", "left_anti"))
+    table.add(rows.drop("label").where("false"), 3, forget=rows.where("file = 'f9'"))
+    return table.read().drop("key")
+
+
+@register(
+    "kept_sums",
+    """with d as (select source as repo_id, doc_id, coalesce(n_chars, 0) as n from documents where source is not null),
+s as (select repo_id, case when doc_id % 4 = 0 then n + 7 else n end as n from d where doc_id % 10 <> 0 union all select repo_id, n + 1 from d where doc_id % 9 = 0)
+select r.repo_id, count(s.n) as n, coalesce(sum(s.n), 0)::bigint as chunks_indexed from (select distinct repo_id from d) r left join s using (repo_id) group by r.repo_id""",
+)
+def kept_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[AGG-1, UPS-3] The sums of repositories, kept through batches that add, replace and remove files; no batch reads what it doesn't meet."""
+    docs, out = queries.table(spark, sf_dir, "documents").where("source is not null"), _folder(spark)
+    rows = docs.select(F.col("source").alias("repo_id"), "doc_id", F.col("doc_id").cast("string").alias("path"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("chunks_indexed"))
+    more = lambda n: F.col("chunks_indexed") + n
+    new = rows.where("doc_id % 9 = 0").withColumns({"path": F.concat("path", F.lit("x")), "chunks_indexed": more(1)})
+    batches = [(rows, None), (rows.where("doc_id % 4 = 0").withColumn("chunks_indexed", more(7)).unionByName(new), None), (rows.where("false"), rows.where("doc_id % 10 = 0"))]
+    table = MergedTable(spark, f"{out}/files", "key string, repo_id string, chunks_indexed long", "repo_id", "key")
+    sums = KeptSums(table, f"{out}/sums", ["chunks_indexed"])
+    keyed = lambda df: None if df is None else df.select("repo_id", file_key(F.col("repo_id"), F.col("path")).alias("key"), "chunks_indexed")
+    for version, (batch, gone) in enumerate(batches, 1):
+        batch, gone = keyed(batch), keyed(gone)
+        met = batch.select("repo_id") if gone is None else gone.select("repo_id")
+        met = [r.repo_id for r in met.distinct().collect()]  # repositories
+        sums.add(batch, met, version, gone)
+        table.add(batch, version, gone)
+    return sums.read()

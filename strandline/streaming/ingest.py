@@ -6,56 +6,63 @@ file whose content is known and completed is skipped and still counted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.functions import text as T
-from strandline.operators import answers, chunking, embedding, relational, upsert
+from strandline.operators import answers, chunking, embedding, relational
 from strandline.schemas import FETCH_MESSAGE, FILE_METADATA, POINTS, PROCESS_MESSAGE
 from strandline.sources.repositories import source_files
-from strandline.sources.tables import PartitionedTable
+from strandline.sources.tables import KeptSums, MergedTable, PartitionedTable, file_key
 from strandline.streaming import messages
 
-
 class Store:
-    """The tables of one deployment below ``path``, partitioned by what is replaced or deleted together."""
+    """The tables of one deployment below ``path``. Points and files' metadata are bucketed alike, by repository and path; ``chunks`` keeps
+    the numbers of files and chunks of repositories [AGG-1]. A batch adds to them and overwrites nothing."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
         self.spark, self.path = spark, path
-        self.points = PartitionedTable(spark, f"{path}/points", POINTS, by=["repo_id"], lookup=["file"])
-        self.metadata = PartitionedTable(spark, f"{path}/file_metadata", FILE_METADATA, by=["repo_id"])
+        self.points = MergedTable(spark, f"{path}/points", f"file_key string, {POINTS}", "repo_id", "file_key", buckets)
+        self.metadata = MergedTable(spark, f"{path}/file_metadata", f"file_key string, {FILE_METADATA}", "repo_id", "file_key", buckets)
+        self.chunks = KeptSums(self.metadata, f"{path}/chunks", ["chunks_indexed"])
         self.stages = PartitionedTable(spark, f"{path}/stages", "job_id string, file_path string, stage string", by=["job_id"])
 
     def ingest(self, files: DataFrame, provider: str = "hashing") -> DataFrame:
         """[3.1] Ingests a batch (repo_id, job_id, file_path, language, content) and returns what failed, with ``error``.
 
         Of several messages about one file the last one in order of content hash counts, so a replay changes nothing. Only
-        the partitions of the batch's repositories are read and written; each file is parsed once.
+        the partitions of the batch's repositories are read, each file is parsed once, and only new rows are written: points, then sums, then
+        the metadata, whose rows say that a file is done. A batch that dies between two of these is run again as if it had not begun:
+        its points are replaced by newer ones, and sums newer than the metadata are not read.
         """
         hashed = files.withColumn("file_hash", T.file_hash(F.col("content")))
-        bad = hashed.where("content is null or file_path is null or repo_id is null").drop("file_hash").withColumn("error", F.lit("missing content"))
-        good = hashed.where("content is not null and file_path is not null and repo_id is not null")
+        sound = "content is not null and file_path is not null and repo_id is not null"
+        bad = hashed.where(f"not ({sound})").drop("file_hash").withColumn("error", F.lit("missing content"))
+        good = hashed.where(sound)
         once = good.withColumn("nth", F.row_number().over(W.partitionBy("repo_id", "file_path").orderBy(F.desc("file_hash")))).where("nth = 1").drop("nth")
-        old = self.metadata.read()
-        todo = relational.changed_files(once, old).persist()
+        met = [r.repo_id for r in good.select("repo_id").distinct().collect()]  # of a poll's messages
+        todo = self.changed(once, met).persist()
         parsed = chunking.parse_files(todo.select("repo_id", F.col("file_path").alias("path"), "language", "content")).persist()
         try:
-            met = todo.select("repo_id").distinct()
-            points = embedding.points(chunking.chunks_of(parsed), provider)
+            version = self.metadata.next_version(met)
+            named = lambda df, path: df.withColumn("file_key", file_key(F.col("repo_id"), F.col(path)))
+            points = named(embedding.points(chunking.chunks_of(parsed), provider), "file")
             # points of a file are replaced as a whole, also where its new content has none
-            own = self.points.read().join(met, "repo_id", "left_semi")
-            kept = upsert.delete_keys(own, todo.select("repo_id", F.col("file_path").alias("file")), ["repo_id", "file"])
-            self.points.replace_partitions(kept.unionByName(points.select(*kept.columns)), met)
+            self.points.add(points, version, forget=self._without(todo, points))
             heads = chunking.headers_of(parsed)
             summary = answers.offline_summary(F.col("file_path"), F.col("imports"), F.col("skeleton"))
             new = heads.join(todo.select("repo_id", "file_path", "file_hash"), ["repo_id", "file_path"]).select(
                 "repo_id", "file_path", "file_hash", "imports", "exports", "skeleton", summary.alias("summary"), "chunks_indexed", F.lit("completed").alias("status"), F.current_timestamp().alias("updated_at")
             )
-            merged = upsert.merge_columns(old.join(met, "repo_id", "left_semi"), new, ["repo_id", "file_path"], F.desc("updated_at"))
-            self.metadata.replace_partitions(merged, met)
+            new = named(new, "file_path").persist()
+            self.chunks.add(new, met, version)
+            self.metadata.add(new, version)
+            new.unpersist()
         finally:
             parsed.unpersist()
             todo.unpersist()
@@ -64,6 +71,17 @@ class Store:
         self.stages.append(seen.distinct())
         return bad
 
+    def changed(self, files: DataFrame, met: Sequence[str]) -> DataFrame:
+        """[FLT-3, JOIN-4] The files that are new, changed or not completed: by one key, in whose buckets the metadata already are."""
+        old = self.metadata.read(met).where("status = 'completed'").select(F.col("file_key").alias("known"), F.col("file_hash").alias("known_hash"))
+        keyed = files.withColumn("file_key", file_key(F.col("repo_id"), F.col("file_path")))
+        both = keyed.join(old, F.col("file_key") == F.col("known"), "left")
+        return both.where("known_hash is null or known_hash <> file_hash").drop("known", "known_hash")
+
+    @staticmethod
+    def _without(todo: DataFrame, points: DataFrame) -> DataFrame:
+        return todo.select("repo_id", "file_key").join(points.select("file_key").distinct(), "file_key", "left_anti")
+
     def progress(self, totals: DataFrame) -> DataFrame:
         """[AGG-2..4] Progress and status of the jobs of ``totals`` (job_id, total_files)."""
         own = self.stages.read().join(totals.select("job_id").distinct(), "job_id", "left_semi")
@@ -71,13 +89,13 @@ class Store:
         return relational.job_progress(counts)
 
     def delete_repos(self, repos: DataFrame, jobs: DataFrame | None = None) -> None:
-        """[DEL-1, DEL-3] Removes all that belongs to repositories (id): their points, their files' metadata and, by ``jobs`` (id,
+        """[DEL-1, DEL-3] Removes all that belongs to repositories (id): their points, their files' metadata and sums and, by ``jobs`` (id,
         repo_id), the progress of their jobs. Rows of other tables go by ``upsert.cascade_delete``."""
-        gone = repos.select(F.col("id").alias("repo_id")).distinct()
-        self.points.drop_partitions(gone)
-        self.metadata.drop_partitions(gone)
+        gone = [r.id for r in repos.select("id").distinct().collect()]  # a request's worth
+        for table in (self.metadata, self.points, self.chunks.kept):
+            table.drop(gone)
         if jobs is not None:
-            self.stages.drop_partitions(jobs.join(gone, "repo_id", "left_semi").select(F.col("id").alias("job_id")))
+            self.stages.drop_partitions(jobs.where(F.col("repo_id").isin(*gone)).select(F.col("id").alias("job_id")))
 
 
 #: Fixed value: the error of a repository without files.

@@ -60,12 +60,12 @@ def test_stream_ingests_and_repeats_change_nothing(spark, tmp_path):
     found = answers.answer_question(store.points.read(), "where is go").first()
     assert found.sources and {s.file for s in found.sources} <= {"a.py", "b.py"}
     other = again.withColumns({"repo_id": F.lit("r2"), "job_id": F.lit("j2")})
-    files_of = lambda repo: sorted(str(p) for p in (tmp_path / f"store/points/data/repo_id={repo}").glob("*.parquet"))
+    files_of = lambda repo: sorted(str(p) for p in (tmp_path / f"store/points/repo_id={repo}").glob("*.parquet"))
     before = files_of("r1")
     store.ingest(other)
     assert files_of("r1") == before and files_of("r2")  # only the partitions of the batch are written
     store.ingest(other.withColumn("content", F.lit(" ")))
-    assert not files_of("r2") and store.metadata.read().where("repo_id = 'r2' and chunks_indexed = 0").count() == 2
+    assert not store.points.read(["r2"]).count() and store.metadata.read().where("repo_id = 'r2' and chunks_indexed = 0").count() == 2
     repos, jobs = spark.createDataFrame([("r1",)], "id string"), spark.createDataFrame([("j1", "r1"), ("j2", "r2")], "id string, repo_id string")
     store.delete_repos(repos, jobs)
     assert store.points.read().count() == 0 and {r.repo_id for r in store.metadata.read().collect()} == {"r2"}
