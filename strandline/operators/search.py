@@ -1,4 +1,4 @@
-"""Vector search: exact cosine top-k over a collection, a file, or many questions at once, with an optional LSH step.
+"""Vector search: exact cosine top-k over a collection, a file, or many questions at once; ``blocked`` is for very many.
 
 Points are partitioned by collection and read with the filter and the columns pushed down; one question needs no shuffle
 beyond its k best rows. Ties are broken by id.
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.vectors import cosine, dot
+from strandline.functions.vectors import cosine
 
 HIT = ("code", "file", "language", "type", "name", "start_line", "end_line")
 
@@ -41,63 +41,3 @@ def top_k_each(points: DataFrame, questions: DataFrame, k: int, on: str, id_col:
     near = points.join(questions, on).withColumn("score", cosine(F.col(vector), F.col("question"))).where("score is not null")
     rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), id_col))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _margins(v: str, planes: int, tables: int, seed: int) -> Column:
-    """For each table the vector's products with its hyperplanes. These come from a seeded hash of their number, so every
-    task has the same ones without a broadcast."""
-
-    def margin(t: Column, p: Column) -> Column:
-        plane = F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.sin(F.xxhash64(i, t, p, F.lit(seed)) % 1000003))
-        return dot(F.col(v), plane)
-
-    each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    return F.transform(each(tables), lambda t: F.transform(each(planes), lambda p: margin(t, p)))
-
-
-def _probed(margins: Column, planes: int, probes: int) -> Column:
-    """The ``probes`` buckets of a table that a vector near this one is most likely in: flipping a bit costs its margin."""
-    bits = F.sequence(F.lit(0), F.lit(planes - 1))
-    own = F.aggregate(bits, F.lit(0), lambda s, p: s + F.when(F.get(margins, p) > 0, F.call_function("shiftleft", F.lit(1), p)).otherwise(0))
-
-    def cost(mask: Column) -> Column:
-        flipped = lambda p: F.call_function("shiftright", mask, p).bitwiseAND(F.lit(1))
-        return F.aggregate(bits, F.lit(0.0), lambda s, p: s + flipped(p) * F.abs(F.get(margins, p)))
-
-    masks = F.transform(F.sequence(F.lit(0), F.lit(2**planes - 1)), lambda m: F.struct(cost(m).alias("cost"), m.alias("mask")))
-    return F.transform(F.slice(F.sort_array(masks), 1, probes), lambda x: x["mask"].bitwiseXOR(own))
-
-
-def lsh_candidates(points: DataFrame, questions: DataFrame, vector: str = "vector", planes: int = 8, tables: int = 8, probes: int = 32, seed: int = 3) -> DataFrame:
-    """Rows of points and questions that meet in a bucket of random hyperplanes, once for each of ``tables`` where they do;
-    approximate. A point is in one bucket of a table, a question looks into the ``probes`` likeliest of the 2^planes."""
-
-    def buckets(rows: DataFrame, v: str, looked: int) -> DataFrame:
-        met = rows.withColumn("margins", _margins(v, planes, tables, seed)).select("*", F.posexplode("margins").alias("table", "margin"))
-        return met.withColumn("bucket", F.explode(_probed(F.col("margin"), planes, looked))).drop("margins", "margin")
-
-    return buckets(points, vector, 1).join(buckets(questions, "question", probes), ["table", "bucket"]).drop("table", "bucket")
-
-
-def lsh_top_k(points: DataFrame, questions: DataFrame, k: int = 5, planes: int = 8, tables: int = 8, probes: int = 32) -> DataFrame:
-    """(question_id, point_id, score): for each of ``questions`` (question_id, question) k near ones of ``points`` (point_id,
-    vector), looked up by ``lsh_candidates`` and ranked by their exact cosine. Questions that find fewer are answered by a
-    scan. Equal vectors meet once: of their points, k can be hits at most."""
-    rank = F.dense_rank().over(W.partitionBy("asked").orderBy(F.desc("score"), "point_id"))
-    held = F.row_number().over(W.partitionBy("vector").orderBy("point_id"))
-    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    few = points.select("point_id", "vector").withColumn("held", held).where(F.col("held") <= k)
-    kept = few.groupBy("vector").agg(F.sort_array(F.collect_list("point_id")).alias("ids")).withColumn("vector_norm", norm("vector")).where("vector_norm > 0")
-    asked = questions.groupBy("question").agg(F.min("question_id").alias("asked")).withColumn("question_norm", norm("question")).where("question_norm > 0")
-
-    def best(met: DataFrame) -> DataFrame:
-        score = dot(F.col("vector"), F.col("question")) / (F.col("vector_norm") * F.col("question_norm"))
-        scored = met.where(F.size("vector") == F.size("question")).select("asked", F.explode("ids").alias("point_id"), score.alias("score"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("asked", "point_id", "score").distinct()
-
-    found = best(lsh_candidates(kept, asked, planes=planes, tables=tables, probes=probes))
-    full = found.groupBy("asked").count().where(F.col("count") >= k)
-    scanned = best(kept.crossJoin(asked.join(full, "asked", "left_anti")))
-    hits_of = found.join(full, "asked", "left_semi").unionByName(scanned)
-    named = questions.join(asked.select("question", "asked"), "question").select("question_id", "asked")
-    return named.join(hits_of, "asked").select("question_id", "point_id", "score")

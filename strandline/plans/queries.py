@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.functions.codec import compress_code, decompress_code
 from strandline.functions.vectors import cosine
-from strandline.operators import answers, chunking, embedding, relational, search, upsert
+from strandline.operators import answers, blocked, chunking, embedding, relational, search, upsert
 from strandline.plans.registry import register
 from strandline.sources.files import read_table as table
 
@@ -95,12 +95,17 @@ def vector_topk_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", "point_id", F.round("score", 4).alias("score"), num("rank").alias("rank"))
 
 
-@register("vector_lsh_topk")
-def vector_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[4.2] Approximate candidates by random hyperplanes, ranked by their exact cosine."""
-    p = points(spark, sf_dir).select("point_id", "vector")
-    asked = p.where("point_id % 100 = 0").select(F.col("point_id").alias("question_id"), F.col("vector").alias("question"))
-    return search.lsh_top_k(p, asked)
+@register(
+    "vector_block_topk",
+    f"""with q as (select vec_id as question_id, v as qv from {_E} where vec_id % 100 = 0)
+select question_id, p.vec_id as point_id, round({_COS.format(a='v', b='qv')}, 6) as score,
+  row_number() over (partition by question_id order by {_COS.format(a='v', b='qv')} desc, p.vec_id) as rank from {_E} p join q on len(v) = len(qv) qualify rank <= 5""",
+)
+def vector_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[TOP-1, JOIN-5] Every hundredth point as a question to all points: int8 blocks say which few are ranked by their cosine."""
+    p = points(spark, sf_dir).select(F.lit(0).alias("place"), F.col("point_id").alias("id"), F.col("vector").alias("v"))
+    found = blocked.top_k(p, p.where("id % 100 = 0"), 5)
+    return found.select("question_id", "point_id", F.round("score", 6).alias("score"), num("rank").alias("rank"))
 
 
 @register("collection_counts", "select label as repo_id, count(*) as n from embeddings group by label")
