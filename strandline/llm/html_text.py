@@ -3,10 +3,11 @@
 The standard library's parser streams events; block elements end a line. Each line belongs to a region (its nearest
 article, main, section or other container) and has the ratio of its text's length to the tags met in it. The ratios
 are smoothed over the page by a Gaussian and split at a threshold into content and the rest; a region is content when
-most of its text is in content lines and its own ratio is over the threshold. Menus, adverts, forms and the like are known by their element, role or class and
-never make lines. Where a page has article or main elements with text, the ratios of lines in these weigh more, those of
-other lines less, and a region in these needs no ratio of its own, so that a title beside text stays; none is left out or
-kept for its element alone.
+most of its text is in content lines and its own ratio is over the threshold. Elements that never hold an article's text (menus, forms,
+scripts) make no lines. All else only weighs: where a page has article or main elements with text, the ratios of lines in these count
+more, those of other lines less, and a region in these needs no ratio of its own, so that a title beside text stays; what a role or a
+class names an advert, a comment or a notice is a region whose ratio counts a sixteenth, and a class that only hints at one halves it.
+So a name decides nothing by itself: a page whose whole text lies in such an element keeps it, as ratios are compared to each other.
 """
 
 from __future__ import annotations
@@ -32,23 +33,27 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text.
 DROPPED = frozenset(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map math menu meter nav "
-    "noframes noscript object optgroup option output picture progress search select style script svg template textarea title video".split()
+    "applet aside audio button canvas datalist dialog embed fieldset footer form head iframe input legend menu meter nav "
+    "noframes noscript optgroup option picture progress search select style script svg template textarea title video".split()
 )
 #: Elements that are the page's frame, but hold the article's title when inside it.
 FRAME = frozenset({"header"})
 REGIONS = frozenset("article body div main section".split())
 MAIN = frozenset({"article", "main"})
-DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in a class or id that mark what is no article text.
-DROPPED_NAMES = frozenset(
-    "ad adbox ads adslot alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus "
-    "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall "
-    "popup promo promotion related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors "
-    "subscribe subscription taboola teaser toolbar tooltip widget widgets".split()
+NAMED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Names that a class or id gives to what is no article text, alone or with words after them ("ad", "comment-list").
+NAMES = frozenset(
+    "ad adbox ads adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
+    "masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup promo share sharing sidebar signup "
+    "sponsor sponsored sponsors subscribe subscription taboola toolbar tooltip".split()
 )
-#: Beginnings of such words.
-DROPPED_PREFIXES = ("advert", "banner", "breadcrumb", "cookie", "navbar", "newsletter", "popup", "sidebar", "sponsor")
+#: Beginnings of such names.
+NAME_PREFIXES = ("advert", "banner", "breadcrumb", "cookie", "navbar", "newsletter", "popup", "sidebar", "sponsor")
+#: Names that are so only where they are all of a class or id.
+WHOLE_NAMES = frozenset("related recommended login".split())
+#: Words that only hint at it, as do names after other words ("with-sidebar") or denied ("ad-free").
+HINTS = frozenset("discussion disclaimer notification promotion reply replies respond skip social teaser widget widgets".split()) | NAMES | WHOLE_NAMES
+DENIED = frozenset("free less off none no without".split())
 #: Words in a class or id that mark the page's frame outside the article.
 FRAME_NAMES = frozenset("header topbar".split())
 #: Elements that a new one of the same kind, or of a listed kind, ends.
@@ -62,20 +67,26 @@ BARRIERS = REGIONS | DROPPED | {"ul", "ol", "dl", "table"}
 SIGMA, SHARE = 1.0, 0.35
 #: What ratios inside article and main are multiplied by, and those outside divided by, on pages that have such text.
 WEIGHT = 2.0
+#: What the ratios of lines are divided by where nothing, a hint, or a name says that they are no article text.
+MARKS = (1.0, 2.0, 16.0)
+
+
+#: What is open at the top of a page.
+NOTHING = ("", False, 0, False, 0)
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region, in_main) for each line of a page. Places of open elements are listed by tag, so that an end tag
+    """Collects (text, tags, region, in_main, mark) for each line of a page. Places of open elements are listed by tag, so that an end tag
     without a start, or a start tag deep inside others, costs no search."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # (tag, dropped, region, in main)
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # (tag, dropped, region, in main, mark)
         self.places: dict[str, list[int]] = {}
         self.barriers: list[int] = []
         self.text: list[str] = []
         self.tags = self.regions = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.unclosed: set[str] = set()
 
     def parse_comment(self, i: int, report: bool = True) -> int:
@@ -90,16 +101,16 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         if self.text:
             if words := " ".join("".join(self.text).split()):
-                _, _, region, main = self.open[-1] if self.open else ("", False, 0, False)
-                self.lines.append((words, max(1, self.tags), region, main))
+                _, _, region, main, mark = self.open[-1] if self.open else NOTHING
+                self.lines.append((words, max(1, self.tags), region, main, mark))
             self.text = []
         self.tags = 0
 
-    def _push(self, tag: str, dropped: bool, region: int, main: bool) -> None:
+    def _push(self, tag: str, dropped: bool, region: int, main: bool, mark: int) -> None:
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BARRIERS:
             self.barriers.append(len(self.open))
-        self.open.append((tag, dropped, region, main))
+        self.open.append((tag, dropped, region, main, mark))
 
     def _pop_to(self, place: int) -> None:
         while len(self.open) > place:
@@ -126,24 +137,29 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, dropped, region, main = self.open[-1] if self.open else ("", False, 0, False)
+        _, dropped, region, main, mark = self.open[-1] if self.open else NOTHING
         main = main or tag in MAIN
-        dropped = dropped or tag in DROPPED or (tag in FRAME and not main) or (bool(attrs) and tag not in ("html", "body") and self._marked(dict(attrs), main))
-        if tag in REGIONS:
+        dropped = dropped or tag in DROPPED or (tag in FRAME and not main)
+        own = self._mark(dict(attrs), main) if attrs and tag not in ("html", "body") else 0
+        if tag in REGIONS or own == 2:
             self.regions += 1
             region = self.regions
-        self._push(tag, dropped, region, main)
+        self._push(tag, dropped, region, main, max(mark, own))
 
     @staticmethod
-    def _marked(attrs: dict[str, str | None], main: bool) -> bool:
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in DROPPED_ROLES:
-            return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
-            return True
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        words = set(re.split(r"[^a-z]+", names))
-        named = not DROPPED_NAMES.isdisjoint(words) or any(w.startswith(DROPPED_PREFIXES) for w in words)
-        return named or not (main or FRAME_NAMES.isdisjoint(words))
+    def _mark(attrs: dict[str, str | None], main: bool) -> int:
+        """2 if role, class or id name what is no article text, 1 if they hint at it, else 0."""
+        if (attrs.get("role") or "").lower() in NAMED_ROLES:
+            return 2
+        mark = 0
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            first, *rest = words = [w for w in re.split(r"[^a-z]+", name) if w] or [""]
+            known = first in NAMES or first.startswith(NAME_PREFIXES) or (first in FRAME_NAMES and not main) or (first in WHOLE_NAMES and not rest)
+            if known and DENIED.isdisjoint(rest):
+                return 2
+            if not HINTS.isdisjoint(words):
+                mark = 1
+        return mark
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -183,16 +199,16 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    in_main = any(main for *_, main in lines)
-    weights = [1.0 if not in_main else WEIGHT if main else 1 / WEIGHT for *_, main in lines]
+    in_main = any(x[3] for x in lines)
+    weights = [(1.0 if not in_main else WEIGHT if main else 1 / WEIGHT) / MARKS[mark] for *_, main, mark in lines]
     ratios = smooth([w * len(text) / tags for w, (text, tags, *_) in zip(weights, lines, strict=True)])
     threshold = level = SHARE * sum(ratios) / len(ratios)
     if in_main:  # long paragraphs full of tags are text as well
         level = min(level, SHARE * sum(w * len(x[0]) for w, x in zip(weights, lines, strict=True)) / sum(x[1] for x in lines))
     sums: dict[int, list[float]] = {}
-    for (text, tags, region, main), w, ratio in zip(lines, weights, ratios, strict=True):
+    for (text, tags, region, main, mark), w, ratio in zip(lines, weights, ratios, strict=True):
         x = sums.setdefault(region, [0, 0, 0, 0, 0])
-        for i, n in enumerate((len(text), tags, len(text) if ratio >= level else 0, w * len(text), main)):
+        for i, n in enumerate((len(text), tags, len(text) if ratio >= level else 0, w * len(text), main and mark < 2)):
             x[i] += n
     content = {r for r, (size, tags, dense, weighed, main) in sums.items() if 2 * dense >= size and (main or weighed / tags >= threshold)}
     return "\n".join(x[0] for x in lines if x[2] in content)

@@ -54,6 +54,50 @@ def test_smoothing_decides_inside_an_article(monkeypatch):
     assert "By A. B." not in H.main_text(page).split("\n")
 
 
+PROSE = [f"Paragraph {i} of the page's text, which is long enough to be what the page is about, and says so." for i in range(6)]
+ALL = "".join(f"<p>{t}</p>" for t in PROSE)
+NAMED = {
+    "whole page named": (f'<body class="sidebar-left"><nav><a>x</a></nav><main class="with-sidebar"><article>{ALL}</article></main><footer>f</footer>', PROSE),
+    "page builder": (f'<body><div class="header">Site</div><div class="elementor-widget"><div class="elementor-widget-container">{ALL}</div></div></body>', PROSE),
+    "discussion": (f'<article>{ALL}<section id="discussion"><p>{PROSE[0]}</p><p>{PROSE[1]}</p></section></article>', PROSE + PROSE[:2]),
+    "related work": (f'<article>{ALL}<section id="related-work"><h2>Related work</h2><p>{PROSE[0]}</p></section></article>', [*PROSE, "Related work", PROSE[0]]),
+    "ad-free": (f'<article><p class="ad-free">{PROSE[0]}</p>{ALL}</article>', PROSE[:1] + PROSE),
+    "teaser": (f'<article><p class="teaser">A short intro to it.</p>{ALL}</article>', ["A short intro to it.", *PROSE]),
+    "only comments": (f'<div class="comments">{ALL}</div>', PROSE),
+    "comments below": (f'<article>{ALL}</article><div class="comments"><p>{PROSE[0]}</p><p>I like it, thanks for all of this text.</p></div><div id="sidebar">More of the same from us</div>', PROSE),
+    "comments and advert inside": (f'<article>{ALL}<div class="comment-list"><p>{PROSE[0]}</p><p>I like it</p></div><p class="ad">Buy this now, it is cheap</p></article>', PROSE),
+    "notice": (f'<div class="notice">We use cookies to make this site better for you and all.</div><article>{ALL}</article>', PROSE),
+    "role": (f'<div role="banner">Welcome to the site of us all, it is nice</div><article>{ALL}</article>', PROSE),
+    "hidden": (f'<article>{ALL}<p style="display:none">{PROSE[0]}</p></article>', PROSE + PROSE[:1]),
+    "label and math": ("<article><p>Set <label>the label</label> <math><mi>x</mi></math> here, it is a long enough line of text.</p></article>", ["Set the label x here, it is a long enough line of text."]),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_weigh_and_ratios_decide(name):
+    page, want = NAMED[name]
+    assert H.main_text(page).split("\n") == want
+
+
+def test_ratios_decide_on_the_tables_pages(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    texts = [H.main_text(p) for p in pages]
+    monkeypatch.setattr(H, "smooth", lambda values, sigma=0: [0.0] * len(values))
+    assert sum(a != H.main_text(p) for a, p in zip(texts, pages, strict=True)) > 0.9 * len(pages)  # all that makes lines is text then
+
+
+def test_names_alone_drop_nothing(monkeypatch):
+    """With all ratios alike the advert and the comments stay: it is the ratio that a name divides which leaves them out."""
+    page, want = NAMED["comments and advert inside"]
+    monkeypatch.setattr(H, "MARKS", (1.0, 1.0, 1.0))
+    assert H.main_text(page).split("\n") != want
+    monkeypatch.setattr(H, "WEIGHT", 1.0)
+    form = f'<body><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">{PROSE[0]}</div><article><h1>Title</h1>{ALL}</article><footer>f</footer>'
+    assert PROSE[0] == H.main_text(form).split("\n")[0]  # the form of the tables' pages, with a wordy advert
+    monkeypatch.undo()
+    assert H.main_text(form).split("\n") == ["Title", *PROSE]
+
+
 @pytest.mark.parametrize("page", ["<span>" * 100_000 + "</b>" * 100_000, "<!--" * 100_000, "<a " * 100_000, '<a b="' * 100_000, "<ul>" + "<li>a<b><i>" * 50_000, "</" * 100_000])
 def test_hostile_pages_take_linear_time(page):
     start = time.perf_counter()
