@@ -288,3 +288,28 @@ def kept_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
         sums.add(batch, met, version, gone)
         table.add(batch, version, gone)
     return sums.read()
+
+
+_ACKED = "ts + to_seconds(event_id % 600)"
+
+
+@register(
+    "reclaimed_messages",
+    f"""with t as (select event_id as message_id, ts as taken_at from events where event_type <> 'error'),
+a as (select event_id, {_ACKED} as acked_at from events where event_type <> 'error' and event_id % 4 <> 0),
+w as (select least((select max(taken_at) from t), (select max(acked_at) from a)) - interval 10 minute as mark)
+select message_id, taken_at from t, w where taken_at + interval {messages.IDLE_SECONDS} second < mark
+  and not exists (select 1 from a where a.event_id = message_id and acked_at between taken_at and taken_at + interval {messages.IDLE_SECONDS} second)""",
+)
+def reclaimed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-3] Every event but errors is a message; three of four are acknowledged, some too late. Those whose time was over when the stream
+    ended, by its watermarks, come out."""
+    out = _folder(spark)
+    events = lambda: event_stream(spark, sf_dir).where("event_type <> 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
+    taken = events().select(F.col("event_id").alias("message_id"), F.col("ts").alias("taken_at"))
+    late = F.make_dt_interval(secs=F.col("event_id") % 600)
+    acks = events().where("event_id % 4 <> 0").select(F.col("event_id").alias("message_id"), (F.col("ts") + late).alias("acked_at"))
+    left = messages.unacknowledged(taken, acks)
+    q = left.writeStream.format("parquet").option("path", f"{out}/left").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(left.schema).parquet(f"{out}/left").withColumn("taken_at", F.col("taken_at").cast("timestamp_ntz"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,10 @@ from strandline.schemas import schema
 CORRUPT = "_corrupt"
 #: Files of a poll, and the life of a job's progress without news, in seconds.
 FILES_PER_POLL, PROGRESS_TTL = 5, 86_400
+#: [STR-3] Seconds after which a message that was taken and not acknowledged is taken again.
+IDLE_SECONDS = 300
+#: How often a batch may end in an outage before its messages are blamed.
+OUTAGES = 3
 #: Seconds between the polls of a status stream.
 STATUS_POLL = 2.0
 
@@ -81,22 +86,49 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return min(x.getPath().getName() for x in fs.listStatus(folder))
 
 
-def work_off(work: Callable[[DataFrame, int], DataFrame], batch: DataFrame, number: int, held: list[DataFrame], depth: int = 0) -> DataFrame:
-    """What ``work`` says has failed. Where it raises, the batch is halved, by one bit after the other of the messages' hashes, until
+class Outage(RuntimeError):
+    """Whatever is tried fails alike: it is not the messages. The batch is to be run again."""
+
+
+def _said(e: Exception) -> str:
+    return (str(getattr(e, "desc", None) or e).strip().splitlines() or ["failed"])[-1]
+
+
+def work_off(work: Callable[[DataFrame, int], DataFrame], batch: DataFrame, number: int, held: list[DataFrame], depth: int = 0, outages: bool = True) -> DataFrame:
+    """What ``work`` says has failed. Where it raises, the batch is quartered, by two bits after the other of the messages' hashes, until
     the messages that make it raise are alone; these have failed, with what was raised as their error, and all others are done.
-    ``work`` may see a message several times. ``held`` gets what is kept in memory and is to be let go by the caller."""
-    try:
-        failed = work(batch, number).persist()
+    ``work`` may see a message several times. ``held`` gets what is kept in memory and is to be let go by the caller.
+
+    With ``outages``, a batch of several messages whose parts all raise the same error raises ``Outage`` before any message is blamed.
+    """
+
+    def tried(part: DataFrame) -> DataFrame:
+        failed = work(part, number).persist()
         held.append(failed)
         failed.count()
         return failed
+
+    try:
+        return tried(batch)
     except Exception as e:
-        if depth > 48 or batch.limit(2).count() <= 1:  # one message, or several of the same hash
-            said = str(getattr(e, "desc", None) or e).strip()
-            return batch.withColumn("error", F.lit((said.splitlines() or ["failed"])[-1]))
-    bit = F.shiftright(F.xxhash64(*batch.columns), depth).bitwiseAND(F.lit(1))
-    zero, one = (work_off(work, batch.where(bit == side), number, held, depth + 1) for side in (0, 1))
-    return zero.unionByName(one)
+        first = e
+    if depth > 48 or batch.limit(2).count() <= 1:  # one message, or several of the same hash
+        return batch.withColumn("error", F.lit(_said(first)))
+    parts: list[DataFrame] = []
+    while len(parts) < 2 and depth <= 48:
+        bits = F.pmod(F.shiftright(F.xxhash64(*batch.columns), depth), F.lit(4))
+        parts, depth = [p for p in (batch.where(bits == n) for n in range(4)) if not p.isEmpty()], depth + 2
+    done, broken = [], []
+    for part in parts:
+        try:
+            done.append(tried(part))
+        except Exception as e:
+            broken.append((part, e))
+    if outages and len(parts) > 1 and len(broken) == len(parts) and {_said(e) for _, e in broken} == {_said(first)}:
+        raise Outage(_said(first)) from first
+    for part, _ in broken:
+        done.append(work_off(work, part, number, held, depth, False))
+    return reduce(DataFrame.unionByName, done)
 
 
 def process(
@@ -110,12 +142,27 @@ def process(
     once: bool = True,
 ) -> StreamingQuery:
     """[STR-1..7, STR-12] Runs ``work`` on each batch of messages; it returns those that failed, with ``error``. A message that
-    makes it raise has failed too. Failed messages come back by the inbox, up to ``max_retries`` times.
+    makes it raise has failed too. Failed messages come back by the inbox, up to ``max_retries`` times. In an outage, when all that is
+    tried fails alike, the query ends with the error, no message is blamed, and the checkpoint runs the batch again when the query is
+    started again; after ``OUTAGES`` such ends the batch's messages are blamed one by one.
 
     Messages that fit no schema go to the dead letters at once. ``once`` takes what is there and stops; ``drain`` goes on until
     nothing is left to try.
     """
-    run = run_id(messages.sparkSession, checkpoint)
+    spark = messages.sparkSession
+    run = run_id(spark, checkpoint)
+
+    def path_of(name: str):
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+    def marks(folder: str) -> int:
+        fs, p = path_of(folder)
+        return len(fs.listStatus(p)) if fs.exists(p) else 0
+
+    def mark(name: str) -> None:
+        fs, p = path_of(name)
+        fs.create(p, True).close()
 
     def on_batch(batch: DataFrame, number: int) -> None:
         held = [batch.persist()]
@@ -124,7 +171,14 @@ def process(
                 F.col(CORRUPT).alias("payload"), F.lit(origin).alias("stream_origin"), F.lit("malformed payload").alias("error"), F.lit("malformed").alias("reason"), F.current_timestamp().alias("failed_at")
             )
             bad.write.mode("overwrite").parquet(f"{dead}/malformed-{origin.replace(':', '-')}-{run}-{number}")
-            settle(work_off(work, batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), number, held), inbox, dead, origin, number, max_retries, run)
+            good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+            ends = marks(f"{checkpoint}/outages/{number}")
+            try:
+                failed = work_off(work, good, number, held, outages=ends < OUTAGES)
+            except Outage:
+                mark(f"{checkpoint}/outages/{number}/{ends}")
+                raise
+            settle(failed, inbox, dead, origin, number, max_retries, run)
         finally:
             for kept in held:
                 kept.unpersist()
@@ -134,13 +188,14 @@ def process(
 
 
 def drain(start: Callable[[], StreamingQuery], rounds: int = 100) -> int:
-    """Starts a query of ``process`` again until it finds no messages; how often it found some."""
+    """Starts a query of ``process`` again until it finds no messages; how often it found some. Raises if there are still some after
+    ``rounds``."""
     for n in range(rounds):
         query = start()
         query.awaitTermination()
         if not sum(p.numInputRows for p in query.recentProgress):
             return n
-    return rounds
+    raise TimeoutError(f"there are still messages after {rounds} rounds")
 
 
 def fan_out(repo_messages: DataFrame, files: DataFrame) -> DataFrame:
@@ -150,6 +205,16 @@ def fan_out(repo_messages: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def unacknowledged(taken: DataFrame, acks: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """[STR-3] The messages of the stream ``taken`` (message_id, taken_at) without a row in the stream ``acks`` (message_id, acked_at) within
+    ``idle_seconds``: each comes out once, when the watermarks of both streams have passed its time, and is to be worked on again. What is
+    kept is bounded by the same time on both sides."""
+    t = taken.withWatermark("taken_at", delay)
+    a = acks.select(F.col("message_id").alias("acked_id"), "acked_at").withWatermark("acked_at", delay)
+    in_time = F.expr(f"acked_at between taken_at and taken_at + interval {int(idle_seconds)} seconds")
+    return t.join(a, (F.col("message_id") == F.col("acked_id")) & in_time, "left_outer").where("acked_id is null").select("message_id", "taken_at")
+
+
 def flush_progress(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     """[STR-9, STR-10, Q13] Jobs with the counters and progress of (job_id, fetched, processed, stored); others as they were."""
     stages = ("fetched", "processed", "stored")
@@ -208,3 +273,4 @@ def status_events(jobs: Callable[[], DataFrame], repos: Callable[[], DataFrame],
         last = now
         if n + 1 < polls:
             time.sleep(wait)
+    raise TimeoutError(f"the job is not done after {polls} polls")
