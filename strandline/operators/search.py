@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.vectors import cosine
+from strandline.functions.vectors import cosine, round_half_even
 
 HIT = ("code", "file", "language", "type", "name", "start_line", "end_line")
 
@@ -30,7 +30,7 @@ def hits(found: DataFrame) -> DataFrame:
 def file_top_k(points: DataFrame, question: list[float], file: str, k: int = 5, id_col: str = "point_id", vector: str = "vector") -> DataFrame:
     """[TOP-2, FLT-8, PRJ-2] The same inside one file: the filter comes before any score."""
     found = top_k(points.where(F.col("file") == file), question, k, id_col, vector)
-    return found.select("code", "start_line", "end_line", F.round("score", 4).alias("score"))
+    return found.select("code", "start_line", "end_line", round_half_even(F.col("score")).alias("score"))
 
 
 def top_k_each(points: DataFrame, questions: DataFrame, k: int, on: str, id_col: str, vector: str) -> DataFrame:

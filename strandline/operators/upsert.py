@@ -57,3 +57,24 @@ def cascade_delete(tables: dict[str, DataFrame], repos: DataFrame, repo_key: dic
     """[DEL-1] Every table without the rows of the repositories ``repos`` (id). ``repo_key`` names each table's column."""
     gone = repos.select("id").distinct()
     return {name: df.join(gone.withColumnRenamed("id", repo_key[name]), repo_key[name], "left_anti") for name, df in tables.items()}
+
+
+def cascade_closure(tables: dict[str, DataFrame], links: Sequence[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """[DEL-1] Every table without the rows that ``gone`` names or that stand on a row that goes.
+
+    ``links`` are (child, column, parent, column): a child's row goes with the parent's row that its column names; parents come before
+    their own children's links. ``gone`` has rows of some tables, by the parent's column. All is joins by key: no list of keys is
+    collected, and a row goes if any of its parents does.
+    """
+    left, leaving = dict(tables), dict(gone)
+    for child, column, parent, key in links:
+        if parent not in leaving:
+            continue
+        keys = leaving[parent].select(F.col(key).alias(column)).where(F.col(column).isNotNull()).distinct()
+        met = left[child].join(keys, column, "left_semi")
+        leaving[child] = leaving[child].unionByName(met, allowMissingColumns=True) if child in leaving else met
+        left[child] = left[child].join(keys, column, "left_anti")
+    for name, rows in gone.items():
+        keys = sorted({key for _, _, parent, key in links if parent == name})
+        left[name] = left[name].join(rows.select(*keys).distinct(), keys, "left_anti")
+    return left

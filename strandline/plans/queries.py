@@ -7,13 +7,14 @@ Stand-ins: ``documents`` are files (repository = source, path = source/doc_id),
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.functions.codec import compress_code, decompress_code
-from strandline.functions.vectors import cosine
+from strandline.functions.vectors import cosine, round_half_even
 from strandline.operators import answers, blocked, chunking, embedding, relational, search, upsert
 from strandline.plans.registry import register
 from strandline.sources.files import read_table as table
@@ -75,9 +76,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select vec_id as point_id, round({_COS.format(a='v', b='q')}, 4) as score from {_E} e, (select embedding::double[] as q from embeddings where vec_id = 0) where file = 'f3' order by {_COS.format(a='v', b='q')} desc, vec_id limit 5",
 )
 def vector_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[FLT-8, TOP-2, SCL-14]"""
-    best = search.top_k(points(spark, sf_dir).where("file = 'f3'"), first_vector(spark, sf_dir))
-    return best.select("point_id", F.round("score", 4).alias("score"))
+    """[FLT-8, TOP-2, SCL-14, PRJ-2]"""
+    p = points(spark, sf_dir).select("*", F.col("point_id").alias("code"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    best = search.file_top_k(p, first_vector(spark, sf_dir), "f3")
+    return best.select(F.col("code").alias("point_id"), "score")
 
 
 @register(
@@ -495,6 +497,40 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left["orders"].select(F.lit("orders").alias("kind"), F.col("o_orderkey").alias("id")).unionByName(left["customer"].select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")))
 
 
+@register(
+    "cascade_closure",
+    """with c as (select c_custkey from customer where c_custkey % 4 = 0), o as (select o_orderkey from orders where o_custkey in (select c_custkey from c))
+select 'repository' as kind, c_custkey::varchar as id from customer where c_custkey not in (select c_custkey from c)
+union all select 'job', o_orderkey::varchar from orders where o_orderkey not in (select o_orderkey from o)
+union all select 'stage', l_orderkey || '-' || l_linenumber from lineitem where l_orderkey not in (select o_orderkey from o) and l_linenumber <= 3
+union all select 'message', l_orderkey || '-' || l_linenumber from lineitem where l_orderkey not in (select o_orderkey from o) and l_linenumber in (4, 5)
+union all select 'dead letter', l_orderkey || '-' || l_linenumber from lineitem where l_orderkey not in (select o_orderkey from o) and l_linenumber > 5""",
+)
+def cascade_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[DEL-1] Repositories (customers) go, and with them their jobs (orders), the jobs' stages, messages in the inbox and dead letters, whose
+    job is in a text (lines of orders)."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_linenumber")
+    payload = F.to_json(F.struct(F.col("job_id").cast("string").alias("job_id"), F.lit("x").alias("content")))
+    letters = lines.where("l_linenumber > 5").select("id", payload.alias("payload"))
+    tables = {
+        "repository": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")),
+        "job": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repo_id")),
+        "stage": lines.where("l_linenumber <= 3").select("id", "job_id"),
+        "message": lines.where("l_linenumber in (4, 5)").select("id", "job_id"),
+        "dead letter": letters.withColumn("job_id", F.get_json_object("payload", "$.job_id").cast("long")),
+    }
+    links = [("job", "repo_id", "repository", "id"), *((child, "job_id", "job", "id") for child in ("stage", "message", "dead letter"))]
+    left = upsert.cascade_closure(tables, links, {"repository": tables["repository"].where("id % 4 = 0")})
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")) for kind, df in left.items()))
+
+
+@register("rounded_values", "select event_id, format('{:.4f}', value / 7)::double as a, format('{:.4f}', event_id / 32)::double as tie, format('{:.4f}', (event_id % 20000) / 20000)::double as near from events")
+def rounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[SCL-14] Values, exact ties and values next to a tie, at four decimals."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id").cast("double")
+    return e.select("event_id", round_half_even(F.col("value") / 7).alias("a"), round_half_even(n / 32).alias("tie"), round_half_even((n % 20000) / 20000).alias("near"))
+
+
 @register(
     "replace_files",
     "select vec_id as point_id, 'f' || (vec_id % 20) as file from embeddings where vec_id % 20 <> 3 union all select vec_id + 5000000, 'f3' from embeddings where vec_id % 40 = 3",

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from strandline.functions import text
@@ -26,6 +26,9 @@ from strandline.schemas import schema
 CORRUPT = "_corrupt"
 #: Files of a poll, and the life of a job's progress without news, in seconds.
 FILES_PER_POLL, PROGRESS_TTL = 5, 86_400
+STAGES = ("fetched", "processed", "stored")
+COUNTERS = ", ".join(f"{s} long" for s in STAGES)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: [STR-3] Seconds after which a message that was taken and not acknowledged is taken again.
 IDLE_SECONDS = 300
 #: How often a batch may end in an outage before its messages are blamed.
@@ -225,27 +228,53 @@ def flush_progress(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     return both.withColumns(values | {"progress": F.coalesce(shown, F.col("progress"))}).select(*jobs.columns)
 
 
-def live_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL, delay: str = "1 hour") -> DataFrame:
-    """[STR-8, AGG-2] A stream (job_id, fetched, processed, stored) from a stream (job_id, stage, ts); the counters of a job are
-    kept in the state store and forgotten when the watermark is ``ttl_seconds`` past its last message."""
-    stages = ("fetched", "processed", "stored")
+class Counters(StatefulProcessor):
+    """The counters of a job, forgotten ``ttl_seconds`` after its last message."""
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *seen, last = state.get if state.exists else (0, 0, 0, 0)
-        for frame in frames:
-            for i, s in enumerate(stages):
+    def __init__(self, ttl_seconds: int) -> None:
+        self.ttl = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("counters", COUNTERS, self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        seen = list(self.state.get()) if self.state.exists() else [0] * len(STAGES)
+        for frame in rows:
+            for i, s in enumerate(STAGES):
                 seen[i] += int((frame["stage"] == s).sum())
-            last = max(last, int(frame["ts"].max().timestamp() * 1000))
-        state.update((*seen, last))
-        state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *seen)], columns=["job_id", *stages])
-
-    fields = "fetched long, processed long, stored long"
-    grouped = events.select("job_id", "stage", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).groupBy("job_id")
-    return grouped.applyInPandasWithState(count, f"job_id string, {fields}", f"{fields}, last long", "update", GroupStateTimeout.EventTimeTimeout)
+        self.state.update(tuple(seen))
+        yield pd.DataFrame([(key[0], *seen)], columns=["job_id", *STAGES])
+
+    def close(self) -> None:
+        pass
+
+
+def live_progress(events: DataFrame, ttl_seconds: int = PROGRESS_TTL) -> DataFrame:
+    """[STR-8, AGG-2] A stream (job_id, fetched, processed, stored) from a stream (job_id, stage); the counters of a job are in RocksDB, which
+    forgets them ``ttl_seconds`` after the job's last message, and can be read while the stream runs (``read_progress``)."""
+    grouped = events.select("job_id", "stage").groupBy("job_id")
+    return grouped.transformWithStateInPandas(Counters(ttl_seconds), f"job_id string, {COUNTERS}", "update", "processingTime")
+
+
+def run_progress(progress: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Runs ``live_progress``; what it holds is read from its state. A query takes its settings from the session when it starts: this one
+    needs RocksDB, as only that forgets state by itself, and no batches without news, which would never end where state has a life."""
+    conf, own = progress.sparkSession.conf, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        writer = progress.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def read_progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """[STR-8, STR-10] (job_id, fetched, processed, stored) as the state of ``live_progress`` holds them now."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "counters").load()
+    return state.select("key.job_id", *(F.col(f"value.value.{s}").alias(s) for s in STAGES))
 
 
 def job_status(jobs: DataFrame, repos: DataFrame, job_id: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams in trouble: outages, batches that died, messages that nobody acknowledged."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,15 @@ def test_messages_come_out_once_and_state_is_let_go(spark, tmp_path):
         q.awaitTermination()
         rows_kept.append(q.lastProgress.stateOperators[0].numRowsTotal)
     assert sorted(got) == [2, 3] and rows_kept[-1] <= 4
+
+
+def test_progress_is_forgotten(spark, tmp_path):
+    """[STR-8] A job without messages for the time to live starts anew; its state can be read between batches."""
+    seen = []
+    for n, stages in enumerate((["fetched", "fetched", "stored"], ["processed"])):
+        spark.createDataFrame([("j", s) for s in stages], "job_id string, stage string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
+        m = spark.readStream.schema("job_id string, stage string").parquet(f"{tmp_path}/m")
+        messages.run_progress(messages.live_progress(m, ttl_seconds=3), f"{tmp_path}/cp").awaitTermination(60)
+        seen.append([tuple(r) for r in messages.read_progress(spark, f"{tmp_path}/cp").collect()])
+        time.sleep(0 if n else 5)
+    assert seen == [[("j", 2, 0, 1)], [("j", 0, 1, 0)]]
