@@ -29,6 +29,39 @@ def changed_files(files: DataFrame, stored: DataFrame) -> DataFrame:
     return files.join(done, ["repo_id", "file_path", "file_hash"], "left_anti")
 
 
+#: Bits of a block of the filter (the size of Spark's bitmaps), blocks at most (16 MB in all), bits that a key sets, and keys of a block.
+BLOCK_BITS, MAX_BLOCKS, KEY_BITS, BLOCK_KEYS = 32_768, 4096, 4, 3000
+
+
+def _bits(key: Column) -> Column:
+    """A key's bits in its block: two halves of a hash, stepped."""
+    one, two = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(BLOCK_BITS)), F.pmod(F.xxhash64(key, F.lit(2)), F.lit(BLOCK_BITS // 2)) * 2 + 1
+    return F.array(*((one + i * two) % BLOCK_BITS for i in range(KEY_BITS)))
+
+
+def changed_files_filtered(files: DataFrame, stored: DataFrame, blocks: int | None = None) -> DataFrame:
+    """[FLT-3, JOIN-4] The rows of ``changed_files``, for stored tables that know few of the files: a Bloom filter over the stored keys says of
+    a file that it is surely new, and such files take no part in a shuffle; the others are joined.
+
+    The filter is a bitmap for each of ``blocks`` blocks, broadcast: ``BLOCK_KEYS`` keys a block, 16 MB at most, however many keys there are. A
+    full filter lets more files through to the join and skips none wrongly. Null keys are never stored, so such files are new.
+    """
+    names = ["repo_id", "file_path", "file_hash"]
+    key = F.when(F.col("repo_id").isNotNull() & F.col("file_path").isNotNull() & F.col("file_hash").isNotNull(), F.xxhash64(*names))
+    done = stored.where(F.col("status") == "completed").select(*names)
+    n = blocks or min(MAX_BLOCKS, -(-done.count() // BLOCK_KEYS) or 1)
+    block = F.pmod(key, F.lit(n)).cast("int")
+    set_bits = done.select(block.alias("__block"), F.explode(_bits(key)).alias("bit")).where("__block is not null")
+    bitmaps = set_bits.groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__bitmap"))
+    asked = files.withColumn("__block", block).join(F.broadcast(bitmaps), "__block", "left")
+    byte = lambda p: F.conv(F.hex(F.substring("__bitmap", (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = lambda p: F.call_function("getbit", byte(p), (p % 8).cast("int")) == 1
+    known = F.coalesce(F.col("__bitmap").isNotNull() & F.forall(_bits(key), is_set), F.lit(False))
+    split = asked.withColumn("__known", known)
+    maybe = split.where("__known").select(*files.columns).join(done, names, "left_anti").select(*files.columns)
+    return split.where("not __known").select(*files.columns).unionByName(maybe)
+
+
 def open_repos(messages: DataFrame, repos: DataFrame) -> DataFrame:
     """[FLT-4] Messages of repositories that are not completed."""
     return messages.join(repos.where("status = 'completed'").select(F.col("id").alias("repo_id")), "repo_id", "left_anti")

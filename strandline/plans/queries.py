@@ -10,13 +10,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.functions.codec import compress_code, decompress_code
 from strandline.functions.vectors import cosine, round_half_even
-from strandline.operators import answers, blocked, chunking, embedding, relational, search, upsert
-from strandline.plans.registry import register
+from strandline.operators import answers, blocked, chunking, embedding, relational, search, sessions, upsert
+from strandline.plans.registry import ORACLES, register
 from strandline.sources.files import read_table as table
 
 #: Python's strip() in DuckDB.
@@ -161,6 +162,13 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.changed_files(f, stored(spark, sf_dir))
 
 
+@register("changed_files_filtered", ORACLES["changed_files"])
+def changed_files_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[FLT-3, JOIN-4] The same, where files that are surely new take no part in a shuffle."""
+    f = files(spark, sf_dir).select("repo_id", "file_path", T.file_hash(F.col("content")).alias("file_hash"))
+    return relational.changed_files_filtered(f, stored(spark, sf_dir))
+
+
 @register(
     "open_repos",
     "select doc_id, source as repo_id from documents where source not in (select distinct source from documents where doc_id % 97 = 0 and source is not null)",
@@ -363,6 +371,35 @@ def delete_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.delete_keys(e, e.where("user_id % 3 = 0 and event_type = 'error'"), ["user_id", "event_type"]).select("event_id")
 
 
+_ACTIONS = {"view": "login", "click": "refresh", "purchase": "logout"}
+
+
+@register(
+    "session_replay",
+    """with recursive e as (
+  select user_id, ts, event_id, case event_type when 'view' then 'login' when 'click' then 'refresh' when 'purchase' then 'logout' end as action,
+    lag(event_id, (1 + event_id % 2)::int) over (partition by user_id order by ts, event_id) as presented, row_number() over (partition by user_id order by ts, event_id) as n from events
+), s as (
+  select user_id, 0::bigint as n, []::struct(t bigint, u timestamp)[] as held, 0::bigint as refused from (select distinct user_id from events)
+  union all
+  select user_id, n, case when ok and action in ('login', 'refresh') then list_append(case when len(h) >= 2 then h[-1:] else h end, {'t': event_id, 'u': ts + interval 7 day}) when ok then h else held end, refused + (not ok)::bigint
+  from (
+    select e.*, s.held, s.refused, case when action in ('refresh', 'logout') then list_filter(held, lambda x: x.t is distinct from presented) else held end as h,
+      action is distinct from 'refresh' or len(list_filter(held, lambda x: x.t = presented and x.u > ts)) > 0 as ok
+    from s join e on e.user_id = s.user_id and e.n = s.n + 1)
+), f as (select user_id, arg_max(held, n) as held, arg_max(refused, n) as refused from s group by user_id)
+select user_id, x.t as token, x.u as expires_at, refused from (select user_id, refused, unnest(held) as x from f) union all select user_id, null, null, refused from f where len(held) = 0""",
+)
+def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[CTL-2, WIN-2, DEL-2, SCL-18] Events as logins, refreshes and logouts; these come with the token of one of the user's last two events,
+    which may be none, gone or too old."""
+    e = table(spark, sf_dir, "events")
+    before = W.partitionBy("user_id").orderBy("ts", "event_id")
+    presented = F.when(F.col("event_id") % 2 == 0, F.lag("event_id", 1).over(before)).otherwise(F.lag("event_id", 2).over(before))
+    action = F.create_map(*(F.lit(x) for kv in _ACTIONS.items() for x in kv))[F.col("event_type")]
+    return sessions.replay(e.select("user_id", "ts", "event_id", action.alias("action"), presented.alias("presented")))
+
+
 @register("insert_if_absent", "select distinct o_custkey as user_id, o_custkey % 11 as repo_id from orders where (o_custkey, o_custkey % 11) not in (select c_custkey, c_nationkey::bigint % 11 from customer)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[INS-1, JOIN-3, Q3]"""

@@ -308,3 +308,23 @@ def reclaimed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = left.writeStream.format("parquet").option("path", f"{out}/left").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(left.schema).parquet(f"{out}/left").withColumn("taken_at", F.col("taken_at").cast("timestamp_ntz"))
+
+
+@register("malformed_messages", "select event_id as id, case when event_id % 7 = 0 then 'malformed payload' end as error, case when event_id % 7 = 0 then 'malformed' else 'done' end as state from events")
+def malformed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[STR-12, STR-7, SRC-7] A message for each event, some cut off in the middle: these are dead letters at once, the others are done, in
+    batches of a few files."""
+    out = _folder(spark)
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit(0).alias("retries")))
+    cut = F.when(F.col("event_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 4)).otherwise(line)
+    queries.table(spark, sf_dir, "events").select(cut.alias("value")).repartition(6).write.text(f"{out}/inbox")
+
+    def work(batch: DataFrame, number: int) -> DataFrame:
+        batch.select("id").write.mode("overwrite").parquet(f"{out}/done/batch={number}")
+        return batch.where("false").withColumn("error", F.lit(""))
+
+    stream = messages.read_messages(spark, f"{out}/inbox", "id long, retries int", files_per_poll=2)
+    messages.process(stream, work, f"{out}/inbox", f"{out}/dead", f"{out}/checkpoint", "file:process").awaitTermination()
+    letters = spark.read.option("recursiveFileLookup", True).schema("payload string, error string, reason string").parquet(f"{out}/dead")
+    bad = letters.select(F.regexp_extract("payload", '"id":([0-9]+)', 1).cast("long").alias("id"), "error", F.col("reason").alias("state"))
+    return bad.unionByName(spark.read.parquet(f"{out}/done").select("id", F.lit(None).cast("string").alias("error"), F.lit("done").alias("state")))
