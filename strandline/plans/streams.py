@@ -328,3 +328,34 @@ def malformed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = spark.read.option("recursiveFileLookup", True).schema("payload string, error string, reason string").parquet(f"{out}/dead")
     bad = letters.select(F.regexp_extract("payload", '"id":([0-9]+)', 1).cast("long").alias("id"), "error", F.col("reason").alias("state"))
     return bad.unionByName(spark.read.parquet(f"{out}/done").select("id", F.lit(None).cast("string").alias("error"), F.lit("done").alias("state")))
+
+
+_ENDPOINTS = {"view": "ingest", "click": "login", "purchase": "register"}
+
+
+@register(
+    "stream_rate_limits",
+    """with r as (select case event_type when 'view' then 'ingest' when 'click' then 'login' else 'register' end as endpoint, case when event_id % 3 = 0 then 'ip' || (user_id % 5) else (user_id % 20)::varchar end as client,
+  make_timestamp((epoch(ts)::bigint // 2000) * 1000000) as t, case when event_id % 50 = 0 then 2 else event_id % 2 end as part from events where event_type in ('view', 'click', 'purchase')),
+w as (select max(t) - interval 10 minute as mark from r where part = 0),
+k as (select *, date_trunc('minute', t) as minute, part < 2 or date_trunc('minute', t) + interval 1 minute > mark as counted from r, w)
+select endpoint, client, minute, count(*) as n from k where counted group by all having count(*) > case endpoint when 'ingest' then 10 when 'login' then 5 else 3 end
+union all select endpoint, client, null, count(*) from k where not counted group by all""",
+)
+def stream_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[CTL-1] Requests, which are the events at 2,000 times their pace, in real minutes; every fiftieth comes after all others. Clients over a
+    limit, and, without a minute, how many requests of a client came too late to count."""
+    out, e = _folder(spark), queries.table(spark, sf_dir, "events")
+    endpoint = F.create_map(*(F.lit(x) for kv in _ENDPOINTS.items() for x in kv))[F.col("event_type")]
+    known = F.when(F.col("event_id") % 3 != 0, (F.col("user_id") % 20).cast("string"))
+    at = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 2000))
+    requests = e.select(endpoint.alias("endpoint"), known.alias("subject"), F.concat(F.lit("ip"), (F.col("user_id") % 5).cast("string")).alias("address"), at.alias("ts"), F.when(F.col("event_id") % 50 == 0, 2).otherwise(F.col("event_id") % 2).alias("part")).where("endpoint is not null")
+    for part in range(3):  # what is late is known by the watermark of the batch before
+        requests.where(F.col("part") == part).repartition(4).write.mode("append").parquet(f"{out}/requests")
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/requests")
+    messages.run_limits(stream, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    counts, over = messages.read_limits(spark, f"{out}/counts")
+    client = F.coalesce("subject", "address").alias("client")
+    sent = requests.groupBy("endpoint", client).agg(F.count(F.lit(1)).alias("sent"))
+    late = sent.join(counts.groupBy("endpoint", "client").agg(F.sum("n").alias("counted")), ["endpoint", "client"], "left").withColumn("n", F.col("sent") - F.coalesce("counted", F.lit(0)))
+    return over.withColumn("minute", F.col("minute").cast("timestamp_ntz")).unionByName(late.where("n > 0").select("endpoint", "client", F.lit(None).cast("timestamp_ntz").alias("minute"), "n"))

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from strandline.functions import text
-from strandline.operators.relational import route_failures
+from strandline.operators.relational import LIMITS, latest, route_failures
 from strandline.schemas import schema
 
 CORRUPT = "_corrupt"
@@ -218,6 +218,32 @@ def unacknowledged(taken: DataFrame, acks: DataFrame, idle_seconds: int = IDLE_S
     return t.join(a, (F.col("message_id") == F.col("acked_id")) & in_time, "left_outer").where("acked_id is null").select("message_id", "taken_at")
 
 
+def minute_counts(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """[CTL-1] A stream (endpoint, client, minute, n) of the requests of a client to an endpoint in each minute, from a stream (endpoint,
+    subject, address, ts); a client is known by the token's subject, else by the address. Minutes are kept until the watermark has
+    passed their end; requests that come later are not counted."""
+    client = F.coalesce("subject", "address").alias("client")
+    counted = requests.withWatermark("ts", delay).groupBy("endpoint", client, F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("endpoint", "client", F.col("w.start").alias("minute"), "n")
+
+
+def run_limits(requests: DataFrame, table: str, checkpoint: str, delay: str = "10 minutes", once: bool = True) -> StreamingQuery:
+    """[CTL-1] Keeps the counts of ``minute_counts`` in ``table``, a folder for each batch, which a batch that is run again replaces."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    writer = minute_counts(requests, delay).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
+def read_limits(spark: SparkSession, table: str, limits: dict[str, int] = LIMITS) -> tuple[DataFrame, DataFrame]:
+    """[CTL-1] (counts, over): the last count of each minute of ``run_limits``, and those that are over their endpoint's limit."""
+    counts = latest(spark.read.parquet(table), ["endpoint", "client", "minute"], F.desc("batch")).drop("batch")
+    limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("endpoint")]
+    return counts, counts.where(F.col("n") > limit)
+
+
 def flush_progress(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     """[STR-9, STR-10, Q13] Jobs with the counters and progress of (job_id, fetched, processed, stored); others as they were."""
     stages = ("fetched", "processed", "stored")
