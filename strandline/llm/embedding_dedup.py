@@ -42,6 +42,9 @@ AUDIT, AUDIT_ASKED, RECALL = 256, 64, 0.99
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are first scaled by powers of two, so that no square overflows or vanishes; that changes no digit of others."""
+    x = np.asarray(x, dtype=np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -49,7 +52,7 @@ class Graph:
     """A hierarchical navigable small-world graph over unit vectors; searches run for many queries at once."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.exact = unit(np.asarray(vectors, dtype=np.float64))
+        self.exact = unit(vectors)
         self.x = self.exact.astype(np.float32)
         n = len(self.x)
         random = np.random.default_rng(seed)

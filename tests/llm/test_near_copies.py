@@ -230,3 +230,13 @@ def test_query_finds_links(spark, tmp_path):
     first = {c: min(i for i in range(len(x)) if of[i] == c) for c in set(of)}
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op2_embedding_near_dedup"](spark, str(tmp_path)).collect()}
     assert got == {i: (int(near[i].sum()) - 1, first[of[i]], first[of[i]] == i) for i in range(len(x))} and sum(n for n, *_ in got.values()) > 500
+
+
+def test_lengths_beyond_squares(spark):
+    """Components whose squares overflow or vanish have a cosine all the same; scaling changes no digit of others."""
+    data = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [5e-324, 1e-323]), (5, [1e300, -1e300]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in V.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+    x = np.random.default_rng(1).normal(size=(50, 7))
+    assert (V.unit(x) == x / np.linalg.norm(x, axis=1, keepdims=True)).all()
