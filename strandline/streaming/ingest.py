@@ -118,8 +118,9 @@ def fetch(spark: SparkSession, repo_messages: DataFrame, root: str, inbox: str)
         counts = listed.where("error is null").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
         both = repo_messages.join(counts, "repo_id", "left").join(broken, "repo_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         error = F.when(F.col("error").isNotNull(), T.truncate_error(F.lower("error"))).when(F.col("n") == 0, NO_FILES)
-        sent = listed.where("error is null").join(broken, "repo_id", "left_anti")
-        messages.fan_out(repo_messages, sent).write.mode("overwrite").option("compression", "gzip").json(inbox)
+        # both sides that are broadcast have a row for a message of the poll; contents are not shuffled, however many one repository has
+        sent = listed.where("error is null").join(F.broadcast(broken), "repo_id", "left_anti")
+        messages.fan_out(F.broadcast(repo_messages), sent).write.mode("overwrite").option("compression", "gzip").json(inbox)
         done = both.select("repo_id", "job_id", F.when(error.isNull(), "processing").otherwise("failed").alias("status"), F.when(F.col("error").isNull(), F.col("n")).otherwise(0).cast("int").alias("total_files"), error.alias("error"))
         return spark.createDataFrame(done.toArrow(), done.schema)  # as many rows as there were messages
     finally:
