@@ -146,8 +146,9 @@ _STORED = f"(select source as repo_id, {_PATH} as file_path, case when quality =
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    h = F.when(F.col("quality") == 0, "old").otherwise(T.file_hash(F.col("content")))
+    # hashes meet the labels, not texts
+    f = files(spark, sf_dir).select("doc_id", "repo_id", "file_path", T.file_hash(F.col("content")).alias("hash")).join(table(spark, sf_dir, "labels"), "doc_id")
+    h = F.when(F.col("quality") == 0, "old").otherwise(F.col("hash"))
     return f.select("repo_id", "file_path", h.alias("file_hash"), F.when(F.col("toxic") == 1, "pending").otherwise("completed").alias("status"))
 
 
