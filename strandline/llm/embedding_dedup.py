@@ -67,6 +67,8 @@ class Graph:
 
     def _build(self, level: int) -> None:
         links, size = self.links[level], self.sizes[level]
+        # until the nodes of the layer above are all in this one, they are no entry points to it: batches are compared whole
+        whole = max(2048, self.sizes[level + 1] if level + 1 < len(self.sizes) else 0)
         done = 1
         while done < size:
             end = min(size, 2 * done, done + 1024)
@@ -75,7 +77,7 @@ class Graph:
             np.fill_diagonal(among, -2)
             near = np.argsort(-among, axis=1)[:, : 2 * links.shape[1]]
             ids, sims = new[near], np.take_along_axis(among, near, axis=1)
-            if done <= 2048:
+            if done <= whole:
                 old = self.x[new] @ self.x[:done].T
                 found = np.argsort(-old, axis=1)[:, :BUILD_BEAM]
                 found_sims = np.take_along_axis(old, found, axis=1)

@@ -1,6 +1,8 @@
 import collections
+import math
 import re
 import string
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -240,3 +242,19 @@ def test_lengths_beyond_squares(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
     x = np.random.default_rng(1).normal(size=(50, 7))
     assert (V.unit(x) == x / np.linalg.norm(x, axis=1, keepdims=True)).all()
+
+
+def test_layer_above_larger_than_what_is_built(monkeypatch):
+    """In shards of more than 49,152 vectors the layer above held nodes that the layer below did not have yet; here it is half as large."""
+    monkeypatch.setattr(V, "math", SimpleNamespace(log=lambda x: math.log(2)))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 16))
+    x[4000:4400] = x[:400] + rng.normal(size=(400, 16)) * 0.02
+    graph = V.Graph(x)
+    assert graph.sizes[1] > 3072
+    beam, recall = graph.audited_beam(0.95)
+    q, n = graph.links_of(V.unit(x), 0.95, beam)
+    got = set(zip(q.tolist(), graph.order[n].tolist(), strict=True))
+    u = V.unit(x)
+    truth = set(zip(*(i.tolist() for i in np.nonzero(u @ u.T >= 0.95)), strict=True))
+    assert recall >= 0.99 and got <= truth and len(got) >= 0.99 * len(truth)
