@@ -348,7 +348,8 @@ def stream_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, e = _folder(spark), queries.table(spark, sf_dir, "events")
     endpoint = F.create_map(*(F.lit(x) for kv in _ENDPOINTS.items() for x in kv))[F.col("event_type")]
     known = F.when(F.col("event_id") % 3 != 0, (F.col("user_id") % 20).cast("string"))
-    at = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 2000))
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")  # the nearest, as the SQL's cast takes it
+    at = F.timestamp_seconds(F.floor(second / 2000))
     requests = e.select(endpoint.alias("endpoint"), known.alias("subject"), F.concat(F.lit("ip"), (F.col("user_id") % 5).cast("string")).alias("address"), at.alias("ts"), F.when(F.col("event_id") % 50 == 0, 2).otherwise(F.col("event_id") % 2).alias("part")).where("endpoint is not null")
     for part in range(3):  # what is late is known by the watermark of the batch before
         requests.where(F.col("part") == part).repartition(4).write.mode("append").parquet(f"{out}/requests")

@@ -2,11 +2,16 @@
 
 import json
 import time
+from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.plans import streams
+from strandline.plans.registry import ORACLES
 from strandline.streaming import messages
+from tests.conftest import oracle, rows
 
 
 def start(spark, tmp_path, work):
@@ -117,3 +122,13 @@ def test_progress_is_forgotten(spark, tmp_path):
         seen.append([tuple(r) for r in messages.read_progress(spark, f"{tmp_path}/cp").collect()])
         time.sleep(0 if n else 5)
     assert seen == [[("j", 2, 0, 1)], [("j", 0, 1, 0)]]
+
+
+def test_requests_are_of_the_nearest_second(spark, tmp_path):
+    """The SQL's cast rounds; 119,999.6 seconds of events are 120,000, the first second of a minute at 2,000 times the pace."""
+    at = lambda s: datetime(1970, 1, 1) + timedelta(seconds=s)
+    events = [(i, at(s), 1, "view") for i, s in enumerate([119_999.6] * 12 + [119_999.4] * 14 + [119_998.5] * 15 + [200_000.0] * 16) if i % 50]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events"))
+    pq.write_table(pq.read_table(tmp_path / "events"), tmp_path / "events.parquet")  # one file, as the SQL reads it
+    got = rows(streams.stream_rate_limits(spark, str(tmp_path)))
+    assert got == oracle("", ORACLES["stream_rate_limits"], str(tmp_path))
