@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+import pyarrow as pa
 
+from strandline.functions.batches import by_slices
 
-@F.pandas_udf(StringType())
-def compress_code(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: None if c is None else base64.b64encode(zlib.compress(c.encode(), 9)).decode())
 
+def _each(one: Callable[[str], str]) -> Callable[[list[str | None]], pa.Array]:
+    return lambda texts: pa.array([None if t is None else one(t) for t in texts], pa.string())
 
-@F.pandas_udf(StringType())
-def decompress_code(packed: pd.Series) -> pd.Series:
-    """The text of compressed code; what is no such text comes back as it is."""
 
-    def one(p: str | None) -> str | None:
-        try:
-            return None if p is None else zlib.decompress(base64.b64decode(p, validate=True)).decode()
-        except (ValueError, zlib.error):
-            return p
+def _pack(code: str) -> str:
+    return base64.b64encode(zlib.compress(code.encode(), 9)).decode()
 
-    return packed.map(one)
+
+def _unpack(packed: str) -> str:
+    try:
+        return zlib.decompress(base64.b64decode(packed, validate=True)).decode()
+    except (ValueError, zlib.error):
+        return packed
+
+
+compress_code = by_slices(_each(_pack), "string")
+#: The text of compressed code; what is no such text comes back as it is.
+decompress_code = by_slices(_each(_unpack), "string")
