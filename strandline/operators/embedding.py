@@ -8,33 +8,39 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
+from strandline.functions.batches import by_slices
 from strandline.functions.retry import with_retry
 
 #: Texts of one call, attempts, and seconds before a retry (at first, at most).
 BATCH, ATTEMPTS, WAIT = 100, 3, (20.0, 60.0)
 DIMENSION = 256
-Provider = Callable[[list[str], str], list[list[float]]]
+Provider = Callable[[list[str], str], Sequence[Sequence[float]] | np.ndarray]
 _TOKEN = re.compile(r"\w+")
 
 
-def hashing_provider(texts: list[str], task: str) -> list[list[float]]:
+@lru_cache(1 << 17)
+def _slot(token: str) -> tuple[int, int]:
+    h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "little")
+    return h % DIMENSION, 1 if h >> 63 else -1
+
+
+def hashing_provider(texts: list[str], task: str) -> np.ndarray:
     """Each token adds or takes one at a place given by its MD5; the vector is scaled to length 1 (or is zero)."""
-    out = []
-    for text in texts:
-        v = np.zeros(DIMENSION)
-        for token in _TOKEN.findall(text.lower()):
-            h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "little")
-            v[h % DIMENSION] += 1 if h >> 63 else -1
-        norm = np.linalg.norm(v)
-        out.append((v / norm if norm else v).tolist())
+    out = np.zeros((len(texts), DIMENSION))
+    for v, text in zip(out, texts, strict=True):
+        if slots := [*map(_slot, _TOKEN.findall(text.lower()))]:
+            at, sign = np.array(slots).T
+            v += np.bincount(at, sign, DIMENSION)
+            v /= np.linalg.norm(v) or 1
     return out
 
 
@@ -46,16 +52,18 @@ def embed(texts: Column, provider: str = "hashing", task: str = "document") -> C
     """[EMB-1, EMB-2, EMB-3, LIM-2, JOIN-6] The vector of each text, in order; null for a null text."""
     of = PROVIDERS[provider]
 
-    @F.pandas_udf("array<float>")
-    def run(series: pd.Series) -> pd.Series:
-        out: list = []
+    def run(series: list[str | None]) -> pa.Array:
+        out = []
         for i in range(0, len(series), BATCH):
-            part = [t if isinstance(t, str) else "" for t in series.iloc[i : i + BATCH]]
-            vectors = with_retry(lambda part=part: of(part, task), ATTEMPTS, WAIT)
-            out += [v if isinstance(t, str) else None for v, t in zip(vectors, series.iloc[i : i + BATCH], strict=True)]
-        return pd.Series(out)
+            part = series[i : i + BATCH]
+            vectors = with_retry(lambda part=part: of([t or "" for t in part], task), ATTEMPTS, WAIT)
+            flat = [np.asarray(v, dtype=np.float32) for v in vectors]
+            offsets = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+            values = pa.array(np.concatenate(flat), pa.float32())
+            out.append(pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in part])))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
 
-    return run(texts)
+    return by_slices(run, "array<float>")(texts)
 
 
 def points(chunks: DataFrame, provider: str = "hashing") -> DataFrame:
@@ -71,5 +79,5 @@ def points(chunks: DataFrame, provider: str = "hashing") -> DataFrame:
 
 def embed_question(question: str, provider: str = "hashing") -> list[float]:
     """[EMB-3]"""
-    return with_retry(lambda: PROVIDERS[provider]([question], "query"), ATTEMPTS, WAIT)[0]
+    return [float(x) for x in with_retry(lambda: PROVIDERS[provider]([question], "query"), ATTEMPTS, WAIT)[0]]
 
