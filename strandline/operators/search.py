@@ -18,8 +18,9 @@ HIT = ("code", "file", "language", "type", "name", "start_line", "end_line")
 def top_k(points: DataFrame, question: list[float], k: int = 5, id_col: str = "point_id", vector: str = "vector") -> DataFrame:
     """[TOP-1] The k rows nearest to ``question``, best first, with ``score``."""
     asked = F.lit([float(x) for x in question])
-    scored = points.withColumn("score", cosine(F.col(vector), asked)).where("score is not null")
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+    scored = points.withColumn("score", cosine(F.col(vector), asked))
+    # nulls come last; dropped before, they would have every vector that Python makes made twice
+    return scored.orderBy(F.desc("score"), id_col).limit(k).where("score is not null")
 
 
 def hits(found: DataFrame) -> DataFrame:
