@@ -130,7 +130,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     together = once.groupBy("term", "entity").agg(F.sum("copies").alias("n_te"))
     entities = around.join(chosen.select("entity"), "entity", "left_semi").groupBy("entity", "digest").agg(F.max("copies").alias("copies"))
     entities = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    counts = docs.select(F.explode(words_of("text")).alias("term")).join(chosen.select("term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # words are counted before they meet the terms: a row for each word, not for each text that holds one
+    counts = docs.select(F.explode(words_of("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.count()
     return (
         together.join(entities, "entity")

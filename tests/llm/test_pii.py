@@ -133,3 +133,11 @@ def test_odd_rows(odd, empty):
 def test_no_python_in_the_plan(odd):
     plan = pii.find_personal_data(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_are_counted_before_they_meet_terms(spark):
+    """A semi join of all words of all texts with the terms made a row for each text that holds one."""
+    docs = spark.createDataFrame([("Ann x1 wrote",), ("Ann here",)], "text string")
+    found = spark.createDataFrame([(b"a", [(1, f"ann {i}") for i in range(3)])], "digest binary, contexts array<struct<entity: long, context: string>>")
+    plan = pii.disclosing_terms(found, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join LeftSemi, \(term", plan)
